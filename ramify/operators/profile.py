@@ -123,21 +123,29 @@ def ap_counts(position, image, *, um_per_px=UM_PER_PX):
     )
 
 
-def contact_matrix(looked_up):
-    """Contacts between different classes as % of all such contacts, per image."""
+def _contact_counts():
     lo, hi = F.least("type_a", "type_b"), F.greatest("type_a", "type_b")
-    counts = [F.count_if((lo == a) & (hi == b)).alias(f"_c{a}{b}") for a, b in CONTACT_PAIRS]
+    return [F.count_if((lo == a) & (hi == b)).alias(f"_c{a}{b}") for a, b in CONTACT_PAIRS]
+
+
+def _contact_shares():
     total = sum((F.col(f"_c{a}{b}") for a, b in CONTACT_PAIRS), F.lit(0))
-    return looked_up.groupBy("image_id").agg(*counts).select(
-        "image_id",
-        *[F.try_divide(100 * F.col(f"_c{a}{b}"), total).alias(f"contacts_{a}{b}") for a, b in CONTACT_PAIRS])
+    return [F.try_divide(100 * F.col(f"_c{a}{b}"), total).alias(f"contacts_{a}{b}") for a, b in CONTACT_PAIRS]
+
+
+def _angle_stats():
+    d = wrapped_diff(F.col("orientation_a"), F.col("orientation_b"))
+    return [F.avg(d).alias("iba_mean"), F.stddev_pop(d).alias("iba_sd"), F.skewness(d).alias("iba_skew")]
+
+
+def contact_matrix(looked_up):
+    """Contacts between different classes as % of all such contacts, per image."""
+    return looked_up.groupBy("image_id").agg(*_contact_counts()).select("image_id", *_contact_shares())
 
 
 def interbranch_angle(looked_up):
     """Mean, SD and skewness of the angle between touching branches, per image."""
-    d = wrapped_diff(F.col("orientation_a"), F.col("orientation_b"))
-    return looked_up.groupBy("image_id").agg(
-        F.avg(d).alias("iba_mean"), F.stddev_pop(d).alias("iba_sd"), F.skewness(d).alias("iba_skew"))
+    return looked_up.groupBy("image_id").agg(*_angle_stats())
 
 
 def length_ratios(*, compat=False):
@@ -218,7 +226,8 @@ def feature_table(branch, links, image, *, um_per_px=UM_PER_PX, adjust=True, com
         for c in SPREAD_CLASSES])
 
     looked_up = pair_lookup(links.filter(F.col("a") < F.col("b")), branch)
-    contacts = contact_matrix(looked_up).join(interbranch_angle(looked_up), "image_id")
+    contacts = looked_up.groupBy("image_id").agg(*_contact_counts(), *_angle_stats()).select(
+        "image_id", *_contact_shares(), "iba_mean", "iba_sd", "iba_skew")
 
     total = sum((F.col(f"_{n}_n") for n in CLASSES.values()), F.lit(0))
     derived = [F.try_divide("_prim_n", "length").alias("prim_ct")]

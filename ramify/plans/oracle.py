@@ -61,12 +61,31 @@ SELECT l.image_id, l.a, l.b, p.dendrite_type AS type_a, q.dendrite_type AS type_
        least(abs(p.orientation - q.orientation), 360 - abs(p.orientation - q.orientation)) AS d
 FROM links l JOIN branch p ON p.image_id = l.image_id AND p.id = l.a
 JOIN branch q ON q.image_id = l.image_id AND q.id = l.b WHERE l.a < l.b""",
+    "pixel": """
+SELECT vec_id // 250 AS image_id, CAST(vec_id % 250 AS INTEGER) AS y, CAST(x AS INTEGER) AS x,
+       CAST(floor((e::DOUBLE + 1) * 1000) AS INTEGER) AS v
+FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS x FROM embeddings)""",
+    "pimage": """
+SELECT image_id, max(y) + 1 AS length_px, max(x) + 1 AS width_px FROM pixel GROUP BY ALL""",
+    "voxel": """
+SELECT vec_id // 100 AS image_id, 0 AS resolution, 0 AS time_point, label AS channel,
+       CAST((vec_id % 100) % 4 AS INTEGER) AS z, CAST((vec_id % 100) // 4 AS INTEGER) AS y, CAST(x AS INTEGER) AS x,
+       CAST(floor((e::DOUBLE + 1) * 1000) AS INTEGER) AS v,
+       greatest(0.0::DOUBLE, least(1.0::DOUBLE, e::DOUBLE)) AS p
+FROM (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(64)) AS x FROM embeddings)""",
+    "vsize": """
+SELECT image_id, max(z) + 1 AS depth_px, max(y) + 1 AS length_px, max(x) + 1 AS width_px FROM voxel GROUP BY ALL""",
+    "centre": """
+SELECT user_id AS image_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS i,
+       2.0::DOUBLE * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) AS y, value AS x, ts
+FROM events""",
 }
 
 
 
 def r(expr, name, digits=6):
-    return f"round({expr}, {digits}) + 0.0 AS {name}"
+    """Rounded like the Spark side: a fixed offset keeps exact ties out of the rounding."""
+    return f"round(({expr}) + 1.2345e-7::DOUBLE, {digits}) + 0.0 AS {name}"
 
 
 CLASSES = {1: "prim", 2: "sec", 3: "tert", 4: "quat"}
@@ -192,12 +211,173 @@ LEFT JOIN (SELECT genotype, dendrite_type, CAST(least(floor(raw_pct / 5), 19) *
   ON h.genotype = g.genotype AND h.dendrite_type = g.dendrite_type AND h.lo = b.lo"""
 SQL["A20_ap_kde"] = f"""
 SELECT genotype, dendrite_type, CAST(grid AS INTEGER) AS grid,
-       {r("sum(exp(-((grid - raw_pct) / h) ** 2 / 2)) / (max(n) * max(h) * sqrt(2 * pi()))", "density")}
+       {r("sum(exp(-(((grid - raw_pct) / h) ** 2) / 2)) / (max(n) * max(h) * sqrt(2 * pi()))", "density")}
 FROM ap JOIN (SELECT genotype, dendrite_type, count(*) AS n, stddev_samp(raw_pct) * count(*) ** (-0.2::DOUBLE) AS h
               FROM ap GROUP BY ALL) USING (genotype, dendrite_type),
      (SELECT unnest(range(101)) AS grid)
 GROUP BY ALL"""
 
+# ---- raster ----
+SQL["P1_stride_downsample"] = """
+SELECT image_id, y // 8 AS y, x // 8 AS x, v FROM pixel WHERE y % 8 = 0 AND x % 8 = 0"""
+SQL["P2_column_band"] = """
+SELECT image_id, y, x, v FROM pixel JOIN pimage USING (image_id)
+WHERE x >= round_even(width_px * 0.375::DOUBLE, 0) AND x < round_even(width_px * 0.655::DOUBLE, 0)"""
+SQL["P5_threshold_mask"] = "SELECT image_id, z, y, x FROM voxel WHERE p > 0.1::DOUBLE"
+CTE["quant"] = """
+SELECT image_id, y // 10 AS tile, z, quantile_cont(v, 0.01) AS q0, quantile_cont(v, 0.99) AS q1 FROM voxel GROUP BY ALL"""
+SQL["P6_percentile_normalize"] = f"""
+SELECT v.image_id, v.z, y, x, v, tile, {r("(v - q0) / nullif(q1 - q0, 0)", "p")}
+FROM voxel v JOIN quant q ON q.image_id = v.image_id AND q.z = v.z AND q.tile = v.y // 10"""
+SQL["P12_cast_uint"] = "SELECT image_id, y, x, CAST(floor(v * 0.37::DOUBLE) AS INTEGER) AS v FROM pixel"
+SQL["A11_max_projection"] = "SELECT image_id, y, x, max(v) AS v FROM voxel GROUP BY ALL"
+SQL["A12_pairwise_z_max"] = """
+SELECT v.image_id, z // 2 AS z, y, x, max(v) AS v FROM voxel v JOIN vsize s USING (image_id)
+WHERE z < 2 * (depth_px // 2) GROUP BY v.image_id, z // 2, y, x"""
+SQL["A13_mask_union_z"] = f"SELECT image_id, y, x, {r('max(p)', 'p')} FROM voxel GROUP BY image_id, y, x"
+CTE["prof"] = """
+SELECT image_id, y, avg(v) AS avg_v FROM pixel JOIN pimage USING (image_id)
+WHERE x >= round_even(width_px * 0.375::DOUBLE, 0) AND x < round_even(width_px * 0.655::DOUBLE, 0) GROUP BY ALL"""
+SQL["A14_band_profile"] = f"SELECT image_id, y, {r('avg_v', 'avg_v')} FROM prof"
+CTE["smoothed"] = """
+SELECT image_id, y, smooth FROM (
+  SELECT image_id, y, avg(avg_v) OVER (PARTITION BY image_id ORDER BY y ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS smooth
+  FROM prof) JOIN pimage USING (image_id) WHERE y < length_px - 100"""
+SQL["W1_sliding_mean"] = f"SELECT image_id, y, {r('smooth', 'smooth')} FROM smoothed"
+CTE["peaks"] = """
+SELECT * FROM (SELECT *, lag(smooth) OVER w AS b, lead(smooth) OVER w AS f FROM smoothed
+               WINDOW w AS (PARTITION BY image_id ORDER BY y))
+WHERE smooth > b + 0.0001::DOUBLE AND smooth > f + 0.0001::DOUBLE"""
+SQL["W2_local_peaks"] = f"SELECT image_id, y, {r('smooth', 'smooth')} FROM peaks"
+SQL["W3_cell_body"] = f"""
+SELECT i.image_id, min(y) + 50 AS cellbody_px, {r("100.0::DOUBLE * (min(y) + 50) / length_px", "cellbody_pct")}
+FROM pimage i LEFT JOIN (SELECT s.image_id, s.y FROM smoothed s
+     JOIN (SELECT image_id, max(smooth) AS top FROM peaks GROUP BY ALL) t
+       ON t.image_id = s.image_id AND s.smooth >= top - 1e-9::DOUBLE AND s.smooth <= top + 1e-9::DOUBLE) m USING (image_id)
+GROUP BY i.image_id, length_px"""
+SQL["S8_channel_histogram"] = """
+SELECT image_id, resolution, time_point, channel, v // 16 AS bin, count(*) AS n FROM voxel GROUP BY ALL"""
+_W = "(hi - lo) / 256.0::DOUBLE"
+SQL["A15_otsu_threshold"] = f"""
+WITH h AS (SELECT image_id, lo, {_W} AS w, least(floor((v - lo) / ({_W})), 255) AS bin, count(*) AS c
+           FROM pixel JOIN (SELECT image_id, min(v) AS lo, max(v) AS hi FROM pixel GROUP BY ALL) USING (image_id)
+           GROUP BY ALL),
+m AS (SELECT image_id, lo + (bin + 0.5) * w AS centre, bin, c FROM h),
+q AS (SELECT image_id, bin, centre, sum(c) OVER u AS n1, sum(c * centre) OVER u AS s1, sum(c) OVER a AS n,
+             sum(c * centre) OVER a AS s
+      FROM m WINDOW u AS (PARTITION BY image_id ORDER BY bin), a AS (PARTITION BY image_id)),
+b AS (SELECT *, round(n1 * (n - n1) * (s1 / n1 - (s - s1) / (n - n1)) ** 2 / (n::DOUBLE * n), 6) AS between_var
+      FROM q WHERE n1 < n)
+SELECT image_id, {r("centre", "threshold")}
+FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY between_var DESC, bin) AS k FROM b) WHERE k = 1"""
+SQL["A16_triangle_threshold"] = """
+WITH h AS (SELECT image_id, v AS level, count(*) AS c FROM pixel GROUP BY ALL),
+s AS (SELECT image_id, min(level) AS lo, max(level) AS hi, max(c) AS top, arg_min(level, (-c, level)) AS peak
+      FROM h GROUP BY ALL),
+g AS (SELECT s.*, unnest(range(lo, hi + 1)) AS level, peak - lo < hi - peak AS rgt FROM s),
+d AS (SELECT g.image_id, g.level, CASE WHEN rgt THEN hi - g.level ELSE g.level - lo END AS step,
+             CASE WHEN rgt THEN hi - peak ELSE peak - lo END AS width, top, coalesce(c, 0) AS c
+      FROM g LEFT JOIN h ON h.image_id = g.image_id AND h.level = g.level)
+SELECT image_id, CAST(level AS INTEGER) AS threshold
+FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY top * step - width * c DESC, step) AS k
+      FROM d WHERE step >= 0 AND step < width) WHERE k = 1"""
+
+
+def _blur(reach, sigma, fold):
+    """Separable blur as two weighted neighbour sums; `fold` brings an index back inside 0..n-1."""
+    f = lambda i, n: fold.format(i=i, n=n)
+    return f"""
+WITH k0 AS (SELECT unnest(range(-{reach}, {reach} + 1)) AS d),
+k AS (SELECT d, exp(-0.5::DOUBLE * (d / {sigma}::DOUBLE) ** 2) / (SELECT sum(exp(-0.5::DOUBLE * (d / {sigma}::DOUBLE) ** 2)) FROM k0) AS w FROM k0),
+n AS (SELECT image_id, y, x, length_px, width_px FROM pixel JOIN pimage USING (image_id)),
+c AS (SELECT n.image_id, n.y, n.x, sum(w * p.v) AS v FROM n, k, pixel p
+      WHERE p.image_id = n.image_id AND p.x = n.x AND p.y = {f("(n.y + d)", "length_px")} GROUP BY ALL)
+SELECT n.image_id, n.y, n.x, {r("sum(w * c.v)", "v")} FROM n, k, c
+WHERE c.image_id = n.image_id AND c.y = n.y AND c.x = {f("(n.x + d)", "width_px")} GROUP BY n.image_id, n.y, n.x"""
+
+
+_REFLECT = "CASE WHEN ({i} + 2 * {n}) % (2 * {n}) >= {n} THEN 2 * {n} - 1 - ({i} + 2 * {n}) % (2 * {n}) ELSE ({i} + 2 * {n}) % (2 * {n}) END"
+SQL["W11_gaussian_blur"] = _blur(40, 10.0, _REFLECT)
+SQL["W11_gaussian_blur_small"] = _blur(2, 0.5, "least(greatest({i}, 0), {n} - 1)")
+SQL["J15_tile_assign"] = """
+WITH s AS (SELECT image_id, z, y, x, coalesce(max(v) FILTER (channel = 0), 0) AS c0, coalesce(max(v) FILTER (channel = 1), 0) AS c1
+           FROM voxel GROUP BY ALL)
+SELECT s.image_id, s.z, s.y, s.x, c0, c1,
+       CAST(z_start AS INTEGER) AS z_start, least(z_start + 3, depth_px) AS z_end,
+       CAST(y_start AS INTEGER) AS y_start, least(y_start + 10, length_px) AS y_end,
+       CAST(x_start AS INTEGER) AS x_start, least(x_start + 32, width_px) AS x_end
+FROM s JOIN vsize USING (image_id), (SELECT unnest(range(0, 4, 2)) AS z_start),
+     (SELECT unnest(range(0, 25, 7)) AS y_start), (SELECT unnest(range(0, 64, 24)) AS x_start)
+WHERE z BETWEEN z_start AND z_start + 2 AND y BETWEEN y_start AND y_start + 9 AND x BETWEEN x_start AND x_start + 31"""
+SQL["U1_tile_union"] = "SELECT image_id, y, x, v FROM pixel"
+SQL["F10_pad_to_16"] = """
+SELECT image_id, CAST(ceil(length_px / 16) * 16 - length_px AS INTEGER) AS pad_y,
+       CAST(ceil(width_px / 16) * 16 - width_px AS INTEGER) AS pad_x FROM pimage"""
+SQL["I11_make_small"] = """
+SELECT image_id, y // 8 AS y, x // 8 AS x, max(v) AS v FROM voxel WHERE y % 8 = 0 AND x % 8 = 0 GROUP BY ALL"""
+SQL["I11_make_squished"] = """
+SELECT v.image_id, z // 2 AS z, y // 2 AS y, x // 2 AS x, max(v) AS v FROM voxel v JOIN vsize USING (image_id)
+WHERE y % 2 = 0 AND x % 2 = 0 AND z < 2 * (depth_px // 2) GROUP BY v.image_id, z // 2, y // 2, x // 2"""
+
+# ---- paths ----
+SQL["A28_path_length"] = """
+SELECT image_id, CAST(round_even(coalesce(sum(s), 0), 0) AS BIGINT) AS n_samples
+FROM (SELECT image_id, abs(y - lag(y) OVER w) + abs(x - lag(x) OVER w) AS s FROM centre
+      WINDOW w AS (PARTITION BY image_id ORDER BY i)) GROUP BY ALL"""
+SQL["P13_flip_path"] = f"""
+SELECT image_id, CAST(max(i) OVER (PARTITION BY image_id) - i AS INTEGER) AS i, {r("y", "y")}, {r("x", "x")} FROM centre"""
+SQL["P14_subsample_path"] = f"SELECT image_id, i, {r('y', 'y')}, {r('x', 'x')} FROM centre WHERE i % 10 = 0"
+CTE["frames"] = """
+SELECT image_id, i, y, x, vy / sqrt(vy * vy + vx * vx) AS ty, vx / sqrt(vy * vy + vx * vx) AS tx
+FROM (SELECT *, coalesce(lead(y) OVER w - y, y - lag(y) OVER w) AS vy, coalesce(lead(x) OVER w - x, x - lag(x) OVER w) AS vx
+      FROM centre WINDOW w AS (PARTITION BY image_id ORDER BY i))"""
+SQL["W4_path_frames"] = f"""
+SELECT image_id, i, {r("y", "y")}, {r("x", "x")}, {r("ty", "ty")}, {r("tx", "tx")}, {r("-tx", "ny")}, {r("ty", "nx")}
+FROM frames"""
+SQL["W5_sampling_grid"] = f"""
+SELECT image_id, i, CAST(j AS INTEGER) AS j, {r("y + (-10.0::DOUBLE + j * 20.0::DOUBLE / 19) * -tx", "y")},
+       {r("x + (-10.0::DOUBLE + j * 20.0::DOUBLE / 19) * ty", "x")} FROM frames, (SELECT unnest(range(20)) AS j)"""
+CTE["samples"] = """
+WITH c AS (SELECT image_id % (SELECT count(*) FROM pimage) AS image_id, image_id AS path, i, y, 16 + x * 0.06::DOUBLE AS x FROM centre),
+f AS (SELECT *, coalesce(lead(y) OVER w - y, y - lag(y) OVER w) AS vy, coalesce(lead(x) OVER w - x, x - lag(x) OVER w) AS vx
+      FROM c WINDOW w AS (PARTITION BY path ORDER BY i))
+SELECT image_id, path, i, CAST(j AS INTEGER) AS j,
+       y + (-10.0::DOUBLE + j * 20.0::DOUBLE / 19) * -vx / sqrt(vy * vy + vx * vx) AS y,
+       x + (-10.0::DOUBLE + j * 20.0::DOUBLE / 19) * vy / sqrt(vy * vy + vx * vx) AS x
+FROM f, (SELECT unnest(range(20)) AS j)"""
+
+
+def _resample(image, cells, planes=""):
+    weight = lambda a: (f"CASE k{a} WHEN -1 THEN 0.5::DOUBLE * (0.5 - t{a}) ** 2 WHEN 0 THEN 0.75 - t{a} ** 2 "
+                        f"ELSE 0.5::DOUBLE * (0.5 + t{a}) ** 2 END")
+    cell = lambda a, n: (f"CASE WHEN abs(base_{a} + k{a}) > {n} - 1 THEN 2 * {n} - 2 - abs(base_{a} + k{a}) "
+                         f"ELSE abs(base_{a} + k{a}) END")
+    p = f"p.{planes}, " if planes else ""
+    return f"""
+WITH s AS (SELECT *, CAST(floor(y + 0.5) AS BIGINT) AS base_y, CAST(floor(x + 0.5) AS BIGINT) AS base_x,
+             y - floor(y + 0.5) AS ty, x - floor(x + 0.5) AS tx,
+             y BETWEEN 0 AND length_px - 1 AND x BETWEEN 0 AND width_px - 1 AS inside
+      FROM samples JOIN {image} USING (image_id)),
+w AS (SELECT s.*, {cell("y", "length_px")} AS cy, {cell("x", "width_px")} AS cx, ({weight("y")}) * ({weight("x")}) AS w
+      FROM s, (SELECT unnest([-1, 0, 1]) AS ky), (SELECT unnest([-1, 0, 1]) AS kx) WHERE inside)
+SELECT p.image_id, {p}path, i, j, sum(w * v) AS v FROM w JOIN {cells} p
+  ON p.image_id = w.image_id AND p.y = cy AND p.x = cx GROUP BY ALL
+UNION ALL
+SELECT p.image_id, {p}path, i, j, 0.0 AS v FROM s JOIN (SELECT DISTINCT image_id{", " + planes if planes else ""} FROM {cells}) p
+  ON p.image_id = s.image_id WHERE NOT inside"""
+
+
+CTE["resampled"] = _resample("pimage", "pixel")
+SQL["J16_resample_grid"] = f"SELECT image_id, path, i, j, {r('v', 'v')} FROM resampled"
+CTE["straight"] = _resample("pimage", "stack", "z")
+CTE["stack"] = "SELECT image_id, y, x, v + 3 * z AS v, z FROM pixel, (SELECT unnest(range(2)) AS z)"
+SQL["J17_straighten_stack"] = """
+SELECT image_id, CAST(z AS INTEGER) AS z, path, i, j, CAST(floor(greatest(0.0, round(v, 9))) AS INTEGER) AS v FROM straight"""
+SQL["A27_mean_interval"] = f"""
+SELECT image_id, round(avg(g), 3) + 0.0 AS interval FROM (
+  SELECT image_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY image_id ORDER BY i)) / 1e6::DOUBLE AS g FROM centre)
+GROUP BY ALL"""
+
 
 def resolve(body):
     """Prefix a query with the building blocks it uses, in dependency order."""
@@ -213,7 +393,9 @@ def resolve(body):
     visit(body)
     if not need:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in need) + "\n" + body
+    own = body.lstrip()
+    rest = ",\n" + own[len("WITH "):] if own.startswith("WITH ") else "\n" + own
+    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in need) + rest
 
 
 def oracle_sql():

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ramify.operators import compare, neighbors, profile
+from ramify.functions import patterns
+from ramify.functions.scalars import pad_to, um
+from ramify.operators import compare, geometry, neighbors, profile, raster
 from ramify.sources import adapters as ad
 
 QUERIES = {}
@@ -14,13 +16,21 @@ def query(fn):
     return fn
 
 
+OFF_TIES = 1.2345e-7
+
+
 def rounded(df, digits=6):
-    """Doubles rounded, so that the order of additions does not show."""
+    """Doubles rounded, so that the order of additions does not show (the offset avoids exact ties)."""
     return df.select(*[
-        (F.round(f.name, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        (F.round(F.col(f.name) + OFF_TIES, digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields])
 
 
+def stored(df):
+    """A table read several times by one query, written once to the shared folder."""
+    return patterns.cut(df)
+
+
 # ---- profile ---------------------------------------------------------------
 
 @query
@@ -52,7 +62,7 @@ def A5_ap_counts(spark, sf):
 
 
 def _looked(spark, sf):
-    branch = ad.branch(spark, sf)
+    branch = stored(ad.branch(spark, sf))
     return neighbors.pair_lookup(neighbors.unique_pairs(neighbors.branch_neighbors(branch)), branch)
 
 
@@ -78,9 +88,7 @@ def A9_orientation_hist(spark, sf):
 
 @query
 def A10_feature_table(spark, sf):
-    branch = ad.branch(spark, sf)
-    links = neighbors.branch_neighbors(branch)
-    return rounded(profile.feature_table(branch, links, ad.image(spark, sf)))
+    return rounded(_features(spark, sf))
 
 
 # ---- neighbours ------------------------------------------------------------
@@ -121,7 +129,6 @@ def P4_project_reorder(spark, sf):
 
 @query
 def P7_um_convert(spark, sf):
-    from ramify.functions.scalars import um
     return ad.branch(spark, sf).select("image_id", "id", um(F.col("length")).alias("length_um"))
 
 
@@ -134,7 +141,7 @@ def P8_wrap_axial(spark, sf):
 # ---- comparison ------------------------------------------------------------
 
 def _features(spark, sf):
-    branch = ad.branch(spark, sf)
+    branch = stored(ad.branch(spark, sf))
     return profile.feature_table(branch, neighbors.branch_neighbors(branch), ad.image(spark, sf))
 
 
@@ -174,3 +181,185 @@ def A19_ap_histogram(spark, sf):
 @query
 def A20_ap_kde(spark, sf):
     return rounded(compare.ap_kde(_raw_position(spark, sf), ["genotype", "dendrite_type"]))
+
+
+# ---- raster ----------------------------------------------------------------
+
+@query
+def P1_stride_downsample(spark, sf):
+    return raster.stride_downsample(ad.pixel(spark, sf), 8)
+
+
+@query
+def P2_column_band(spark, sf):
+    return raster.column_band(ad.pixel(spark, sf), ad.pixel_image(spark, sf))
+
+
+@query
+def P5_threshold_mask(spark, sf):
+    prob = ad.voxel(spark, sf).select("image_id", "z", "y", "x", "p")
+    return raster.threshold_mask(prob, 0.1)
+
+
+@query
+def P6_percentile_normalize(spark, sf):
+    vox = ad.voxel(spark, sf).select("image_id", "z", "y", "x", "v")
+    return rounded(raster.percentile_normalize(vox, tile_rows=10))
+
+
+@query
+def P12_cast_uint(spark, sf):
+    return raster.cast_uint(ad.pixel(spark, sf).withColumn("v", F.col("v") * 0.37))
+
+
+@query
+def A11_max_projection(spark, sf):
+    return raster.max_projection(ad.voxel(spark, sf))
+
+
+@query
+def A12_pairwise_z_max(spark, sf):
+    return raster.pairwise_z_max(ad.voxel(spark, sf))
+
+
+@query
+def A13_mask_union_z(spark, sf):
+    return rounded(raster.mask_union_z(ad.voxel(spark, sf)))
+
+
+@query
+def A14_band_profile(spark, sf):
+    return rounded(raster.band_profile(ad.pixel(spark, sf), ad.pixel_image(spark, sf)))
+
+
+def _smooth(spark, sf):
+    img = ad.pixel_image(spark, sf)
+    return raster.sliding_mean(raster.band_profile(ad.pixel(spark, sf), img), img)
+
+
+@query
+def W1_sliding_mean(spark, sf):
+    return rounded(_smooth(spark, sf))
+
+
+@query
+def W2_local_peaks(spark, sf):
+    return rounded(raster.local_peaks(_smooth(spark, sf)))
+
+
+@query
+def W3_cell_body(spark, sf):
+    return rounded(raster.cell_body(ad.pixel(spark, sf), ad.pixel_image(spark, sf)))
+
+
+@query
+def S8_channel_histogram(spark, sf):
+    return raster.channel_histogram(ad.voxel(spark, sf))
+
+
+@query
+def A15_otsu_threshold(spark, sf):
+    return rounded(raster.otsu_threshold(ad.pixel(spark, sf)))
+
+
+@query
+def A16_triangle_threshold(spark, sf):
+    return raster.triangle_threshold(ad.pixel(spark, sf))
+
+
+@query
+def W11_gaussian_blur(spark, sf):
+    return rounded(raster.gaussian_blur(ad.pixel(spark, sf), ad.pixel_image(spark, sf), 10.0))
+
+
+@query
+def W11_gaussian_blur_small(spark, sf):
+    return rounded(raster.gaussian_blur(ad.pixel(spark, sf), ad.pixel_image(spark, sf), 0.5, mode="nearest"))
+
+
+@query
+def J15_tile_assign(spark, sf):
+    vox = ad.voxel(spark, sf)
+    size = vox.groupBy("image_id").agg((F.max("z") + 1).alias("depth_px"), (F.max("y") + 1).alias("length_px"),
+                                       (F.max("x") + 1).alias("width_px"))
+    return raster.tile_assign(vox, size, chunk=(3, 10, 32), overlap=(1, 3, 8), channels=[0, 1])
+
+
+@query
+def U1_tile_union(spark, sf):
+    return raster.tile_union(raster.split_tiles(ad.pixel(spark, sf), 64), 64)
+
+
+@query
+def F10_pad_to_16(spark, sf):
+    return ad.pixel_image(spark, sf).select(
+        "image_id", pad_to(F.col("length_px")).alias("pad_y"), pad_to(F.col("width_px")).alias("pad_x"))
+
+
+@query
+def I11_make_small(spark, sf):
+    return raster.make_small(ad.voxel(spark, sf))
+
+
+@query
+def I11_make_squished(spark, sf):
+    return raster.make_squished(ad.voxel(spark, sf))
+
+
+# ---- paths -----------------------------------------------------------------
+
+def _path(spark, sf):
+    return ad.centre(spark, sf).drop("ts")
+
+
+@query
+def A28_path_length(spark, sf):
+    return geometry.path_length(_path(spark, sf))
+
+
+@query
+def P13_flip_path(spark, sf):
+    return rounded(geometry.flip_path(_path(spark, sf)))
+
+
+@query
+def P14_subsample_path(spark, sf):
+    return rounded(geometry.subsample_path(_path(spark, sf), 10))
+
+
+@query
+def W4_path_frames(spark, sf):
+    return rounded(geometry.path_frames(_path(spark, sf)))
+
+
+@query
+def W5_sampling_grid(spark, sf):
+    return rounded(geometry.sampling_grid(geometry.path_frames(_path(spark, sf)), 20))
+
+
+def _samples(spark, sf):
+    """Sampling grids of all paths, laid over the pixel images in turn."""
+    n = ad.pixel_image(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    path = _path(spark, sf).withColumn("x", 16 + F.col("x") * 0.06)
+    grid = geometry.sampling_grid(geometry.path_frames(path), 20)
+    return grid.withColumnRenamed("image_id", "path").join(F.broadcast(n)).withColumn(  # n is one row
+        "image_id", F.col("path") % F.col("n")).drop("n")
+
+
+@query
+def J16_resample_grid(spark, sf):
+    return rounded(geometry.resample_grid(
+        _samples(spark, sf), ad.pixel(spark, sf), ad.pixel_image(spark, sf), keys=("path", "i", "j")))
+
+
+@query
+def J17_straighten_stack(spark, sf):
+    stack = ad.pixel(spark, sf).withColumn("z", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "v", F.col("v") + 3 * F.col("z"))
+    return geometry.straighten_stack(
+        _samples(spark, sf), stack, ad.pixel_image(spark, sf), keys=("path", "i", "j"))
+
+
+@query
+def A27_mean_interval(spark, sf):
+    return geometry.mean_interval(ad.timepoint(spark, sf))

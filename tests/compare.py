@@ -41,7 +41,8 @@ def check(spark, con, name, fn, sql, sf_dir):
     if gc != wc:
         return False, f"columns {gc} vs {wc}"
     if gr != wr:
-        only = [x for x in gr if x not in set(wr)][:3], [x for x in wr if x not in set(gr)][:3]
+        gs, ws = set(gr), set(wr)
+        only = [x for x in gr if x not in ws][:3], [x for x in wr if x not in gs][:3]
         kinds = dict(got.dtypes.items()), dict(want.dtypes.items())
         return False, f"{note} vs {len(want)}\n   got {only[0]}\n   want {only[1]}\n   {kinds if not only[0] else ''}"
     diff = [c for c in gc if (got[c].dtype != want[c].dtype and "object" not in (str(got[c].dtype), str(want[c].dtype))
