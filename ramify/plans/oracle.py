@@ -378,6 +378,218 @@ SELECT image_id, round(avg(g), 3) + 0.0 AS interval FROM (
   SELECT image_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY image_id ORDER BY i)) / 1e6::DOUBLE AS g FROM centre)
 GROUP BY ALL"""
 
+# ---- shape of branches and fragments ----
+CTE["wpt"] = """
+SELECT image_id, id, CAST(i AS INTEGER) AS i, CAST(y0 + i * dy AS INTEGER) AS y,
+       CAST(x0 + i * dx + (i * i) // 40 + ((i // 9) * (l_partkey % 5)) % 4 AS INTEGER) AS x, length
+FROM (SELECT *, unnest(range(length)) AS i FROM branch)"""
+SQL["A17_branch_summary"] = f"""
+SELECT image_id, id, count(*) AS n, {r("avg(x)", "mean_x")}, {r("avg(y)", "mean_y")}, arg_min(y, i) AS y_first,
+       arg_min(x, i) AS x_first, arg_max(y, i) AS y_last, arg_max(x, i) AS x_last FROM pt GROUP BY image_id, id"""
+SQL["A29_avg_step"] = f"""
+SELECT image_id, id, {r("coalesce(avg(d), 1.0)", "step")}
+FROM (SELECT image_id, id, sqrt((y - lag(y) OVER w) ** 2 + (x - lag(x) OVER w) ** 2) AS d FROM wpt
+      WINDOW w AS (PARTITION BY image_id, id ORDER BY i)) GROUP BY image_id, id"""
+SQL["W6_menger_curvature"] = f"""
+WITH t AS (SELECT image_id, id, length, lag(y, 10) OVER w - y AS ay, lag(x, 10) OVER w - x AS ax,
+             lead(y, 10) OVER w - y AS by_, lead(x, 10) OVER w - x AS bx FROM wpt
+           WINDOW w AS (PARTITION BY image_id, id ORDER BY i)),
+u AS (SELECT *, (ay / sqrt(ay ** 2 + ax ** 2)) * (by_ / sqrt(by_ ** 2 + bx ** 2))
+              + (ax / sqrt(ay ** 2 + ax ** 2)) * (bx / sqrt(by_ ** 2 + bx ** 2)) AS c,
+             sqrt((ay - by_) ** 2 + (ax - bx) ** 2) AS chord FROM t)
+SELECT image_id, id, {r("CASE WHEN length <= 20 THEN 0 ELSE avg(2 * sin(acos(greatest(-1, least(1, c)))) / chord) END", "curvature")}
+FROM u GROUP BY image_id, id, length"""
+SQL["W7_branch_geometry"] = f"""
+WITH b AS (SELECT image_id, id, length, i // 7 AS k, arg_min(y, i) - arg_max(y, i) AS dy, arg_max(x, i) - arg_min(x, i) AS dx
+           FROM wpt WHERE i // 7 < length // 7 GROUP BY ALL),
+a AS (SELECT *, degrees(atan2(dy, dx)) AS angle FROM b),
+d AS (SELECT *, angle - lag(angle) OVER (PARTITION BY image_id, id ORDER BY k) AS t FROM a),
+s AS (SELECT *, least(abs(t), 360 - abs(t)) AS turn, (t >= 0) <> lag(t >= 0) OVER (PARTITION BY image_id, id ORDER BY k) AS sw FROM d),
+g AS (SELECT image_id, id, length, degrees(atan2(avg(dy), avg(dx))) AS o,
+             CASE WHEN length >= 14 THEN avg(turn) ELSE 0 END AS curvature, count(*) FILTER (sw) AS switches
+      FROM s GROUP BY ALL)
+SELECT image_id, id, {r("CASE WHEN o < 0 THEN o + 180 ELSE o END", "orientation")}, {r("curvature", "curvature")},
+       {r("CASE WHEN length >= 14 THEN curvature * switches / length ELSE 0 END", "tortuosity")} FROM g"""
+SQL["W8_fragment_features"] = f"""
+WITH e AS (SELECT image_id, id, length, arg_min(y, i) AS y0, arg_min(x, i) AS x0, arg_max(y, i) AS y1, arg_max(x, i) AS x1,
+             max(y) FILTER (i = length // 2) AS my, max(x) FILTER (i = length // 2) AS mx FROM wpt GROUP BY ALL)
+SELECT image_id, id, CAST(length AS INTEGER) AS length, {r("degrees(atan2(y1 - y0, x1 - x0))", "orientation")},
+       {r("length / sqrt((y1 - y0) ** 2 + (x1 - x0) ** 2)", "tortuosity")}, {r("mx / 320.0::DOUBLE", "relative_x")},
+       {r("my / 2000.0::DOUBLE", "relative_y")}, {r("0.2::DOUBLE * sin(3 * pi() * mx / 320.0::DOUBLE) + 0.5", "quat_filter")} FROM e"""
+SQL["W13_assign_ids"] = """
+SELECT image_id, 5 - dendrite_type AS dendrite_type, id AS start,
+       CAST(row_number() OVER (PARTITION BY image_id ORDER BY 5 - dendrite_type, id) - 1 AS INTEGER) AS id FROM branch"""
+SQL["P9_min_size_filter"] = "SELECT image_id, id, length FROM branch WHERE length > 20"
+SQL["U4_class_union"] = "SELECT image_id, id, dendrite_type FROM branch"
+
+# ---- scalar functions ----
+SQL["F1_angle_deg"] = f"SELECT image_id, id, {r('degrees(atan2(y1 - y0, x1 - x0))', 'angle')} FROM pos"
+SQL["F2_wrapped_diff"] = f"""
+SELECT image_id, id, {r("least(abs(orientation * 2 - 15), 360 - abs(orientation * 2 - 15))", "diff")} FROM pos"""
+SQL["F3_distance"] = f"SELECT image_id, id, {r('sqrt((y1 - y0) ** 2 + (x1 - x0) ** 2)', 'd')} FROM pos"
+SQL["F4_near_reversal"] = """
+SELECT image_id, id, CASE WHEN v = 0 THEN 0 WHEN (uy * vy + ux * vx) / (sqrt(uy ** 2 + ux ** 2) * sqrt(v)) < -0.8 THEN 1 ELSE 0 END AS reversal
+FROM (SELECT *, vy ** 2 + vx ** 2 AS v FROM (SELECT image_id, id, y1 - y0 AS uy, x1 - x0 AS ux,
+        y0 + id % 7 - 3 - y1 AS vy, x0 + id % 5 - 2 - x1 AS vx FROM pos))"""
+SQL["F5_polyline_access"] = f"""
+SELECT image_id, id, {r("mean_y", "mean_y")}, {r("mean_x", "mean_x")}, y0 AS y_first, CAST(x1 AS INTEGER) AS x_last,
+       CAST(my AS INTEGER) AS y_mid, CAST(mx AS INTEGER) AS x_mid FROM pos"""
+SQL["F6_polyline_edit"] = """
+SELECT image_id, id, CAST(length - 1 - i AS INTEGER) AS i, y, x FROM pt
+UNION ALL SELECT image_id, id, CAST(length + i - 1 AS INTEGER), y, x FROM pt WHERE i > 0"""
+SQL["F7_filters"] = f"""
+SELECT image_id, id, {r("0.2::DOUBLE * sin(3 * pi() * ((l_partkey % 320) / 320.0::DOUBLE)) + 0.5", "sine")},
+       {r("acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (orientation - 90) / 80.0::DOUBLE)))", "angle")} FROM branch"""
+SQL["F8_text_keys"] = """
+SELECT image_id, genotype, CAST(regexp_extract(genotype, 'day([0-9]+)', 1) AS INTEGER) AS age FROM image"""
+SQL["F9_parse_timestamp"] = "SELECT event_id, epoch_us(ts) AS micros FROM events WHERE event_id % 7 <> 0"
+
+# ---- pixels under fragments ----
+CTE["skel"] = "SELECT DISTINCT image_id, y, x FROM pt"
+CTE["labels_px"] = """
+SELECT image_id, y, x, CASE WHEN (y + x) % 11 = 0 THEN 0 ELSE arg_min(dendrite_type, id) END AS label FROM pt GROUP BY image_id, y, x"""
+CTE["labelled"] = """
+SELECT p.image_id, p.id, coalesce(label, 0) AS label FROM pos p
+LEFT JOIN labels_px l ON l.image_id = p.image_id AND l.y = p.my AND l.x = p.mx"""
+SQL["J2_sample_intensity"] = f"""
+SELECT image_id, id, {r("avg((y * 31 + x * 17 + image_id) % 4096)", "average_intensity")} FROM pt GROUP BY image_id, id"""
+SQL["J3_label_midpoint"] = "SELECT image_id, id, label FROM labelled"
+SQL["P10_drop_unlabelled"] = "SELECT image_id, id, label FROM labelled WHERE label <> 0"
+SQL["A21_class_distribution"] = "SELECT label, count(*) AS n FROM labelled GROUP BY label ORDER BY label"
+
+
+def _open(line, axis, size):
+    return f"""
+SELECT image_id, y, x FROM (
+  SELECT *, min({axis}) OVER g AS lo, max({axis}) OVER g AS hi
+  FROM (SELECT *, {axis} - row_number() OVER (PARTITION BY image_id, {line} ORDER BY {axis}) AS grp FROM skel)
+  WINDOW g AS (PARTITION BY image_id, {line}, grp))
+WHERE hi - lo + 1 >= CASE WHEN lo = 0 AND hi = {size} - 1 THEN 1 WHEN lo = 0 OR hi = {size} - 1 THEN 8 ELSE 15 END"""
+
+
+_CROSS = "(SELECT unnest([0, -1, 1, 0, 0]) AS oy, unnest([0, 0, 0, -1, 1]) AS ox)"
+CTE["open_y"] = _open("x", "y", 2000)
+CTE["open_x"] = _open("y", "x", 320)
+for _a in "yx":
+    CTE[f"cross_{_a}"] = f"""
+SELECT * FROM skel WHERE (image_id, y, x) IN (SELECT (image_id, y + oy, x + ox) FROM open_{_a}, {_CROSS})"""
+CTE["layers"] = """
+SELECT image_id, 'v' AS layer, y, x FROM (SELECT * FROM cross_y EXCEPT SELECT * FROM cross_x)
+UNION ALL SELECT image_id, 'h', y, x FROM (SELECT * FROM cross_x EXCEPT SELECT * FROM cross_y)"""
+SQL["J4_layer_hits"] = f"""
+SELECT image_id, id, {r("s", "h_share")}, CASE WHEN s > 0.5 THEN 1 ELSE 0 END AS horizontal_likely
+FROM (SELECT p.image_id, p.id, coalesce(count(*) FILTER (layer = 'h') / nullif(count(layer), 0), 0) AS s
+      FROM pt p LEFT JOIN layers USING (image_id, y, x) GROUP BY ALL)"""
+SQL["J14_local_density"] = f"""
+SELECT f.image_id, f.id, {r("count(s.y) / any_value((y_hi - y_lo) * (x_hi - x_lo))", "local_density")}
+FROM (SELECT image_id, id, greatest(0, my - 200) AS y_lo, least(2000, my + 200) AS y_hi,
+             greatest(0, mx - 200) AS x_lo, least(320, mx + 200) AS x_hi FROM pos) f
+JOIN skel s ON s.image_id = f.image_id AND s.y >= y_lo AND s.y < y_hi AND s.x >= x_lo AND s.x < x_hi
+GROUP BY f.image_id, f.id"""
+CTE["steps"] = """
+SELECT image_id, id, sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) AS step FROM branch"""
+CTE["cand"] = """
+SELECT * FROM (
+  SELECT a.image_id, a.dendrite_type, a.id AS a, b.id AS b,
+         CASE a.kind WHEN 'e' THEN 'end' ELSE 'start' END || '_to_' || CASE b.kind WHEN 'e' THEN 'end' ELSE 'start' END AS type,
+         CASE WHEN a.kind = 'e' AND b.kind = 's' THEN 0 WHEN a.kind = 'e' THEN 1 WHEN b.kind = 's' THEN 2 ELSE 3 END AS ord,
+         sqrt(CAST((a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS DOUBLE)) AS distance,
+         CASE WHEN a.kind = b.kind THEN 1 ELSE 0 END AS needs_reverse, greatest(sa.step, sb.step) AS step
+  FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.dendrite_type = b.dendrite_type AND a.id < b.id
+  JOIN steps sa ON sa.image_id = a.image_id AND sa.id = a.id JOIN steps sb ON sb.image_id = b.image_id AND sb.id = b.id
+  WHERE abs(a.y - b.y) <= 20 AND abs(a.x - b.x) <= 20)
+WHERE distance <= 20 AND distance <= 10 * step"""
+SQL["J13_connect_candidates"] = f"""
+SELECT image_id, dendrite_type, a, b, type, ord, {r("distance", "distance")}, needs_reverse FROM cand"""
+SQL["T3_nearest_candidate"] = f"""
+SELECT image_id, dendrite_type, a, direction, b, type, {r("distance", "distance")}, needs_reverse
+FROM (SELECT *, row_number() OVER (PARTITION BY image_id, dendrite_type, a, direction ORDER BY distance, b, ord) AS k
+      FROM (SELECT *, CASE WHEN ord < 2 THEN 'forward' ELSE 'backward' END AS direction FROM cand)) WHERE k = 1"""
+CTE["pred"] = """
+SELECT image_id, id, length, dendrite_type AS true_type,
+       CASE WHEN l_partkey % 5 = 0 THEN 1 + dendrite_type % 4 ELSE dendrite_type END AS predicted_type FROM branch"""
+SQL["J18_eval_join"] = "SELECT image_id, id, predicted_type, true_type FROM pred"
+SQL["A22_confusion_matrix"] = ("SELECT true_type, " + ", ".join(
+    f"count(*) FILTER (predicted_type = {c}) AS p{c}" for c in CLASSES) + " FROM pred GROUP BY true_type")
+SQL["A24_accuracy"] = f"""
+SELECT {r("avg(CASE WHEN true_type = predicted_type THEN 1.0::DOUBLE ELSE 0 END)", "accuracy")},
+       {r("sum(length) FILTER (true_type = predicted_type) / sum(length)", "weighted_accuracy")} FROM pred"""
+SQL["A23_classification_report"] = f"""
+WITH m AS (SELECT c, CAST(count(*) FILTER (true_type = c) AS BIGINT) AS support, count(*) FILTER (predicted_type = c) AS p,
+             count(*) FILTER (true_type = c AND predicted_type = c) AS h
+           FROM pred, (SELECT unnest([1, 2, 3, 4]) AS c) GROUP BY c),
+q AS (SELECT CAST(c AS VARCHAR) AS label, h / p AS "precision", h / support AS recall, 2 * h / (p + support) AS f1, support, h FROM m),
+o AS (SELECT label, "precision", recall, f1, support FROM q
+UNION ALL SELECT 'accuracy', sum(h) / sum(support), sum(h) / sum(support), sum(h) / sum(support), CAST(sum(support) AS BIGINT) FROM q
+UNION ALL SELECT 'macro avg', avg("precision"), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM q
+UNION ALL SELECT 'weighted avg', sum("precision" * support) / sum(support), sum(recall * support) / sum(support),
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM q)
+SELECT label, {r('"precision"', '"precision"')}, {r("recall", "recall")}, {r("f1", "f1")}, support FROM o"""
+
+# ---- corrections ----
+CTE["frag"] = """
+SELECT image_id, id, dendrite_type, mx / 320.0::DOUBLE AS rx, y0 AS ys, x0 AS xs, y1 AS ye, x1 AS xe,
+       least(y0, y1) AS lo, greatest(y0, y1) AS hi FROM pos"""
+CTE["touch"] = """
+SELECT DISTINCT a.image_id, a.id FROM ends a JOIN ends b ON a.image_id = b.image_id
+WHERE a.dendrite_type = 3 AND b.dendrite_type = 1 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2"""
+SQL["J6_touching_semi"] = "SELECT image_id, id FROM touch"
+_OVER = "f.image_id = g.image_id AND ((f.ys BETWEEN g.lo AND g.hi) OR (f.ye BETWEEN g.lo AND g.hi))"
+SQL["J7_y_overlap_exists"] = f"""
+SELECT image_id, id, CASE WHEN EXISTS (SELECT 1 FROM frag g WHERE g.dendrite_type = 3 AND g.id <> f.id AND {_OVER})
+       THEN 1 ELSE 0 END AS overlaps FROM frag f WHERE dendrite_type = 3"""
+SQL["J8_correct_tertiary"] = f"""
+SELECT image_id, id, CASE WHEN dendrite_type = 3 AND EXISTS (
+         SELECT 1 FROM frag g WHERE g.dendrite_type = 3 AND g.id <> f.id AND {_OVER}
+           AND ((f.rx > 0.7 AND g.rx > 0.6 AND f.rx >= g.rx) OR (f.rx < 0.3 AND g.rx < 0.4 AND f.rx <= g.rx)))
+       THEN 4 ELSE dendrite_type END AS dendrite_type FROM frag f"""
+SQL["J9_correct_primary"] = f"""
+WITH hit AS (SELECT f.image_id, f.id FROM frag f JOIN touch t ON t.image_id = f.image_id AND t.id = f.id
+             JOIN frag g ON {_OVER}
+             WHERE f.dendrite_type = 3 AND f.rx > 0.3 AND f.rx < 0.7 AND g.dendrite_type IN (1, 3)
+             GROUP BY ALL HAVING bool_or(g.rx < 0.625) AND bool_or(g.rx >= 0.625))
+SELECT f.image_id, f.id, CASE WHEN hit.id IS NULL THEN dendrite_type ELSE 1 END AS dendrite_type,
+       CASE WHEN hit.id IS NULL THEN 0 ELSE 1 END AS changed
+FROM frag f LEFT JOIN hit ON hit.image_id = f.image_id AND hit.id = f.id"""
+
+# ---- binary images ----
+SQL["W9_morph_open_line"] = "SELECT *, 'y' AS axis FROM open_y UNION ALL SELECT *, 'x' AS axis FROM open_x"
+SQL["W10_reconstruct_cross"] = "SELECT image_id, y, x FROM cross_x"
+SQL["U2_layer_subtract"] = "SELECT image_id, layer, y, x FROM layers"
+SQL["U3_layer_intersect"] = "SELECT image_id, y, x FROM open_y INTERSECT SELECT image_id, y, x FROM open_x"
+CTE["mask"] = "SELECT image_id, y, x FROM pixel WHERE v >= 1050"
+_RING = "(SELECT unnest([-1, 0, 1]) AS oy) oy, (SELECT unnest([-1, 0, 1]) AS ox) ox"
+SQL["J5_pixel_adjacency"] = f"""
+SELECT a.image_id, a.y, a.x, b.y AS ny, b.x AS nx FROM (SELECT * FROM mask, {_RING} WHERE oy <> 0 OR ox <> 0) a
+JOIN mask b ON b.image_id = a.image_id AND b.y = a.y + oy AND b.x = a.x + ox"""
+CTE["degree"] = f"""
+SELECT a.image_id, a.y, a.x, CAST(count(b.y) AS INTEGER) AS degree
+FROM (SELECT * FROM skel, {_RING} WHERE oy <> 0 OR ox <> 0) a
+LEFT JOIN skel b ON b.image_id = a.image_id AND b.y = a.y + oy AND b.x = a.x + ox GROUP BY a.image_id, a.y, a.x"""
+SQL["W12_stencil_degree"] = """
+SELECT *, CASE WHEN degree >= 3 THEN 'branch' WHEN degree = 1 THEN 'end' ELSE 'segment' END AS node_type FROM degree"""
+SQL["A26_endpoint_check"] = """
+SELECT image_id, count(*) FILTER (degree = 1) AS n_ends, CASE WHEN count(*) FILTER (degree = 1) = 2 THEN 1 ELSE 0 END AS accepted
+FROM degree GROUP BY image_id"""
+SQL["T4_order_centre_line"] = """
+SELECT image_id, i, i AS y, CAST(1000 + sum(CAST(floor(x) AS BIGINT) % 3 - 1) OVER (PARTITION BY image_id ORDER BY i) AS INTEGER) AS x
+FROM centre"""
+
+# ---- table learning ----
+_Z = [f"CASE WHEN stddev_pop(embedding[{k + 1}]::DOUBLE) OVER () > 0 THEN (embedding[{k + 1}]::DOUBLE - avg(embedding[{k + 1}]::DOUBLE) OVER ())"
+      f" / stddev_pop(embedding[{k + 1}]::DOUBLE) OVER () ELSE 0 END" for k in range(64)]
+SQL["M1_standardize"] = ("SELECT vec_id AS image, CAST(label AS VARCHAR) AS genotype, "
+                         + ", ".join(r(e, f"f{k}") for k, e in enumerate(_Z)) + " FROM embeddings")
+_MX = "(x0 + (length // 2) * dx) / 320.0::DOUBLE"
+_V = ["orientation - 90", "CASE WHEN l_partkey % 4 = 1 THEN 1 ELSE 0 END", "y0 / 2000.0::DOUBLE", _MX,
+      f"0.2::DOUBLE * sin(3 * pi() * {_MX}) + 0.5", "curvature", "1.0 + tortuosity + dendrite_type * 0.05::DOUBLE",
+      "length / 100.0::DOUBLE", "intensity + 200.0 * dendrite_type"]
+SQL["M5_feature_vector"] = ("SELECT image_id, id, " + ", ".join(r(f"CAST({e} AS DOUBLE)", f"v{k}") for k, e in enumerate(_V))
+                            + " FROM branch")
+SQL["M8_split_80_20"] = """
+SELECT image_id, id, CASE WHEN CAST('0x' || substr(md5(image_id || '-' || id), 1, 8) AS BIGINT) < 858993459 THEN 1 ELSE 0 END AS is_test
+FROM branch"""
+
 
 def resolve(body):
     """Prefix a query with the building blocks it uses, in dependency order."""

@@ -1,11 +1,14 @@
 """The registered queries: one per operator, each over the whole of the driver's tables."""
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ramify.functions import patterns
+from ramify.functions import patterns, scalars
 from ramify.functions.scalars import pad_to, um
-from ramify.operators import compare, geometry, neighbors, profile, raster
+from ramify.operators import compare, correct, fragments, geometry, merge, ml, morphology
+from ramify.operators import neighbors, profile, raster, skeleton
 from ramify.sources import adapters as ad
 
 QUERIES = {}
@@ -363,3 +366,363 @@ def J17_straighten_stack(spark, sf):
 @query
 def A27_mean_interval(spark, sf):
     return geometry.mean_interval(ad.timepoint(spark, sf))
+
+
+# ---- shape of branches and fragments ---------------------------------------
+
+def _wiggly(spark, sf):
+    """Branches bent along x, so that curvature and sign changes occur."""
+    bend = lambda i: F.floor(i * i / 40) + (F.floor(i / 9) * (F.col("l_partkey") % 5)) % 4
+    line = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.struct(
+        (F.col("y0") + i * F.col("dy")).cast("int").alias("y"),
+        (F.col("x0") + i * F.col("dx") + bend(i)).cast("int").alias("x")))
+    return ad.branch_keys(spark, sf).select("image_id", "id", "dendrite_type", line.alias("segment"))
+
+
+def _coded(spark, sf):
+    return ad.fragment(spark, sf).drop("l_partkey")
+
+
+@query
+def A17_branch_summary(spark, sf):
+    return rounded(geometry.branch_summary(ad.branch_pt(spark, sf)))
+
+
+@query
+def A29_avg_step(spark, sf):
+    return rounded(_wiggly(spark, sf).select("image_id", "id", geometry.avg_step(F.col("segment")).alias("step")))
+
+
+@query
+def W6_menger_curvature(spark, sf):
+    return rounded(_wiggly(spark, sf).select(
+        "image_id", "id", geometry.menger_curvature(F.col("segment")).alias("curvature")))
+
+
+@query
+def W7_branch_geometry(spark, sf):
+    return rounded(geometry.branch_geometry(_wiggly(spark, sf), line="segment").drop("segment", "dendrite_type"))
+
+
+@query
+def W8_fragment_features(spark, sf):
+    shape = fragments.shape_features(_wiggly(spark, sf), ad.image(spark, sf))
+    return rounded(shape.drop("segment", "dendrite_type", "curvature"))
+
+
+@query
+def W13_assign_ids(spark, sf):
+    chains = ad.branch(spark, sf).select(
+        "image_id", (5 - F.col("dendrite_type")).alias("dendrite_type"), F.col("id").alias("start"))
+    return merge.assign_ids(chains)
+
+
+@query
+def P9_min_size_filter(spark, sf):
+    return fragments.min_size_filter(ad.branch(spark, sf), line="branch", more_than=20).select("image_id", "id", "length")
+
+
+@query
+def U4_class_union(spark, sf):
+    rows = stored(ad.branch(spark, sf).select("image_id", "id", "dendrite_type"))
+    parts = [profile.of_class(rows, c) for c in profile.CLASSES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+# ---- scalar functions ------------------------------------------------------
+
+def _ends(spark, sf):
+    b = ad.branch(spark, sf)
+    return b.select("image_id", "id", scalars.first_point(F.col("branch")).alias("p"),
+                    scalars.last_point(F.col("branch")).alias("q"), "branch", "orientation", "l_partkey")
+
+
+@query
+def F1_angle_deg(spark, sf):
+    return rounded(_ends(spark, sf).select("image_id", "id", scalars.angle_deg(
+        F.col("q.y") - F.col("p.y"), F.col("q.x") - F.col("p.x")).alias("angle")))
+
+
+@query
+def F2_wrapped_diff(spark, sf):
+    return rounded(_ends(spark, sf).select("image_id", "id", scalars.wrapped_diff(
+        F.col("orientation") * 2, F.lit(15.0)).alias("diff")))
+
+
+@query
+def F3_distance(spark, sf):
+    return rounded(_ends(spark, sf).select("image_id", "id", scalars.distance(
+        F.col("p.y"), F.col("p.x"), F.col("q.y"), F.col("q.x")).alias("d")))
+
+
+@query
+def F4_near_reversal(spark, sf):
+    back = F.struct((F.col("p.y") + F.col("id") % 7 - 3).alias("y"), (F.col("p.x") + F.col("id") % 5 - 2).alias("x"))
+    return _ends(spark, sf).select("image_id", "id", scalars.near_reversal(
+        F.col("p"), F.col("q"), back).cast("int").alias("reversal"))
+
+
+@query
+def F5_polyline_access(spark, sf):
+    line = F.col("branch")
+    m = scalars.middle_point(line)
+    return rounded(_ends(spark, sf).select(
+        "image_id", "id", scalars.mean_coord(line, "y").alias("mean_y"), scalars.mean_coord(line, "x").alias("mean_x"),
+        F.col("p.y").alias("y_first"), F.col("q.x").alias("x_last"), m["y"].alias("y_mid"), m["x"].alias("x_mid")))
+
+
+@query
+def F6_polyline_edit(spark, sf):
+    line = F.col("branch")
+    joined = F.concat(F.reverse(line), F.slice(line, 2, F.size(line) - 1))
+    return _ends(spark, sf).select("image_id", "id", F.posexplode(joined).alias("i", "pt")).select(
+        "image_id", "id", "i", "pt.y", "pt.x")
+
+
+@query
+def F7_filters(spark, sf):
+    rel = (F.col("l_partkey") % 320) / 320.0
+    c = (F.col("orientation") - 90) / 80.0
+    return rounded(_ends(spark, sf).select(
+        "image_id", "id", scalars.quat_filter(rel).alias("sine"), scalars.safe_acos(c).alias("angle")))
+
+
+@query
+def F8_text_keys(spark, sf):
+    name = F.concat_ws("_", F.lit("scan"), F.lit("x"), F.split("genotype", "-")[0], F.split("genotype", "-")[1], F.col("image"))
+    return ad.image(spark, sf).select(
+        "image_id", scalars.genotype_key(name).alias("genotype"),
+        F.regexp_replace(F.split(name, "_")[3], "day", "").cast("int").alias("age"))
+
+
+@query
+def F9_parse_timestamp(spark, sf):
+    text = F.when(F.col("event_id") % 7 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return (
+        ad.table(spark, sf, "events").select("event_id", scalars.parse_timestamp(text).alias("t"))
+        .filter("t is not null").select("event_id", F.unix_micros("t").alias("micros"))
+    )
+
+
+# ---- pixels under fragments ------------------------------------------------
+
+@query
+def J2_sample_intensity(spark, sf):
+    return rounded(fragments.sample_intensity(ad.branch(spark, sf), ad.intensity_pixel(spark, sf), line="branch"))
+
+
+@query
+def J3_label_midpoint(spark, sf):
+    return fragments.label_midpoint(_coded(spark, sf), ad.label_pixel(spark, sf))
+
+
+@query
+def P10_drop_unlabelled(spark, sf):
+    return fragments.drop_unlabelled(fragments.label_midpoint(_coded(spark, sf), ad.label_pixel(spark, sf)))
+
+
+@query
+def A21_class_distribution(spark, sf):
+    return ml.class_distribution(fragments.label_midpoint(_coded(spark, sf), ad.label_pixel(spark, sf)))
+
+
+@query
+def J4_layer_hits(spark, sf):
+    layer = morphology.direction_layers(stored(ad.skeleton(spark, sf)), ad.image(spark, sf))
+    hits = fragments.layer_hits(_coded(spark, sf), layer)
+    return rounded(hits.withColumn("horizontal_likely", F.col("horizontal_likely").cast("int")))
+
+
+@query
+def J14_local_density(spark, sf):
+    return rounded(fragments.local_density(_coded(spark, sf), ad.skeleton(spark, sf), ad.image(spark, sf)))
+
+
+@query
+def J13_connect_candidates(spark, sf):
+    return rounded(fragments.connect_candidates(stored(_coded(spark, sf)))).withColumn(
+        "needs_reverse", F.col("needs_reverse").cast("int"))
+
+
+@query
+def T3_nearest_candidate(spark, sf):
+    best = fragments.nearest_candidate(fragments.connect_candidates(stored(_coded(spark, sf))))
+    return rounded(best).withColumn("needs_reverse", F.col("needs_reverse").cast("int"))
+
+
+@query
+def J18_eval_join(spark, sf):
+    p = stored(ad.prediction(spark, sf))
+    return fragments.eval_join(p.select("image_id", "id", "predicted_type"), p.select("image_id", "id", "true_type"))
+
+
+@query
+def A22_confusion_matrix(spark, sf):
+    return ml.confusion_matrix(ad.prediction(spark, sf))
+
+
+@query
+def A23_classification_report(spark, sf):
+    return rounded(ml.classification_report(ad.prediction(spark, sf)))
+
+
+@query
+def A24_accuracy(spark, sf):
+    return rounded(ml.accuracy(ad.prediction(spark, sf)))
+
+
+# ---- corrections -----------------------------------------------------------
+
+def _span(spark, sf):
+    return stored(correct.spans(ad.fragment(spark, sf)))
+
+
+@query
+def J6_touching_semi(spark, sf):
+    return correct.touching(_span(spark, sf))
+
+
+@query
+def J7_y_overlap_exists(spark, sf):
+    return correct.y_overlap_exists(_span(spark, sf)).withColumn("overlaps", F.col("overlaps").cast("int"))
+
+
+@query
+def J8_correct_tertiary(spark, sf):
+    return correct.correct_tertiary(stored(_coded(spark, sf))).select("image_id", "id", "dendrite_type")
+
+
+@query
+def J9_correct_primary(spark, sf):
+    return correct.correct_primary(_span(spark, sf)).select(
+        "image_id", "id", "dendrite_type", F.col("changed").cast("int").alias("changed"))
+
+
+@query
+def I1_primary_fixpoint(spark, sf):
+    return correct.primary_fixpoint(stored(_coded(spark, sf))).select("image_id", "id", "dendrite_type")
+
+
+# ---- binary images ---------------------------------------------------------
+
+@query
+def W9_morph_open_line(spark, sf):
+    rows, img = stored(ad.skeleton(spark, sf)), ad.image(spark, sf)
+    both = [morphology.morph_open_line(rows, img, axis=a).withColumn("axis", F.lit(a)) for a in ("y", "x")]
+    return both[0].unionByName(both[1])
+
+
+@query
+def W10_reconstruct_cross(spark, sf):
+    rows = stored(ad.skeleton(spark, sf))
+    return morphology.reconstruct_cross(morphology.morph_open_line(rows, ad.image(spark, sf)), rows)
+
+
+@query
+def U2_layer_subtract(spark, sf):
+    return morphology.direction_layers(stored(ad.skeleton(spark, sf)), ad.image(spark, sf))
+
+
+@query
+def U3_layer_intersect(spark, sf):
+    rows, img = stored(ad.skeleton(spark, sf)), ad.image(spark, sf)
+    return morphology.layer_intersect(morphology.morph_open_line(rows, img, axis="y"),
+                                      morphology.morph_open_line(rows, img, axis="x"))
+
+
+@query
+def J5_pixel_adjacency(spark, sf):
+    return skeleton.pixel_adjacency(ad.mask(spark, sf))
+
+
+@query
+def W12_stencil_degree(spark, sf):
+    return skeleton.stencil_degree(ad.skeleton(spark, sf))
+
+
+@query
+def A26_endpoint_check(spark, sf):
+    return skeleton.endpoint_check(skeleton.stencil_degree(ad.skeleton(spark, sf))).withColumn(
+        "accepted", F.col("accepted").cast("int"))
+
+
+@query
+def I2_components(spark, sf):
+    return morphology.label_components(ad.mask(spark, sf)).groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def I2_remove_small_objects(spark, sf):
+    return morphology.remove_small_objects(ad.mask(spark, sf), 20)
+
+
+@query
+def I3_fill_holes(spark, sf):
+    return morphology.fill_holes(ad.mask(spark, sf), ad.pixel_image(spark, sf))
+
+
+@query
+def I4_skeletonize(spark, sf):
+    return morphology.skeletonize(ad.skeleton(spark, sf))
+
+
+@query
+def I5_trace_fragments(spark, sf):
+    traced = skeleton.trace_fragments(stored(ad.skeleton(spark, sf)))
+    return traced.select("image_id", "id", F.size("segment").alias("length"),
+                         scalars.first_point(F.col("segment"))["y"].alias("y_first"),
+                         scalars.last_point(F.col("segment"))["y"].alias("y_last"))
+
+
+@query
+def I6_prune_spurs(spark, sf):
+    return skeleton.prune_spurs(stored(ad.skeleton(spark, sf)))
+
+
+def _wandering(spark, sf):
+    """One centre line per image: a step of -1, 0 or 1 sideways per row."""
+    side = F.sum(F.floor(F.col("x")) % 3 - 1).over(
+        Window.partitionBy("image_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return ad.centre(spark, sf).select("image_id", F.col("i").alias("y"), (1000 + side).cast("int").alias("x"))
+
+
+@query
+def T4_order_centre_line(spark, sf):
+    return skeleton.order_centre_line(stored(_wandering(spark, sf)))
+
+
+# ---- merging ---------------------------------------------------------------
+
+@query
+def I7_merge_fragments(spark, sf):
+    return merge.merge_fragments(stored(_coded(spark, sf))).select(
+        "image_id", "dendrite_type", "start", F.size("branch").alias("length"))
+
+
+@query
+def I8_reconstruct_branches(spark, sf):
+    out = merge.reconstruct_branches(stored(_coded(spark, sf)), ad.intensity_pixel(spark, sf))
+    return rounded(out.withColumn("n_neighbors", F.size("neighbors")).drop("branch", "neighbors"))
+
+
+# ---- table learning --------------------------------------------------------
+
+_MATRIX = [f"f{i}" for i in range(64)]
+
+
+@query
+def M1_standardize(spark, sf):
+    return rounded(ml.standardize(ad.matrix(spark, sf), _MATRIX))
+
+
+@query
+def M5_feature_vector(spark, sf):
+    v = vector_to_array("features")
+    return rounded(ml.feature_vector(ad.fragment_features(spark, sf)).select(
+        "image_id", "id", *[v[i].alias(f"v{i}") for i in range(9)]))
+
+
+@query
+def M8_split_80_20(spark, sf):
+    return ml.split_80_20(ad.branch_keys(spark, sf).select("image_id", "id"), ["image_id", "id"]).withColumn(
+        "is_test", F.col("is_test").cast("int"))
