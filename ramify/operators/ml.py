@@ -4,9 +4,12 @@ import math
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ramify.functions.patterns import cut, salted_join, two_level_rank
+
 CLASSIFIER_FEATURES = [
     "orientation", "horizontal_likely", "relative_y", "relative_x", "quat_filter",
     "curvature", "tortuosity", "local_density", "average_intensity",
@@ -152,3 +155,87 @@ def classification_report(df, *, true="true_type", predicted="predicted_type"):
         .unionByName(per.agg(*[mean(c) for c in cols], F.sum("support").alias("support")).withColumn("label", F.lit("macro avg")))
         .unionByName(per.agg(*[weighted(c) for c in cols], F.sum("support").alias("support")).withColumn("label", F.lit("weighted avg")))
     )
+
+
+# ---- balancing -------------------------------------------------------------
+
+def _nearest_same_class(base, pool, dims, k):
+    """Exact k nearest distinct vectors of the same class for each base row.
+
+    Rows are looked up in a grid over the two widest features: a 3 x 3 block of cells of side c
+    holds every neighbour within c, so a row whose k-th distance is at most c is settled. The
+    others go on with cells twice as large, until one block spans the data.
+    """
+    a, b = dims
+    lo = pool.agg(*[f(F.element_at("vec", d + 1)) for d in dims for f in (F.min, F.max)]).first()
+    span = max((lo[1] or 0) - (lo[0] or 0), (lo[3] or 0) - (lo[2] or 0), 1e-9)
+    n = max(1, pool.count())
+    side = span / max(1.0, math.sqrt(n)) / 4
+    settled, left = None, cut(base)
+    cell = lambda d, s: F.floor(F.element_at("vec", d + 1) / F.lit(s))
+    while True:
+        whole = side >= span
+        near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
+        asked = (
+            left.withColumn("cy", F.explode(F.transform(near, lambda o: o + cell(a, side))))
+            .withColumn("cx", F.explode(F.transform(near, lambda o: o + cell(b, side))))
+        )
+        other = pool.select("label", F.col("vec").alias("other"), "copies", cell(a, side).alias("cy"), cell(b, side).alias("cx"))
+        gap = F.sqrt(F.aggregate(F.zip_with("vec", "other", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+        rank = F.row_number().over(Window.partitionBy("row_id").orderBy("gap", F.hash("other"), "other"))
+        best = (
+            asked.join(other, ["label", "cy", "cx"]).filter(F.col("vec") != F.col("other"))
+            .select("row_id", gap.alias("gap"), "other", "copies")
+            .withColumn("rank", rank).filter(F.col("rank") <= k)
+            .groupBy("row_id").agg(
+                F.array_sort(F.collect_list(F.struct("gap", "other", "copies"))).alias("near"), F.max("gap").alias("far"),
+                F.count(F.lit(1)).alias("found"))
+        )
+        got = cut(left.join(best, "row_id", "left").withColumn(
+            "ok", F.lit(whole) | ((F.coalesce("found", F.lit(0)) >= k) & (F.coalesce("far", F.lit(math.inf)) <= side))))
+        part = got.filter("ok").select(*left.columns, "near")
+        settled = part if settled is None else settled.unionByName(part)
+        left = got.filter("not ok").select(*left.columns)
+        if whole or left.isEmpty():
+            return settled
+        side *= 2
+
+
+def smote(df, key, *, label="label", k=5, seed=SEED):
+    """Bring every class to the size of the largest with points between near neighbours.
+
+    Each synthetic row lies at a random share of the way from a row to one of its k nearest rows of
+    the same class. Choices are hashed from the row's key, so the result does not move with
+    partitioning. Identical vectors are counted once in the neighbour search.
+    """
+    rows = df.select(F.xxhash64(F.lit(seed), *key).alias("row_id"), F.col(label).cast("int").alias("label"),
+                     vector_to_array("features").alias("vec"))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    want = counts.join(F.broadcast(counts.agg(F.max("n").alias("top")))).withColumn("need", F.col("top") - F.col("n"))
+    ranked = two_level_rank(rows, ["label"], F.shiftright("row_id", 48), ["row_id"], "place")
+    ranked = salted_join(ranked, want, ["label"], F.col("row_id"))
+    per_row = F.floor(F.col("need") / F.col("n")) + F.when(F.col("place") < F.col("need") % F.col("n"), 1).otherwise(0)
+    base = ranked.withColumn("times", per_row).filter("times > 0").select("row_id", "label", "vec", "times")
+    pool = cut(rows.groupBy("label", "vec").agg(F.count(F.lit(1)).alias("copies")))
+    size = len(CLASSIFIER_FEATURES)
+    var = rows.agg(*[F.coalesce(F.var_pop(F.element_at("vec", i + 1)), F.lit(0.0)) for i in range(size)]).first()
+    dims = sorted(range(size), key=lambda i: -(var[i] or 0.0))[:2]
+    found = _nearest_same_class(base, pool, dims, k)
+    own = pool.withColumnRenamed("copies", "twins")
+    picked = (
+        found.join(own, ["label", "vec"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+        .withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "row_id", "copy", F.lit("n")), F.lit(k)))
+        .withColumn("share", F.pmod(F.xxhash64(F.lit(seed), "row_id", "copy", F.lit("s")), F.lit(1 << 30)) / float(1 << 30))
+    )
+    # Twins come first (their distance is 0); the pick then runs through the other vectors by their copies.
+    step = F.aggregate(
+        F.coalesce("near", F.array().cast(found.schema["near"].dataType)),
+        F.struct((F.col("pick") - F.col("twins") + 1).alias("left"), F.col("vec").alias("at")),
+        lambda acc, v: F.struct(
+            (acc["left"] - F.when(acc["left"] < 0, 0).otherwise(v["copies"])).alias("left"),
+            F.when(acc["left"] >= 0, v["other"]).otherwise(acc["at"]).alias("at")))
+    mixed = F.zip_with("vec", step["at"], lambda p, q: p + F.col("share") * (q - p))
+    new = picked.select(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in key],
+                        F.col("label"), array_to_vector(mixed).alias("features"))
+    return df.select(*key, F.col(label).cast("int").alias("label"), "features").unionByName(new)

@@ -407,7 +407,7 @@ d AS (SELECT *, angle - lag(angle) OVER (PARTITION BY image_id, id ORDER BY k) A
 s AS (SELECT *, least(abs(t), 360 - abs(t)) AS turn, (t >= 0) <> lag(t >= 0) OVER (PARTITION BY image_id, id ORDER BY k) AS sw FROM d),
 g AS (SELECT image_id, id, length, degrees(atan2(avg(dy), avg(dx))) AS o,
              CASE WHEN length >= 14 THEN avg(turn) ELSE 0 END AS curvature, count(*) FILTER (sw) AS switches
-      FROM s GROUP BY ALL)
+      FROM s GROUP BY image_id, id, length)
 SELECT image_id, id, {r("CASE WHEN o < 0 THEN o + 180 ELSE o END", "orientation")}, {r("curvature", "curvature")},
        {r("CASE WHEN length >= 14 THEN curvature * switches / length ELSE 0 END", "tortuosity")} FROM g"""
 SQL["W8_fragment_features"] = f"""
@@ -487,7 +487,8 @@ FROM (SELECT image_id, id, greatest(0, my - 200) AS y_lo, least(2000, my + 200)
 JOIN skel s ON s.image_id = f.image_id AND s.y >= y_lo AND s.y < y_hi AND s.x >= x_lo AND s.x < x_hi
 GROUP BY f.image_id, f.id"""
 CTE["steps"] = """
-SELECT image_id, id, sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) AS step FROM branch"""
+SELECT image_id, id, list_reduce(list_transform(range(length), lambda k: CASE WHEN k = 0 THEN 0.0::DOUBLE
+         ELSE sqrt(CAST(dy * dy + dx * dx AS DOUBLE)) END), lambda a, b: a + b) / (length - 1) AS step FROM branch"""
 CTE["cand"] = """
 SELECT * FROM (
   SELECT a.image_id, a.dendrite_type, a.id AS a, b.id AS b,
@@ -590,6 +591,67 @@ SQL["M8_split_80_20"] = """
 SELECT image_id, id, CASE WHEN CAST('0x' || substr(md5(image_id || '-' || id), 1, 8) AS BIGINT) < 858993459 THEN 1 ELSE 0 END AS is_test
 FROM branch"""
 
+CTE["four"] = "SELECT unnest([-1, 1, 0, 0]) AS oy, unnest([0, 0, -1, 1]) AS ox"
+CTE["lit"] = "SELECT image_id, y, x, y * 64 + x AS code FROM mask"
+_REACH = """WITH RECURSIVE reach AS (
+  SELECT image_id, code AS label, y, x FROM lit
+  UNION SELECT r.image_id, r.label, l.y, l.x FROM reach r, four, lit l
+  WHERE l.image_id = r.image_id AND l.y = r.y + oy AND l.x = r.x + ox AND r.label <= l.code),
+named AS (SELECT image_id, y, x, min(label) AS label FROM reach GROUP BY ALL),
+sized AS (SELECT image_id, label, count(*) AS n FROM named GROUP BY ALL)
+"""
+SQL["I2_components"] = _REACH + """
+SELECT image_id, CAST((label // 64) * 4294967296 + label % 64 AS BIGINT) AS label, n FROM sized"""
+SQL["I2_remove_small_objects"] = _REACH + """
+SELECT n.image_id, y, x FROM named n JOIN sized s ON s.image_id = n.image_id AND s.label = n.label WHERE s.n >= 20"""
+CTE["dark"] = """
+SELECT image_id, y, x, length_px, width_px FROM (
+  SELECT image_id, length_px, width_px, unnest(range(length_px * width_px)) // width_px AS y,
+         unnest(range(length_px * width_px)) % width_px AS x FROM pimage)
+WHERE (image_id, y, x) NOT IN (SELECT (image_id, y, x) FROM mask)"""
+SQL["I3_fill_holes"] = """WITH RECURSIVE outside AS (
+  SELECT image_id, y, x FROM dark WHERE y = 0 OR x = 0 OR y = length_px - 1 OR x = width_px - 1
+  UNION SELECT d.image_id, d.y, d.x FROM outside o, four, dark d
+  WHERE d.image_id = o.image_id AND d.y = o.y + oy AND d.x = o.x + ox)
+SELECT image_id, y, x FROM mask
+UNION ALL SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x
+FROM (SELECT image_id, y, x FROM dark EXCEPT SELECT image_id, y, x FROM outside)"""
+
+# ---- files ----
+SQL["S1_scan_branches"] = f"""
+SELECT image_id, id, dendrite_type, length, {r("orientation", "orientation")}, {r("mean_y", "mean_y")},
+       {r("intensity", "intensity")}, length AS n_points, CAST(y1 AS INTEGER) AS y_last, CAST(x1 AS INTEGER) AS x_last, 2 AS n_neighbors FROM pos"""
+SQL["S2_parse_polyline"] = "SELECT image_id, id, i, y, x FROM pt"
+SQL["S3_image_manifest"] = "SELECT DISTINCT l_suppkey AS image_id FROM lineitem"
+SQL["S4_image_keys"] = """
+SELECT image_id, s AS image, genotype, s || '_maxProj.tif' AS projection, s || '_seg.tif' AS segmentation,
+       s || '_Straightened.tif' AS straightened
+FROM (SELECT image_id, genotype, 'e_run_' || replace(genotype, '-', '_') || '_' || image AS s FROM image)"""
+SQL["S5_raster_slice"] = "SELECT image_id, z, y, x, v FROM voxel WHERE channel = 1"
+SQL["S5_resolution_levels"] = "SELECT DISTINCT resolution FROM voxel"
+SQL["S6_image_meta"] = f"""
+SELECT image_id, CAST(width_px AS INTEGER) AS size_x, CAST(length_px AS INTEGER) AS size_y, 4 AS size_z, 'um' AS unit,
+       'image ' || image_id AS description, 2 AS num_channels, 3 AS num_timepoints,
+       image_id + 0.5::DOUBLE AS origin_x, image_id + 0.5::DOUBLE + width_px * 0.25::DOUBLE AS extent_x,
+       {r("0.25", "pixel_x", 4)}, {r("0.5", "pixel_y", 4)}, {r("1.5", "pixel_z", 4)} FROM image"""
+SQL["S6_channel_meta"] = """
+SELECT image_id, 'Channel ' || c AS channel, 'c' || c AS name, 'channel ' || c || ' of ' || image_id AS description,
+       500.0::DOUBLE + 10 * c AS emission_wavelength, 480.0::DOUBLE + image_id % 7 AS excitation_wavelength
+FROM image, (SELECT unnest([0, 1]) AS c)"""
+SQL["S6_timepoints"] = """
+SELECT image_id, CAST(n AS INTEGER) AS n, 1704067200000000 + n * 1000000 * (10 + image_id % 5) AS micros
+FROM image, (SELECT unnest([1, 3]) AS n)"""
+SQL["S7_coerce_attr"] = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       {r("CASE WHEN l_linenumber % 3 = 0 THEN round(l_extendedprice) + 0.25 ELSE -1 END", "d")},
+       CASE WHEN l_linenumber % 3 = 1 THEN l_orderkey ELSE -1 END AS l,
+       CASE WHEN l_linenumber % 3 = 2 THEN 'x' || l_orderkey ELSE '' END AS s
+FROM lineitem"""
+SQL["S9_write_features"] = SQL["A10_feature_table"]
+SQL["S10_write_raster"] = """
+SELECT 'small' AS kind, image_id, y // 8 AS y, x // 8 AS x, max(v) AS v FROM voxel WHERE y % 8 = 0 AND x % 8 = 0 GROUP BY ALL
+UNION ALL SELECT 'projection', image_id, y, x, max(v) FROM voxel GROUP BY ALL"""
+
 
 def resolve(body):
     """Prefix a query with the building blocks it uses, in dependency order."""
@@ -606,8 +668,9 @@ def resolve(body):
     if not need:
         return body
     own = body.lstrip()
-    rest = ",\n" + own[len("WITH "):] if own.startswith("WITH ") else "\n" + own
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in need) + rest
+    head = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
+    rest = ",\n" + own[len(head):] if own.startswith(head) else "\n" + own
+    return head + ",\n".join(f"{n} AS ({CTE[n]})" for n in need) + rest
 
 
 def oracle_sql():

@@ -9,7 +9,9 @@ from ramify.functions import patterns, scalars
 from ramify.functions.scalars import pad_to, um
 from ramify.operators import compare, correct, fragments, geometry, merge, ml, morphology
 from ramify.operators import neighbors, profile, raster, skeleton
+from ramify.plans import flows
 from ramify.sources import adapters as ad
+from ramify.sources import files
 
 QUERIES = {}
 
@@ -726,3 +728,230 @@ def M5_feature_vector(spark, sf):
 def M8_split_80_20(spark, sf):
     return ml.split_80_20(ad.branch_keys(spark, sf).select("image_id", "id"), ["image_id", "id"]).withColumn(
         "is_test", F.col("is_test").cast("int"))
+
+
+def _pca(spark, sf):
+    return ml.Components(stored(ad.matrix(spark, sf)), _MATRIX)
+
+
+@query
+def M2_pca(spark, sf):
+    return rounded(_pca(spark, sf).scores())
+
+
+@query
+def M3_explained_variance(spark, sf):
+    return rounded(_pca(spark, sf).explained_variance())
+
+
+@query
+def M4_loadings(spark, sf):
+    return rounded(_pca(spark, sf).loadings())
+
+
+@query
+def J19_scores_concat(spark, sf):
+    features = stored(_features(spark, sf))
+    return rounded(ml.Components(features, profile.NUMERIC_FEATURES).scores())
+
+
+def _train(spark, sf, **options):
+    frag = stored(ad.fragment_features(spark, sf).join(
+        ad.fragment(spark, sf).select("image_id", "id", "segment"), ["image_id", "id"]).drop("dendrite_type"))
+    return flows.train_classifier(frag, ad.label_pixel(spark, sf), **options), frag
+
+
+@query
+def M12_train_classifier(spark, sf):
+    (_, test, _), _ = _train(spark, sf)
+    return rounded(ml.classification_report(test))
+
+
+def _model(spark, sf):
+    """A forest on the fragment table, and the rows it was trained on."""
+    rows = stored(ml.feature_vector(ad.fragment_features(spark, sf).withColumnRenamed("dendrite_type", "label")))
+    return ml.forest_train(rows, trees=20, depth=8), rows
+
+
+@query
+def M6_forest_train(spark, sf):
+    model, rows = _model(spark, sf)
+    out = ml.forest_predict(model, rows).select(F.col("label").alias("true_type"), F.col("dendrite_type").alias("predicted_type"), "length")
+    return rounded(ml.accuracy(out))
+
+
+@query
+def M7_forest_predict(spark, sf):
+    model, rows = _model(spark, sf)
+    return ml.forest_predict(model, rows).select("image_id", "id", "dendrite_type")
+
+
+@query
+def M9_smote(spark, sf):
+    rows = stored(ml.feature_vector(ad.fragment_features(spark, sf).withColumnRenamed("dendrite_type", "label")))
+    return ml.class_distribution(ml.smote(rows, ["image_id", "id"]))
+
+
+@query
+def M10_feature_importance(spark, sf):
+    return rounded(ml.feature_importance(_model(spark, sf)[0], spark))
+
+
+@query
+def T2_importance_rank(spark, sf):
+    scores = ml.feature_importance(_model(spark, sf)[0], spark)
+    return rounded(ml.importance_rank(scores))
+
+
+@query
+def M11_model_io(spark, sf):
+    model, rows = _model(spark, sf)
+    path = patterns.scratch_path(spark, "model")
+    ml.save_model(model, path)
+    return ml.forest_predict(ml.load_model(path), rows).groupBy("dendrite_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- composed jobs ---------------------------------------------------------
+
+@query
+def I9_mask_to_fragments(spark, sf):
+    out = flows.mask_to_fragments(stored(ad.skeleton(spark, sf)), ad.image(spark, sf), ad.intensity_pixel(spark, sf))
+    return rounded(out.drop("segment"))
+
+
+@query
+def I10_classify_and_correct(spark, sf):
+    frag = stored(ad.fragment_features(spark, sf).drop("dendrite_type").join(
+        ad.fragment(spark, sf).select("image_id", "id", "segment"), ["image_id", "id"]))
+    return flows.classify_and_correct(frag, _model(spark, sf)[0]).select("image_id", "id", "dendrite_type")
+
+
+# ---- files -----------------------------------------------------------------
+
+def _saved_branches(spark, sf):
+    folder = patterns.scratch_path(spark, "branches")
+    rows = ad.branch(spark, sf).withColumn("neighbors", F.array("id", F.col("id") + 1))
+    files.write_branches(rows, folder)
+    return folder
+
+
+@query
+def S1_scan_branches(spark, sf):
+    rows = files.scan_branches(spark, _saved_branches(spark, sf), pattern="*.csv")
+    end = scalars.last_point(F.col("branch"))
+    return rounded(rows.select(
+        F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "id", "dendrite_type", "length",
+        "orientation", "mean_y", "intensity", F.size("branch").alias("n_points"), end["y"].alias("y_last"),
+        end["x"].alias("x_last"), F.size("neighbors").alias("n_neighbors")))
+
+
+@query
+def S2_parse_polyline(spark, sf):
+    text = files.render_polyline(F.col("branch"))
+    numpy_text = F.regexp_replace(text, r"(\d+)", "np.int64($1)")
+    rows = ad.branch(spark, sf).select("image_id", "id", F.when(F.col("id") % 2 == 0, text).otherwise(numpy_text).alias("t"))
+    return rows.select("image_id", "id", F.posexplode(files.parse_polyline(F.col("t"))).alias("i", "p")).select(
+        "image_id", "id", "i", "p.y", "p.x")
+
+
+@query
+def S3_image_manifest(spark, sf):
+    found = files.image_manifest(spark, _saved_branches(spark, sf), pattern="*.csv")
+    return found.select(F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id")).distinct()
+
+
+@query
+def S4_image_keys(spark, sf):
+    path = F.concat(F.lit("/data/run_7/e_run_"), F.replace("genotype", F.lit("-"), F.lit("_")), F.lit("_"), F.col("image"),
+                    F.lit("_branches.csv"))
+    return files.image_keys(ad.image(spark, sf).select("image_id", path.alias("path"))).drop("path")
+
+
+def _saved_voxels(spark, sf):
+    folder = patterns.scratch_path(spark, "voxels")
+    files.write_raster(ad.voxel(spark, sf).drop("p"), folder, by=("resolution", "time_point", "channel"))
+    return folder
+
+
+@query
+def S5_raster_slice(spark, sf):
+    return files.raster_slice(spark, _saved_voxels(spark, sf), channel=1).select("image_id", "z", "y", "x", "v")
+
+
+@query
+def S5_resolution_levels(spark, sf):
+    return files.resolution_levels(spark, _saved_voxels(spark, sf))
+
+
+def _attr(spark, sf):
+    """Attribute rows of every image, as text."""
+    i = F.col("image_id")
+    text = lambda c: c.cast("string")
+    origin = i + 0.5
+    step = 10 + i % 5
+    stamp = lambda n: F.date_format(F.timestamp_micros(
+        F.lit(1704067200000000) + n * 1000000 * step), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rows = [
+        ("Image", "X", text(F.col("width_px"))), ("Image", "Y", text(F.col("length_px"))), ("Image", "Z", F.lit("4")),
+        ("Image", "ExtMin0", text(origin)), ("Image", "ExtMin1", F.lit("0.0")), ("Image", "ExtMin2", F.lit("0")),
+        ("Image", "ExtMax0", text(origin + F.col("width_px") * 0.25)), ("Image", "ExtMax1", text(F.col("length_px") * 0.5)),
+        ("Image", "ExtMax2", F.lit("6.0")), ("Image", "Unit", F.lit("um")),
+        ("Image", "Description", F.concat(F.lit("image "), text(i))), ("Image", "RecordingDate", F.lit("2024-01-01")),
+        ("TimeInfo", "DatasetTimePoints", F.lit("3")), ("TimeInfo", "TimePoint1", stamp(1)),
+        ("TimeInfo", "TimePoint2", F.lit("unreadable")), ("TimeInfo", "TimePoint3", stamp(3)),
+        ("TimeInfo", "TimePoint5", stamp(5)),
+    ]
+    for c in (0, 1):
+        rows += [(f"Channel {c}", "Name", F.lit(f"c{c}")),
+                 (f"Channel {c}", "Description", F.concat(F.lit(f"channel {c} of "), text(i))),
+                 (f"Channel {c}", "LSMEmissionWavelength", F.lit(str(500 + 10 * c))),
+                 (f"Channel {c}", "LSMExcitationWavelength", text(480 + i % 7))]
+    cells = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(k).alias("key"), v.alias("value")) for g, k, v in rows])
+    return ad.image(spark, sf).select("image_id", F.explode(cells).alias("a")).select("image_id", "a.*")
+
+
+@query
+def S6_image_meta(spark, sf):
+    meta = files.image_meta(_attr(spark, sf))
+    return rounded(meta.select(
+        "image_id", "size_x", "size_y", "size_z", "unit", "description", "num_channels", "num_timepoints",
+        F.col("image_origin.x").alias("origin_x"), F.col("image_extent.x").alias("extent_x"),
+        *[F.col(f"pixel_sizes.{a}").alias(f"pixel_{a}") for a in "xyz"]))
+
+
+@query
+def S6_channel_meta(spark, sf):
+    return files.channel_meta(_attr(spark, sf))
+
+
+@query
+def S6_timepoints(spark, sf):
+    return files.timepoints(_attr(spark, sf)).select("image_id", "n", F.unix_micros("ts").alias("micros"))
+
+
+@query
+def S7_coerce_attr(spark, sf):
+    kind = F.col("l_linenumber") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.round("l_extendedprice").cast("bigint").cast("string"), F.lit(".25")))
+        .when(kind == 1, F.col("l_orderkey").cast("string")).otherwise(F.concat(F.lit("x"), F.col("l_orderkey").cast("string"))))
+    li = ad.table(spark, sf, "lineitem").withColumn("a", files.coerce_attr(text))
+    return rounded(li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("a.d", F.lit(-1.0)).alias("d"),
+        F.coalesce("a.l", F.lit(-1).cast("long")).alias("l"), F.coalesce("a.s", F.lit("")).alias("s")))
+
+
+@query
+def S9_write_features(spark, sf):
+    folder = patterns.scratch_path(spark, "features")
+    files.write_features(_features(spark, sf), folder)
+    return rounded(files.read_features(spark, folder))
+
+
+@query
+def S10_write_raster(spark, sf):
+    folder = patterns.scratch_path(spark, "rasters")
+    vox = ad.voxel(spark, sf)
+    small = raster.make_small(vox).withColumn("kind", F.lit("small"))
+    files.write_raster(small.unionByName(raster.max_projection(vox).withColumn("kind", F.lit("projection"))), folder)
+    return spark.read.parquet(folder)
