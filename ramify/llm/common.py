@@ -29,39 +29,61 @@ def lower_ascii(col):
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
 
 
-def bounded_sample(texts, label, per_class, classes):
-    """At most `per_class` rows (text, label) of each class, those with the least hashes.
+def labelled_sample(documents, labels, label, classes, learn, per_class, seed=5):
+    """Texts and labels of the rows to learn from, and the number of such labels per class.
 
-    The bound is per class, so the result fits the driver. Null and empty texts are left out.
-    """
-    rows = texts.filter(F.length("text") > 0).withColumn("_h", F.xxhash64("text", F.lit(17)))
-    parts = [
-        rows.filter(F.col(label) == c).orderBy("_h", "text").limit(per_class).select("text", label)
-        for c in classes
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return [(r["text"], r[label]) for r in out.toLocalIterator()]
-
-
-def labelled_sample(documents, labels, label, held_mod, held_rem, per_class):
-    """Texts and labels of training rows only: at most `per_class` of each of the classes 0 and 1.
-
-    The ids are chosen first, from the narrow label table, so that only their texts are read and moved.
-    An id with several labels counts as its largest; repeated ids are cut by the same bound.
+    At most `per_class` ids of each class are chosen, those with the least hashes, from the narrow label table
+    alone; only their texts are read and sent. `learn` is the condition on doc_id. An id with several labels
+    counts as its largest. Null and empty texts are left out; repeated ids fall under the same total bound.
     """
     usable = (
-        labels.select("doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-        .filter(id_remainder(held_mod) != held_rem).groupBy("doc_id").agg(F.max(label).alias(label))
-        .withColumn("_h", F.xxhash64("doc_id", F.lit(5)))
+        labels.select("doc_id", F.col(label).alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(*classes)).filter(learn)
+        .groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     )
+    sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().toLocalIterator()}
     chosen = None
-    for c in (0, 1):
-        part = usable.filter(F.col(label) == c).orderBy("_h", "doc_id").limit(per_class).drop("_h")
+    for c in classes:
+        part = usable.filter(F.col("label") == c).orderBy("_h", "doc_id").limit(per_class).select("doc_id", "label")
         chosen = part if chosen is None else chosen.union(part)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_class ids
-    return bounded_sample(texts, label, per_class, (0, 1))
+    rows = (
+        documents.select("doc_id", "text").filter(F.length("text") > 0)
+        .join(F.broadcast(chosen), "doc_id")  # at most per_class * len(classes) ids
+        .withColumn("_h", F.xxhash64("text", F.lit(seed)))
+        .orderBy("_h", "doc_id", "text").limit(per_class * len(classes)).select("text", "label")
+    )
+    return [(r["text"], r["label"]) for r in rows.collect()], sizes
+
+
+def held_out(n, rem, doc_id="doc_id"):
+    """True for ids never learned from: crc32 of the id modulo n is `rem`, or the id is null."""
+    return F.coalesce(id_remainder(n, doc_id) == rem, F.lit(True))
+
+
+def map_texts(df, func, schema, batch_rows=2000):
+    """mapInArrow with batches of few rows, so that a batch of very long texts stays small."""
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                yield func(batch.slice(at, batch_rows))
+    return df.mapInArrow(parts, schema)
+
+
+def logistic(x, y, weight, ridge=0.1, rounds=60):
+    """Weighted logistic regression by Newton steps; returns the coefficients."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        hess = x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def sigmoid(z):
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
 # ---- bytes, words, shingles -------------------------------------------------
@@ -146,6 +168,15 @@ def words(raw, offsets):
     return start, end, hashes, np.searchsorted(start, offsets)
 
 
+def prefixes(raw, start, end, length):
+    """Words longer than `length` bytes: their indexes and the hashes of their first `length` bytes."""
+    longer = np.flatnonzero(end - start > length)
+    out = np.zeros(len(longer), np.uint64)
+    for k in range(length):
+        out += _LETTER[raw[start[longer] + k]] * np.uint64(pow(_R, k, 1 << 64))
+    return longer, mix(out ^ np.uint64(length))
+
+
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD,
                                 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB)]

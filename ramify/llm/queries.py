@@ -2,8 +2,32 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import exact_dedup, sharding
-from ramify.llm.common import table
+from ramify.llm import exact_dedup, langid, quality, sharding, toxicity
+from ramify.llm.common import held_out, id_remainder, labelled_sample, table
+
+
+def op2_language_filters(spark, sf_dir):
+    """Language of every document, learned from documents whose id remainder modulo 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    langs = [r["lang"] for r in docs.filter("lang IS NOT NULL").groupBy("lang").count()
+             .orderBy(F.desc("count"), "lang").limit(65).collect()]
+    sample, sizes = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", langs or [""],
+                                    id_remainder(4) != 2, langid.PER_LANGUAGE)
+    found = langid.detect(docs, langid.fit(sample, sizes))
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample, sizes = labelled_sample(docs, labels, "quality", [0, 1], id_remainder(3) != 1, quality.PER_CLASS)
+    return quality.fit(sample, sizes)
+
+
+def op3_compression_quality(spark, sf_dir):
+    """Quality of every document, learned from labels whose id remainder modulo 3 is not 1."""
+    scored = quality.score_texts(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_stratified_interleave(spark, sf_dir):
@@ -16,13 +40,24 @@ def op4_stratified_interleave(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_toxic_sentences(spark, sf_dir):
+    """Toxicity of every document and its worst sentence, learned from labels whose id remainder modulo 3 is not 1."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample, sizes = labelled_sample(docs, labels, "toxic", [0, 1], id_remainder(3) != 1, toxicity.PER_CLASS)
+    scored = toxicity.score_texts(docs, toxicity.fit(sample, sizes))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"),
+                         "worst_score", "worst_start", "worst_end")
+
+
 def op9_exact_dedup(spark, sf_dir):
     """Every document with its group of equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_stratified_interleave, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_language_filters, op3_compression_quality, op4_stratified_interleave, op6_toxic_sentences, op9_exact_dedup)}
 
 ORACLE = {
     "op9_exact_dedup": """
