@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import exact_dedup, langid, quality, sharding, toxicity
+from ramify.llm import exact_dedup, langid, ngram_join, quality, sharding, toxicity
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -50,6 +50,11 @@ def op6_toxic_sentences(spark, sf_dir):
                          "worst_score", "worst_start", "worst_end")
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    """Every document with its set size and its component of 0.75-similar documents."""
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     """Every document with its group of equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,7 +62,8 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_filters, op3_compression_quality, op4_stratified_interleave, op6_toxic_sentences, op9_exact_dedup)}
+    op2_language_filters, op3_compression_quality, op4_stratified_interleave, op6_toxic_sentences,
+    op7_ngram_jaccard, op9_exact_dedup)}
 
 ORACLE = {
     "op9_exact_dedup": """
