@@ -55,6 +55,16 @@ def labelled_sample(documents, labels, label, classes, learn, per_class, seed=5)
     return [(r["text"], r["label"]) for r in rows.collect()], sizes
 
 
+def cut_packed(df, label="packed"):
+    """cut() for wide binary columns: zstandard files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
 def held_out(n, rem, doc_id="doc_id"):
     """True for ids never learned from: crc32 of the id modulo n is `rem`, or the id is null."""
     return F.coalesce(id_remainder(n, doc_id) == rem, F.lit(True))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import exact_dedup, langid, ngram_join, quality, sharding, toxicity
+from ramify.llm import exact_dedup, langid, ngram_join, packing, quality, sharding, toxicity
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -55,6 +55,16 @@ def op7_ngram_jaccard(spark, sf_dir):
     return ngram_join.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_curve_packing(spark, sf_dir, vocabulary=None, ranks=None):
+    """All documents as pieces of sequences of 2048 tokens; the public byte-level BPE unless other files are named."""
+    if vocabulary is None:
+        import public_tokenizers
+        vocabulary, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, vocabulary, ranks)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_exact_dedup(spark, sf_dir):
     """Every document with its group of equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,7 +73,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op2_language_filters, op3_compression_quality, op4_stratified_interleave, op6_toxic_sentences,
-    op7_ngram_jaccard, op9_exact_dedup)}
+    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup)}
 
 ORACLE = {
     "op9_exact_dedup": """
