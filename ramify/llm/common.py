@@ -223,3 +223,26 @@ def shingle_sets(raw, offsets, n=5):
 def lowered(raw):
     """The bytes with A-Z lower-cased."""
     return np.frombuffer(raw.tobytes().lower(), np.uint8)
+
+
+def _case_pairs():
+    """Lower-case forms of the two-byte UTF-8 signs, where those have two bytes as well."""
+    t = np.arange(1 << 16, dtype=np.uint16)
+    for cp in range(0x80, 0x800):
+        a, b = chr(cp).encode(), chr(cp).lower().encode()
+        if len(b) == 2:
+            t[a[0] << 8 | a[1]] = b[0] << 8 | b[1]
+    return t
+
+
+_PAIRS = _case_pairs()
+
+
+def lowered_wide(raw):
+    """The bytes with A-Z and two-byte capitals (Latin, Greek, Cyrillic, ...) lower-cased, length unchanged."""
+    low = lowered(raw).copy()
+    lead = np.flatnonzero((low >= 0xC2) & (low <= 0xDF))
+    lead = lead[lead + 1 < len(low)]
+    pair = _PAIRS[low[lead].astype(np.uint16) << np.uint16(8) | low[lead + 1]]
+    low[lead], low[lead + 1] = pair >> np.uint16(8), pair & np.uint16(255)
+    return low

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import exact_dedup, langid, ngram_join, packing, quality, sharding, toxicity
+from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, sharding, toxicity
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -40,6 +40,11 @@ def op4_stratified_interleave(spark, sf_dir):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_seed_align(spark, sf_dir):
+    """Every pair of a document and a benchmark item of which it holds a copy, exact or edited."""
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxic_sentences(spark, sf_dir):
     """Toxicity of every document and its worst sentence, learned from labels whose id remainder modulo 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -72,7 +77,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_filters, op3_compression_quality, op4_stratified_interleave, op6_toxic_sentences,
+    op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
     op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup)}
 
 ORACLE = {

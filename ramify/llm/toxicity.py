@@ -15,7 +15,7 @@ a sentence ends at . ! ? or a line end.
 import numpy as np
 import pyarrow as pa
 
-from ramify.llm.common import lowered, map_texts, prefixes, row_groups, sigmoid, text_buffer, words
+from ramify.llm.common import lowered_wide, map_texts, prefixes, row_groups, sigmoid, text_buffer, words
 
 PER_CLASS = 2000
 SLOTS = 1 << 18
@@ -33,7 +33,7 @@ def sentences(raw, offsets):
 
     A word gives itself and its first 5, 6 and 7 bytes, each as a slot number.
     """
-    low = _WORD[lowered(raw)]
+    low = _WORD[lowered_wide(raw)]
     start, end, h, first = words(low, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     after = np.cumsum(_BREAK[raw], dtype=np.int64)
