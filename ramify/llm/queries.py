@@ -2,10 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, sharding, toxicity
+from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, sharding, surrogates, toxicity
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
+def op1_surrogates(spark, sf_dir, key=b"set a secret key in production"):
+    """Every document with its personal data replaced by keyed surrogates."""
+    return surrogates.replace(table(spark, sf_dir, "documents"), key)
+
+
 def op2_language_filters(spark, sf_dir):
     """Language of every document, learned from documents whose id remainder modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -77,7 +82,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
+    op1_surrogates, op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
     op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup)}
 
 ORACLE = {
