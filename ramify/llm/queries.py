@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, sharding, surrogates, toxicity
+from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, sharding, substring, surrogates, toxicity
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -81,9 +81,14 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_paragraph_banding(spark, sf_dir):
+    """Every passage that repeats across documents, with the document whose occurrence stays."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_surrogates, op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
-    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup)}
+    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding)}
 
 ORACLE = {
     "op9_exact_dedup": """
