@@ -1,6 +1,6 @@
 """Repeated passages across documents by MinHash banding of paragraphs.
 
-A passage may stand anywhere in a line, so paragraphs are cut where the text itself says: a 5-word shingle that is the
+Words are compared without case. A passage may stand anywhere in a line, so paragraphs are cut where the text itself says: a 5-word shingle that is the
 least (by hash) of 16 in a row is an anchor, and the 32 words from there are a paragraph. Two documents that share 47
 words in a row share at least one whole paragraph, wherever it stands.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ramify.functions.patterns import components
-from ramify.llm.common import cut, drop_cut, lowered, mix, ngrams, row_groups, text_buffer, words
+from ramify.llm.common import cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, words
 
 SHINGLE, RUN, WORDS = 5, 16, 32
 BANDS, ROWS = 8, 3
@@ -60,7 +60,7 @@ def _paragraphs(column):
     raw, offsets = text_buffer(column)
     for a, b in row_groups(offsets):
         o = offsets[a:b + 1]
-        start, end, h, first = words(lowered(raw[o[0]:o[-1]]), o - o[0])
+        start, end, h, first = words(lowered_wide(raw[o[0]:o[-1]]), o - o[0])
         g, pos, row = anchors(h, first)
         yield a, g, pos, row, h, start, end, o - o[0]
 
