@@ -153,6 +153,8 @@ def matches(column, p, threshold=THRESHOLD, least=2):
     for base, start, end, h, first, offsets in _words(column):
         g, pos, row = _row_grams(h, first, p["n"])
         at, which = look.find(g)
+        if not len(at):
+            continue
         reach = p["start"][which + 1] - p["start"][which]
         hit = np.repeat(np.arange(len(at)), reach)
         entry = np.arange(len(hit)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(p["start"][which], reach)
