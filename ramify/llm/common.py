@@ -1,5 +1,8 @@
 """Helpers of the text operators: tables, bounded samples, words and shingles as NumPy arrays."""
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,7 +12,18 @@ from ramify.functions.patterns import cut, drop_cut, scratch_path  # noqa: F401
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+
+
+def kept(name, key, build):
+    """build(), kept per process under `name` while `key` stays the same.
+
+    The package's functions travel to executors with the globals they use, so such state must not be a global.
+    """
+    store = sys.modules.setdefault("_ramify_kept", types.ModuleType("_ramify_kept")).__dict__
+    if name not in store or store[name][0] != key:
+        store[name] = (key, build())
+    return store[name][1]
 
 
 # ---- tables ----------------------------------------------------------------
@@ -130,18 +144,18 @@ def mix(x):
 _R = 0xD1342543DE82EF95
 _RINV = pow(_R, -1, 1 << 64)
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
-_powers = {}
 
 
 def _power(base, n):
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, made by doubling."""
+    size = max(2 * CHUNK_BYTES, 1 << int(n).bit_length())
+
+    def build():
         have = np.ones(1, np.uint64)
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _powers[base] = have
-    return have[:n]
+        while len(have) < size:
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+        return have
+    return kept(f"powers of {base} to {size}", 0, build)[:n]
 
 
 def words(raw, offsets):
@@ -235,14 +249,11 @@ def _case_pairs():
     return t
 
 
-_PAIRS = _case_pairs()
-
-
 def lowered_wide(raw):
     """The bytes with A-Z and two-byte capitals (Latin, Greek, Cyrillic, ...) lower-cased, length unchanged."""
     low = lowered(raw).copy()
     lead = np.flatnonzero((low >= 0xC2) & (low <= 0xDF))
     lead = lead[lead + 1 < len(low)]
-    pair = _PAIRS[low[lead].astype(np.uint16) << np.uint16(8) | low[lead + 1]]
+    pair = kept("case pairs", 0, _case_pairs)[low[lead].astype(np.uint16) << np.uint16(8) | low[lead + 1]]
     low[lead], low[lead + 1] = pair >> np.uint16(8), pair & np.uint16(255)
     return low

@@ -25,10 +25,6 @@ CAPACITY = 50_000
 TIE_SALTS = 64
 
 
-def _names(tag):
-    return {k: f"_{k}_{tag}" for k in ("h", "sha", "keep", "size", "salt", "rank", "last")}
-
-
 def hashed(df, text="text", h="h", sha="sha", norm=None):
     """df with the normalised text's 64-bit hash and SHA-256 (and the text itself under `norm`)."""
     low = lower_ascii(F.coalesce(F.col(text), F.lit("")))
@@ -85,21 +81,18 @@ def build_index(df, text="text", doc_id="doc_id", capacity=CAPACITY):
     return cut(index.select("bucket", "depth", "h", "chain", "sha", "n_bytes", "keep_id", "group_size"), retire=entry)
 
 
-def _one_of_tied(df, names, doc_id, where):
-    """Among rows of one group and id that satisfy `where`, leave the flag on one.
+def one_of(df, keys, spread, where, tag):
+    """df with helper columns, and the condition that leaves one row per `keys` of those that satisfy `where`.
 
-    Ranked per salt first and then over the salts' winners, so that no task sees all copies.
+    Rows are ranked per salt first and then over the salts' winners, so that no task sees all copies of a row.
     """
-    salted = df.withColumn(names["salt"], F.when(where, F.spark_partition_id() % TIE_SALTS)
-                           .otherwise(-1 - F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)).cast("int")))
-    keys = [names["h"], names["sha"], doc_id]
-    first = F.row_number().over(W.partitionBy(*keys, names["salt"]).orderBy(F.lit(1)))
-    ranked = salted.withColumn(names["rank"], first)
-    last = F.when((F.col(names["salt"]) >= 0) & (F.col(names["rank"]) == 1), -1).otherwise(F.col(names["salt"]) + 1)
-    ranked = ranked.withColumn(names["last"], last)
-    second = F.row_number().over(W.partitionBy(*keys, names["last"]).orderBy(names["rank"]))
-    alone = (F.col(names["last"]) == -1) & (second == 1)
-    return ranked, alone
+    salt, rank, last = (f"_{c}_{tag}" for c in ("salt", "rank", "last"))
+    salted = df.withColumn(salt, F.when(where, F.spark_partition_id() % TIE_SALTS)
+                           .otherwise(-1 - F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")))
+    ranked = salted.withColumn(rank, F.row_number().over(W.partitionBy(*keys, salt).orderBy(F.lit(1))))
+    ranked = ranked.withColumn(last, F.when((F.col(salt) >= 0) & (F.col(rank) == 1), -1).otherwise(F.col(salt) + 1))
+    ranked = ranked.withColumn(f"{rank}2", F.row_number().over(W.partitionBy(*keys, last).orderBy(rank)))
+    return ranked, (F.col(last) == -1) & (F.col(f"{rank}2") == 1)
 
 
 def exact_groups(df, text="text", doc_id="doc_id", capacity=CAPACITY):
@@ -109,7 +102,8 @@ def exact_groups(df, text="text", doc_id="doc_id", capacity=CAPACITY):
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
     index = build_index(df, text, doc_id, capacity)
-    names = _names(uuid.uuid4().hex[:8])
+    tag = uuid.uuid4().hex[:8]
+    names = {k: f"_{k}_{tag}" for k in ("h", "sha", "keep", "size")}
     rows = df.select([F.col(f"`{c}`") for c in df.columns if c not in added])
     rows = hashed(rows, text, names["h"], names["sha"])
     found = rows.join(
@@ -118,7 +112,7 @@ def exact_groups(df, text="text", doc_id="doc_id", capacity=CAPACITY):
         [names["h"], names["sha"]])
     kept = F.col(doc_id).eqNullSafe(F.col(names["keep"]))
     if not df.groupBy(doc_id).count().filter("count > 1").isEmpty():
-        found, kept = _one_of_tied(found, names, doc_id, kept)
+        found, kept = one_of(found, [names["h"], names["sha"], doc_id], doc_id, kept, tag)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in added]
     return found.select(*rest, F.col(names["keep"]).alias("keep_id"), F.col(names["size"]).alias("group_size"),
                         kept.alias("kept"), F.col(names["sha"]).alias("text_sha256"))

@@ -16,22 +16,18 @@ then of names. Without a learned language every text is `und`. At most 64 langua
 import numpy as np
 import pyarrow as pa
 
-from ramify.llm.common import map_texts, mix
+from ramify.llm.common import kept, map_texts, mix
 
 PER_LANGUAGE = 400
 SLOT_BITS = 20
 HASHES = 3
 N = 4
-_LETTER = None
 
 
 def _letters():
-    global _LETTER
-    if _LETTER is None:
-        t = np.zeros(0x110000, bool)
-        t[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
-        _LETTER = t
-    return _LETTER
+    t = np.zeros(0x110000, bool)
+    t[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = True
+    return t
 
 
 def grams(texts):
@@ -44,7 +40,7 @@ def grams(texts):
     lens = np.array([len(t) for t in low], np.int64)
     cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(low), dtype=np.int32), lens)
-    letter = _letters()[cp]
+    letter = kept("letters", 0, _letters)[cp]
     head = np.ones(len(cp), bool)
     head[1:] = letter[:-1] | (doc[1:] != doc[:-1])
     keep = letter | head

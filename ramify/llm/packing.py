@@ -20,14 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ramify.llm.common import cut, cut_packed, drop_cut
+from ramify.llm.common import cut, cut_packed, drop_cut, kept
 
 END_ID = 1
 RANGE_BYTES = 64 << 20
 DIMS = 256
 BITS = 16
 SPREAD_BITS = 15
-_tools = {}
 
 
 def encoder(vocabulary, ranks):
@@ -36,8 +35,7 @@ def encoder(vocabulary, ranks):
     The rank file holds the same vocabulary for a faster library with equal ids; a text with a special token's
     string goes through the vocabulary file, where it is one id.
     """
-    key = (vocabulary, ranks)
-    if key not in _tools:
+    def build():
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -52,8 +50,8 @@ def encoder(vocabulary, ranks):
                 return exact.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
-        _tools[key] = encode
-    return _tools[key]
+        return encode
+    return kept("encoder", (vocabulary, ranks), build)
 
 
 def _projection(vocabulary_size):

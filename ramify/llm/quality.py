@@ -14,11 +14,13 @@ good labels if nothing could be learned. With labels of one class only, or none,
 labels (0.5 without any).
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 
-from ramify.llm.common import logistic, map_texts, sigmoid
+from ramify.llm.common import kept, logistic, map_texts, sigmoid
 
 PER_CLASS = 1500
 DICT_BYTES = 65_536
@@ -38,7 +40,6 @@ def _shape_table():
 
 
 SHAPE = _shape_table()
-_OPEN = {}
 
 
 def _dictionary(texts, size):
@@ -88,7 +89,7 @@ def fit(sample, sizes, dict_bytes=DICT_BYTES):
     y = np.array([c for _, c in rest], float)
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
     mean, sd = x.mean(0), x.std(0) + 1e-6
-    return {"prior": prior, "dicts": dicts, "mean": mean, "sd": sd, "w": logistic(_terms(x, mean, sd), y, weight)}
+    return {"prior": prior, "dicts": dicts, "key": hashlib.sha256(b"".join(b"".join(d) for d in dicts)).digest(), "mean": mean, "sd": sd, "w": logistic(_terms(x, mean, sd), y, weight)}
 
 
 def _terms(x, mean, sd):
@@ -100,11 +101,8 @@ def scores(texts, model):
     """Probability of label 1 for every text (None: empty)."""
     if "w" not in model:
         return np.full(len(texts), model["prior"])
-    key = id(model["dicts"])
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = _Sizes(model["dicts"])
-    x = np.array([_OPEN[key].features((t or "").encode()) for t in texts]).reshape(len(texts), -1)
+    sizes = kept("compressors", model["key"], lambda: _Sizes(model["dicts"]))
+    x = np.array([sizes.features((t or "").encode()) for t in texts]).reshape(len(texts), -1)
     return sigmoid(_terms(x, model["mean"], model["sd"]) @ model["w"])
 
 
@@ -120,3 +118,14 @@ def score_texts(df, model, text="text", keep=("doc_id",)):
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
     return map_texts(df.select(*[f"`{c}`" for c in keep], df[text].alias("_text")), part, schema)
+
+
+def keep_good(df, model, text="text", threshold=0.5):
+    """df's rows whose text scores `threshold` or more; columns as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # four dictionaries of fixed size
+    at = df.columns.index(text)
+
+    def part(batch):
+        return batch.filter(pa.array(scores(batch.column(at).to_pylist(), shared.value) >= threshold))
+
+    return map_texts(df, part, df.schema)
