@@ -20,6 +20,7 @@ five words are one shingle. Null ids take part; a component is named by the smal
 are copies. Other columns are ignored; an empty table gives no rows. Sets and shingles are identified by 64-bit hashes.
 """
 
+import uuid
 import zlib
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions.patterns import components
 from ramify.llm.common import cut, drop_cut, lowered, mix, row_groups, shingle_sets, text_buffer
+from ramify.llm.exact_dedup import one_of
 
 SKETCH_BITS = 22
 RANGE_BITS = 16
@@ -305,7 +307,9 @@ def _verify(docs, pairs, classes, num, den):
 # ---- the join ---------------------------------------------------------------
 
 def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
-    """(documents, links): documents (doc_id, key, n) with the class of equal sets, links (a, b) between class keys.
+    """(documents, links): documents (doc_id, mark, key, n) with the class of equal sets, links (a, b) between class keys.
+
+    `mark` is a hash of id and text.
 
     `links` connects every pair of linked classes through links, directly or through other linked classes; every
     row of it is a verified link.
@@ -368,7 +372,7 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
     links = links.union(_verify(docs, more, classes, num, den))
     for t in (lists, left, stars, more, comp):
         drop_cut(t)
-    return documents.select("doc_id", "key", "n"), links
+    return documents.select("doc_id", "mark", "key", "n"), links
 
 
 def linked_documents(df, text="text", doc_id="doc_id", num=3, den=4):
@@ -384,3 +388,30 @@ def linked_documents(df, text="text", doc_id="doc_id", num=3, den=4):
     out = documents.join(named, "key", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def drop_linked(df, text="text", doc_id="doc_id", num=3, den=4):
+    """df without near copies: of each component one document stays, the one of the smallest id (then mark).
+
+    Documents with an empty set link with nothing and all stay. Of rows equal in id and text one stays. Columns as in df.
+    """
+    documents, links = similar_classes(df, text, doc_id, num, den)
+    comp = components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = (
+        documents.filter("n > 0").groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("c"))
+        .join(comp, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    )
+    groups = classes.groupBy("root").agg(F.min("first").alias("first"), F.sum("c").alias("c"))
+    groups = groups.filter("c > 1").select("root", F.col("first.mark").alias("stays"))
+    copies = classes.join(groups, "root").select("key", "stays")
+    dropped = cut(documents.join(copies, "key").filter("mark <> stays").select(F.col("mark").alias("_mark")).distinct())
+    tag = uuid.uuid4().hex[:8]
+    wide = "bigint" if df.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    rows = df.withColumn(f"_m_{tag}", F.xxhash64(F.col(f"`{doc_id}`").cast(wide), F.col(f"`{text}`")))
+    kept = rows.join(dropped, F.col(f"_m_{tag}") == F.col("_mark"), "left_anti")
+    if not documents.filter("n > 0").groupBy("mark").count().filter("count > 1").isEmpty():
+        full = F.length(F.trim(F.coalesce(F.col(f"`{text}`"), F.lit("")))) > 0
+        kept, alone = one_of(kept, [f"_m_{tag}"], f"_m_{tag}", F.lit(True), tag)
+        kept = kept.filter(alone | ~full)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
