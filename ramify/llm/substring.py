@@ -6,7 +6,8 @@ words in a row share at least one whole paragraph, wherever it stands.
 
 1. Anchors are counted over all documents; paragraphs whose anchor stands in one document only cannot repeat and are
    left out, by a bit table of fixed size (its false positives only cost time).
-2. Equal paragraphs are one class. Each class has a MinHash signature over its 28 shingles in `BANDS` bands of `ROWS`
+2. Equal paragraphs are one class. Classes whose anchor starts one class only are their own component. Each other class has
+   a MinHash signature over its 28 shingles in `BANDS` bands of `ROWS`
    values: 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.99 of pairs at similarity 0.75 collide.
 3. In every bucket the classes are compared with one leader, another for each band, and once more among those that are
    still apart; so a bucket costs its size, however large. Exact Jaccard of the shingles at 0.75 decides.
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ramify.functions.patterns import components
-from ramify.llm.common import cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, words
+from ramify.llm.common import _R, _RINV, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, words
 
 SHINGLE, RUN, WORDS = 5, 16, 32
 BANDS, ROWS = 8, 3
@@ -90,54 +91,81 @@ def jaccard(x, y):
     return common / np.maximum(1, x_new.sum(1) + y_new.sum(1) - common)
 
 
-def _repeated_anchors(texts, ranges):
-    """Bit table of the anchors that stand in two rows or more."""
+def window_keys(h, pos):
+    """64-bit name of the WORDS words from each position."""
+    n = len(h)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * _power(_R, n), out=sums[1:])
+    return mix((sums[pos + WORDS] - sums[pos]) * _power(_RINV, n + 1)[pos])
+
+
+def _anchor_tables(texts, ranges):
+    """Two bit tables of anchors: those in two rows or more, and those that start unlike paragraphs."""
     def scan(batches):
-        held = []
+        found = []
         for batch in batches:
-            for _, g, pos, row, *_ in _paragraphs(batch.column(0)):
-                a, r = g[pos], row
-                order = np.lexsort((a, r))
-                a, r = a[order], r[order]
+            for _, g, pos, row, h, *_ in _paragraphs(batch.column(0)):
+                a, k = g[pos], window_keys(h, pos)
+                order = np.lexsort((k, a, row))
+                a, k, r = a[order], k[order], row[order]
                 new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-                held.append(a[new])
-        if held:
-            a = np.concatenate(held)
-            a, n = np.unique(a, return_counts=True)
+                new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+                fresh = np.ones(len(a), bool)
+                fresh[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+                found.append((a[new], (k[new] >> np.uint64(32)).astype(np.uint32), fresh[new].astype(np.uint8)))
+        if found:
+            a, k, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, k, n = _folded(a, k, n)
             bits = np.uint64(ranges.bit_length() - 1)
-            where = np.searchsorted(a >> (np.uint64(64) - bits), np.arange(ranges + 1, dtype=np.uint64)) if bits else np.array([0, len(a)])
+            where = np.searchsorted(a >> (np.uint64(64) - bits), np.arange(ranges + 1, dtype=np.uint64))
             rows = [(r, x, y) for r, (x, y) in enumerate(zip(where[:-1], where[1:], strict=True)) if y > x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([a[x:y].tobytes() for _, x, y in rows], pa.binary()),
-                 pa.array([np.minimum(n[x:y], 2).astype(np.uint8).tobytes() for _, x, y in rows], pa.binary())],
-                names=["rng", "anchor", "n"])
-
-    def repeated(table):
-        a = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("anchor").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("n").to_pylist()])
-        order = np.argsort(a, kind="stable")
-        a, n = a[order], n[order]
+                [pa.array([r for r, _, _ in rows], pa.int32()),
+                 *[pa.array([v[x:y].tobytes() for _, x, y in rows], pa.binary()) for v in (a, k, n)]], names=["rng", "anchor", "key", "n"])
+
+    def told(table):
+        a, k, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+                   for c, t in (("anchor", np.uint64), ("key", np.uint32), ("n", np.uint8)))
+        a, k, n = _folded(a, k, n)
         starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         many = np.add.reduceat(n.astype(np.int64), starts) > 1
-        slots = np.unique(a[starts][many] >> np.uint64(64 - TABLE_BITS + 6))
-        word, back = np.unique(a[starts][many] >> np.uint64(64 - TABLE_BITS + 6), return_inverse=True)
-        bits = np.zeros(len(slots), np.uint64)
-        np.bitwise_or.at(bits, back, np.uint64(1) << ((a[starts][many] >> np.uint64(64 - TABLE_BITS)) & np.uint64(63)))
-        return pa.Table.from_arrays([pa.array([word.astype(np.uint32).tobytes()], pa.binary()), pa.array([bits.tobytes()], pa.binary())],
-                                    names=["word", "bits"])
-
-    found = (texts.mapInArrow(scan, "rng int, anchor binary, n binary")
-             .groupBy("rng").applyInArrow(repeated, "word binary, bits binary"))
-    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    for r in found.toLocalIterator():  # at most TABLE_BITS - 6 bits' worth of words in all, whatever the input
-        np.bitwise_or.at(table, np.frombuffer(r["word"], np.uint32), np.frombuffer(r["bits"], np.uint64))
-    return table
-
-
-def _candidates(rows, table, id_type):
-    """kind 0: (doc_id, mark, key, start, end, at) per paragraph whose anchor repeats; kind 1: (key, shingles) per class and task."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)  # a fixed 2 ** TABLE_BITS bits
+        unlike = np.diff(np.append(starts, len(a))) > 1
+        out = []
+        for flag in (many, many & unlike):
+            slot = a[starts][flag] >> np.uint64(64 - TABLE_BITS)
+            word, back = np.unique(slot >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, back, np.uint64(1) << (slot & np.uint64(63)))
+            out += [word.astype(np.uint32).tobytes(), bits.tobytes()]
+        return pa.Table.from_arrays([pa.array([x], pa.binary()) for x in out], names=["w1", "b1", "w2", "b2"])
+
+    found = (texts.mapInArrow(scan, "rng int, anchor binary, key binary, n binary")
+             .groupBy("rng").applyInArrow(told, "w1 binary, b1 binary, w2 binary, b2 binary"))
+    tables = np.zeros((2, 1 << (TABLE_BITS - 6)), np.uint64)
+    for r in found.toLocalIterator():  # never more than the bits of the two tables, whatever the input
+        for i, (w, bits) in enumerate((("w1", "b1"), ("w2", "b2"))):
+            np.bitwise_or.at(tables[i], np.frombuffer(r[w], np.uint32), np.frombuffer(r[bits], np.uint64))
+    return tables
+
+
+def _folded(a, k, n):
+    """Sorted distinct (a, k), with n summed up to 2."""
+    order = np.lexsort((k, a))
+    a, k, n = a[order], k[order], n[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (k[1:] != k[:-1])]))
+    total = np.add.reduceat(n.astype(np.int64), starts) if len(starts) else n
+    return a[starts], k[starts], np.minimum(total, 2).astype(np.uint8)
+
+
+def _in_table(table, anchor):
+    slot = anchor >> np.uint64(64 - TABLE_BITS)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _candidates(rows, tables, id_type):
+    """kind 0: (doc_id, mark, key, start, end, at) per paragraph whose anchor repeats; kind 1: (key, shingles) per class
+    and task, of paragraphs whose anchor starts unlike ones."""
+    shared = rows.sparkSession.sparkContext.broadcast(tables)  # twice a fixed 2 ** TABLE_BITS bits
     arrow_id = pa.int64() if id_type == "bigint" else pa.string()
     names = ["kind", "doc_id", "mark", "key", "start", "end", "at", "elems"]
 
@@ -145,13 +173,11 @@ def _candidates(rows, table, id_type):
         seen = set()
         for batch in batches:
             for base, g, pos, row, h, start, end, offsets in _paragraphs(batch.column(2)):
-                slot = g[pos] >> np.uint64(64 - TABLE_BITS)
-                hit = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                hit = _in_table(shared.value[0], g[pos])
                 pos, row = pos[hit], row[hit]
                 if not len(pos):
                     continue
-                sets = g[pos[:, None] + np.arange(_INNER)]
-                key = mix((sets * (2 * np.arange(_INNER, dtype=np.uint64) + np.uint64(1))).sum(1, dtype=np.uint64))
+                key = window_keys(h, pos)
                 where = pa.array(base + row)
                 n = len(pos)
                 yield pa.RecordBatch.from_arrays(
@@ -159,11 +185,13 @@ def _candidates(rows, table, id_type):
                      pa.array(key.view(np.int64)), pa.array(start[pos] - offsets[row]), pa.array(end[pos + WORDS - 1] - offsets[row]),
                      pa.array(pos), pa.nulls(n, pa.binary())], names=names)
                 _, one = np.unique(key, return_index=True)
-                one = [i for i in one if int(key[i]) not in seen]
+                one = one[_in_table(shared.value[1], g[pos[one]])]
+                one = np.array([i for i in one if int(key[i]) not in seen], np.int64)
                 seen.update(int(key[i]) for i in one)
                 m = len(one)
                 if m:
-                    packed = (sets[one] >> np.uint64(32)).astype(np.uint32)
+                    sets = g[pos[one][:, None] + np.arange(_INNER)]
+                    packed = (sets >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.ones(m, np.int8)), pa.nulls(m, arrow_id), pa.nulls(m, pa.int64()), pa.array(key[one].view(np.int64)),
                          pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
@@ -209,8 +237,7 @@ def repeated_paragraphs(df, text="text", doc_id="doc_id", threshold=0.75):
     mark = F.when(ident.isNull(), F.xxhash64(F.lit("null id"), text)).otherwise(F.xxhash64(ident))
     rows = df.select(ident.alias("doc_id"), mark.alias("mark"), F.col(text).alias("_text"))
     ranges = 1 << max(4, (2 * rows.rdd.getNumPartitions()).bit_length())
-    table = _repeated_anchors(rows.select("_text"), ranges)
-    found = cut(_candidates(rows, table, id_type))
+    found = cut(_candidates(rows, _anchor_tables(rows.select("_text"), ranges), id_type))
     classes = cut(found.filter("kind = 1").select("key", "elems").dropDuplicates(["key"]))
     entries = cut(_banded(classes))
     links = _verified(_stars(entries.withColumn("root", F.col("key")), 1), classes, threshold)
