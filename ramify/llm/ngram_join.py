@@ -8,11 +8,12 @@ A document's set holds its distinct 5-word shingles; two documents link when the
 2. Index lists. Of a set of n only the first n - ceil(3n/4) + 1 shingles in that order are indexed; linked sets share
    at least one of them. Entries carry set size and position and travel packed, one block per range of shingles. Lists
    of very common shingles are dealt to several blocks by set.
-3. Answers from a highly similar set. In each list all sets are first compared with one leader only. A set that links to
-   its leader takes the leader's answers over, its component, and needs no others inside it.
+3. Answers from a highly similar set. In each list all sets are first compared with one leader only, the set with the
+   fewest rare shingles: among edited copies the least edited one. A set that links to its leader takes the leader's answers over, its component, and needs no others inside it.
 4. Skipping. What is left of a list is compared across components only. Lists whose sets are in one component by now are
    skipped whole; others are joined by blocks of like size, so blocks that no size bound admits never meet; single pairs
-   are skipped by position (too little can follow) and by the number of indexed shingles they share.
+   are skipped by the parity bits of their sets (too many members differ), by position (too little can follow) and by
+   the number of indexed shingles they share.
 5. Pairs that survive are verified on their whole sets.
 
 Defined cases: null texts and texts without words have an empty set (n_shingles 0) and link with nothing; fewer than
@@ -31,9 +32,9 @@ from ramify.functions.patterns import components
 from ramify.llm.common import cut, drop_cut, lowered, mix, row_groups, shingle_sets, text_buffer
 from ramify.llm.exact_dedup import one_of
 
-SKETCH_BITS = 22
+SKETCH_BITS = 23
 RANGE_BITS = 16
-FLUSH_ENTRIES = 1 << 21
+FLUSH_ENTRIES = 1 << 19
 LIST_PART = 4096
 FILTER_BITS = 24
 
@@ -52,6 +53,15 @@ def set_key(s):
     return mix(mix(s).sum(dtype=np.uint64).reshape(1) + np.uint64(len(s)))[0]
 
 
+def parity_bits(s):
+    """256 bits: each tells whether an odd number of the set's members falls on it.
+
+    Two sets differ in at least as many members as their bits differ, which bounds their intersection from above.
+    """
+    odd = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batch, text_at):
     """Sets of the rows of a batch, a block of rows at a time."""
     raw, offsets = text_buffer(batch.column(text_at))
@@ -63,89 +73,107 @@ def _sets(batch, text_at):
 # ---- 1. sets and the sketch -------------------------------------------------
 
 def _scan_sets(docs, id_type):
-    """Rows (doc_id, mark, key, n) per document and (part, blob) per piece of the sketch."""
+    """Rows (doc_id, mark, key, n, parity bits) per document and (part, blob) per piece of the sketch."""
     pieces = 1 << (SKETCH_BITS - RANGE_BITS)
     schema = pa.schema([("doc_id", pa.int64() if id_type == "bigint" else pa.string()), ("mark", pa.int64()),
-                        ("key", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
+                        ("key", pa.int64()), ("n", pa.int32()), *((f"p{i}", pa.int64()) for i in range(4)),
+                        ("part", pa.int32()), ("blob", pa.binary())])
 
     def scan(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)  # of this task, up to 65535
+
+        def count(held):
+            slot, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[slot] = np.minimum(counts[slot] + n, 65535)
+
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, bits, held = [], [], [], []
             for s in _sets(batch, 2):
                 keys.append(set_key(s))
                 sizes.append(len(s))
-                slots = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                np.add.at(counts, slots, 1)
+                bits.append(parity_bits(s))
+                held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                if len(held) == 1000:
+                    count(held)
+                    held = []
+            if held:
+                count(held)
             m = len(sizes)
+            bits = np.array(bits, np.int64).reshape(m, 4)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(schema.field(0).type), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)),
-                pa.array(np.array(sizes, np.int32)), pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], schema=schema)
+                pa.array(np.array(sizes, np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)),
+                pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], schema=schema)
         used = [(p, c) for p, c in enumerate(counts.reshape(pieces, -1)) if c.any()]
         if used:
             k = len(used)
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(k, schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()),
-                pa.array(np.array([p for p, _ in used], np.int32)),
+                *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(np.array([p for p, _ in used], np.int32)),
                 pa.array([zlib.compress(c.tobytes(), 1) for _, c in used], pa.binary())], schema=schema)
 
-    out = f"doc_id {id_type}, mark long, key long, n int, part int, blob binary"
+    out = f"doc_id {id_type}, mark long, key long, n int, p0 long, p1 long, p2 long, p3 long, part int, blob binary"
     return docs.mapInArrow(scan, out)
 
 
-def _levels(scanned):
-    """How common each sketch slot is: 0 for the usual count, then about log2 of the excess. A fixed 4 MB."""
+def _levels(scanned, total):
+    """Per sketch slot, how common its shingles are: 0 up to what chance brings, then about log2 of the excess.
+
+    And to how many parts (as a power of two) the lists of such shingles are dealt. Two fixed arrays of bytes.
+    """
     pieces = 1 << (SKETCH_BITS - RANGE_BITS)
+    mean = total / (1 << SKETCH_BITS)
+    usual = mean + 4 * np.sqrt(mean) + 8
 
     def add(batches):
         sums = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(zlib.decompress(blob), np.uint32)
+                c = np.frombuffer(zlib.decompress(blob), np.uint16)
                 sums[part] = sums[part] + c if part in sums else c.astype(np.uint64)
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())],
-                names=["part", "blob"])
-
-    summed = (scanned.filter("part >= 0").select("part", "blob").repartition(pieces, "part")
-              .mapInArrow(add, "part int, blob binary"))
-    counts = np.zeros((pieces, 1 << RANGE_BITS), np.uint64)
-    for r in summed.toLocalIterator():
-        counts[r["part"]] = np.frombuffer(zlib.decompress(r["blob"]), np.uint64)
-    counts = counts.reshape(-1)
-    mean = counts.mean()
-    level = np.where(counts <= 2 * mean + 16, 0, np.ceil(np.log2(np.maximum(counts, 1) / (mean + 8)))).astype(np.uint8)
-    parts = np.where(counts > 2 * mean + LIST_PART, np.ceil(counts / LIST_PART), 1)
-    salts = np.ceil(np.log2(parts)).astype(np.uint8)  # a list is dealt to 2 ** salts parts
-    return level, salts
+            done = []
+            for c in sums.values():
+                level = np.where(c <= usual, 0, np.ceil(np.log2(np.maximum(c, 1) / (mean + 8))) + 1).astype(np.uint8)
+                parts = np.where(c > usual + LIST_PART, np.ceil(np.log2(np.maximum(c, 1) / LIST_PART)), 0).astype(np.uint8)
+                done.append(zlib.compress(level.tobytes() + parts.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(done, pa.binary())], names=["part", "blob"])
+
+    told = (scanned.filter("part >= 0").select("part", "blob").repartition(pieces, "part")
+            .mapInArrow(add, "part int, blob binary"))
+    out = np.zeros((2, pieces, 1 << RANGE_BITS), np.uint8)
+    for r in told.toLocalIterator():
+        out[:, r["part"]] = np.frombuffer(zlib.decompress(r["blob"]), np.uint8).reshape(2, -1)
+    return out[0].reshape(-1), out[1].reshape(-1)
 
 
 # ---- 2. index lists ---------------------------------------------------------
 
 def _index_blocks(docs, level, salts, ranges, num, den):
-    """Packed entries (shingle, key, size, position) of every set's prefix, by range of shingles."""
+    """Packed entries (shingle, key, size, position, score) of every set's prefix, by range of shingles.
+
+    The score is the share of the set's shingles that are rare: low for the least edited of many copies.
+    """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((level, salts))  # two bytes per sketch slot
     bits = np.uint64(ranges.bit_length() - 1)
 
-    def flush(toks, keys, sizes, at):
-        tok, key = np.concatenate(toks), np.concatenate(keys)
-        size, pos = np.concatenate(sizes), np.concatenate(at)
+    def flush(held):
+        tok, key, size, pos, score = (np.concatenate(x) for x in zip(*held, strict=True))
         salt = shared.value[1][(tok >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
         part = mix(key) & ((np.uint64(1) << salt) - np.uint64(1))
         where = (mix(tok + part * np.uint64(0x9E3779B97F4A7C15)) >> (np.uint64(64) - bits)).astype(np.int64) if bits else np.zeros(len(tok), np.int64)
         order = np.argsort(where, kind="stable")
         bounds = np.searchsorted(where[order], np.arange(ranges + 1))
         rows = [(r, a, b) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        packed = [x[order] for x in (tok, key, part.astype(np.uint32), size, pos)]
+        packed = [x[order] for x in (tok, key, part.astype(np.uint32), size, pos, score)]
         return pa.RecordBatch.from_arrays(
             [pa.array([r for r, _, _ in rows], pa.int32()),
              *[pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary()) for x in packed]],
-            names=["rng", "tok", "key", "part", "size", "pos"])
+            names=["rng", "tok", "key", "part", "size", "pos", "score"])
 
     def scan(batches):
-        toks, keys, sizes, at, held, seen = [], [], [], [], 0, set()
+        held, count, seen = [], 0, set()
         for batch in batches:
             for s in _sets(batch, 0):
                 if not len(s):
@@ -157,19 +185,18 @@ def _index_blocks(docs, level, salts, ranges, num, den):
                 p = prefix_length(len(s), num, den)
                 lv = shared.value[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = s[np.argsort(lv, kind="stable")[:p]] if lv.any() else s[:p]
-                toks.append(first)
-                keys.append(np.full(p, key))
-                sizes.append(np.full(p, len(s), np.uint32))
-                at.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
-                held += p
-                if held >= FLUSH_ENTRIES:
-                    yield flush(toks, keys, sizes, at)
-                    toks, keys, sizes, at, held = [], [], [], [], 0
+                score = int(65535 * (lv == 0).mean())
+                held.append((first, np.full(p, key), np.full(p, len(s), np.uint32),
+                             np.minimum(np.arange(p), 65535).astype(np.uint16), np.full(p, score, np.uint16)))
+                count += p
+                if count >= FLUSH_ENTRIES:
+                    yield flush(held)
+                    held, count = [], 0
         if held:
-            yield flush(toks, keys, sizes, at)
+            yield flush(held)
 
     return docs.select("_text").mapInArrow(
-        scan, "rng int, tok binary, key binary, part binary, size binary, pos binary")
+        scan, "rng int, tok binary, key binary, part binary, size binary, pos binary, score binary")
 
 
 def _lists(blocks, salts, ranges, num, den):
@@ -180,19 +207,20 @@ def _lists(blocks, salts, ranges, num, den):
     2: the leader of each part of a dealt list.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(salts)
-    kinds = (("tok", np.uint64), ("key", np.uint64), ("part", np.uint32), ("size", np.uint32), ("pos", np.uint16))
+    kinds = (("tok", np.uint64), ("key", np.uint64), ("part", np.uint32), ("size", np.uint32), ("pos", np.uint16), ("score", np.uint16))
     names = ["kind", "tok", "a", "b", "na", "nb", "c", "pos"]
 
     def one(table):
         cols = [np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds]
-        tok, key, part = cols[:3]
-        order = np.lexsort((mix(key), part, tok))
-        tok, key, part, size, pos = (c[order] for c in cols)
+        tok, key, part, _, _, score = cols
+        order = np.lexsort((mix(key), score, part, tok))
+        tok, key, part, size, pos, score = (c[order] for c in cols)
         other = np.ones(len(tok), bool)
         other[1:] = (tok[1:] != tok[:-1]) | (part[1:] != part[:-1])
         new = other.copy()
         new[1:] |= key[1:] != key[:-1]  # copies from several tasks
-        tok, key, part, size, pos, head = tok[new], key[new], part[new], size[new].astype(np.int64), pos[new], other[new]
+        tok, key, part, size, pos, score = tok[new], key[new], part[new], size[new].astype(np.int64), pos[new], score[new]
+        head = other[new]
         starts = np.flatnonzero(head)
         group = np.cumsum(head) - 1
         dealt = shared.value[(tok[starts] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 0
@@ -217,21 +245,29 @@ def _lists(blocks, salts, ranges, num, den):
         return pa.Table.from_arrays([
             cat(zero(n0), zero(n1) + 1, zero(n2) + 2), cat(zero(n0), tok[e], tok[top]), cat(key[x], key[e], key[top]),
             cat(key[y], zero(n1), zero(n2)), cat(size[x], size[e], size[top]), cat(size[y], zero(n1), zero(n2)),
-            cat(both - in_long, zero(n1), zero(n2)), cat(in_long, pos[e], pos[top])], names=names)
+            cat(both - in_long, zero(n1), zero(n2)), cat(in_long, pos[e], score[top])], names=names)
 
     return blocks.groupBy("rng").applyInArrow(one, ", ".join(f"{c} long" for c in names))
 
 
 # ---- 5. verification --------------------------------------------------------
 
-def _enough(c, na, nb, num, den):
+def _enough(c, na, nb, num, den, part=1):
     """Pairs of these sizes whose number c of shared indexed shingles still admits a link.
 
-    Beyond the shared prefix at most ceil(num * larger / den) - 1 shingles can be common.
+    Beyond the shared prefix at most ceil(num * larger / den) - 1 shingles can be common. With `part` only that part of
+    the number is asked for.
     """
     large = F.greatest(na, nb)
     least = F.ceil((F.lit(num) * (na + nb)) / F.lit(num + den))
-    return (c >= least - F.ceil(F.lit(num) * large / F.lit(den)) + 1) & (F.least(na, nb) * den >= large * num)
+    return (c * part >= least - F.ceil(F.lit(num) * large / F.lit(den)) + 1) & (F.least(na, nb) * den >= large * num)
+
+
+def _alike(x, y, nx, ny, num, den):
+    """Pairs whose parity bits (columns xp0.., yp0..) differ in no more places than linked sets of these sizes may."""
+    differ = sum(F.bit_count(F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}"))) for i in range(4))
+    least = F.ceil(F.lit(num) * (F.col(nx) + F.col(ny)) / F.lit(num + den))
+    return differ <= F.col(nx) + F.col(ny) - 2 * least
 
 
 def _wanted(pairs, classes):
@@ -320,20 +356,21 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
     docs = df.select(F.col(doc_id).cast(wide).alias("_id"), F.xxhash64(F.col(doc_id).cast(wide), text).alias("_mark"),
                      F.col(text).alias("_text"))
     scanned = cut(_scan_sets(docs, wide))
-    documents = scanned.filter("part < 0").select("doc_id", "mark", "key", "n")
+    documents = scanned.filter("part < 0").drop("part", "blob")
+    parity = [f"p{i}" for i in range(4)]
     classes = (
-        documents.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
-        .select("key", F.col("one.mark").alias("mark"))
+        documents.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "mark", *parity)).alias("one"))
+        .select("key", "one.mark", *[f"one.{p}" for p in parity])
     )
     total = documents.agg(F.sum("n")).first()[0] or 0
-    level, salts = _levels(scanned)
+    level, salts = _levels(scanned, total)
     ranges = 1 << max(4, int(total * (1 - num / den) / (1 << 18)).bit_length())
     lists = cut(_lists(_index_blocks(docs, level, salts, ranges, num, den), salts, ranges, num, den))
 
     # one leader per list, and one over the parts of a dealt list
     stars = lists.filter("kind = 0").select("a", "b", "na", "nb", F.col("c").alias("c2"), F.col("pos").alias("cn"))
-    leaders = lists.filter("kind = 2").select("tok", "a", "na")
-    top = leaders.groupBy("tok").agg(F.min(F.struct(F.xxhash64("a").alias("h"), "a", "na")).alias("top"))
+    leaders = lists.filter("kind = 2").select("tok", "a", "na", "pos")
+    top = leaders.groupBy("tok").agg(F.min(F.struct("pos", F.xxhash64("a").alias("h"), "a", "na")).alias("top"))
     heads = leaders.join(top, "tok").filter("a <> top.a").select(
         F.col("top.a").alias("x"), F.col("a").alias("b"), F.col("top.na").alias("nx"), F.col("na").alias("nb"))
     heads = heads.select(F.col("x").alias("a"), "b", F.col("nx").alias("na"), "nb", F.lit(0).cast("long"), F.lit(1).cast("long"))
@@ -341,8 +378,11 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb", "c2", "cn")
     stars = stars.groupBy("a", "b").agg(F.sum("c2").alias("c2"), F.sum("cn").alias("cn"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     stars = cut(stars)
-    enough = _enough(F.col("c2") + F.col("cn"), F.col("na"), F.col("nb"), num, den)
-    pairs = stars.filter(enough).select("a", "b")
+    sides = [classes.select(F.col("key").alias(k), *[F.col(p).alias(f"{k}{p}") for p in parity]) for k in "ab"]
+    # a member may meet its leader in some of their common lists only; a third of the number is enough to look closer
+    close = _enough(F.col("c2") + F.col("cn"), F.col("na"), F.col("nb"), num, den, part=3)
+    pairs = stars.filter(close).join(sides[0], "a").join(sides[1], "b").filter(_alike("a", "b", "na", "nb", num, den))
+    pairs = cut(pairs.select("a", "b"))
     links = _verify(docs, pairs, classes, num, den)
 
     # what is left, across components
@@ -353,15 +393,20 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
         .join(comp, "a", "left").withColumn("root", F.coalesce("root", "a"))
     )
     open_lists = entries.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tok")
-    left = cut(entries.join(open_lists, "tok"))
+    entries = entries.join(open_lists, "tok").join(classes.select(F.col("key").alias("a"), *parity), "a")
+    left = cut(entries)
     size_block = F.floor(F.log(F.col("na").cast("double")) / float(np.log(den / num) + 1e-9))
-    one = left.select("tok", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"), size_block.alias("blk"))
+    one = left.select("tok", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("pos").alias("px"), F.col("root").alias("rx"), size_block.alias("blk"),
+                      *[F.col(p).alias(f"x{p}") for p in parity])
     two = left.select("tok", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("pos").alias("py"), F.col("root").alias("ry"),
-                      F.explode(F.array(size_block, size_block - 1)).alias("blk"))
+                      F.explode(F.array(size_block, size_block - 1)).alias("blk"), *[F.col(p).alias(f"y{p}") for p in parity])
     ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    met = one.join(two, ["tok", "blk"]).filter(ordered & (F.col("rx") != F.col("ry")) & (F.col("nx") * den >= F.col("ny") * num))
+    least = F.ceil(F.lit(num) * (F.col("nx") + F.col("ny")) / F.lit(num + den))
+    met = one.join(two, ["tok", "blk"]).filter(
+        ordered & (F.col("rx") != F.col("ry")) & (F.col("nx") * den >= F.col("ny") * num)
+        & _alike("x", "y", "nx", "ny", num, den))
     left_over = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    admits = (left_over >= F.ceil(F.lit(num) * (F.col("nx") + F.col("ny")) / F.lit(num + den))).cast("int")
+    admits = (left_over >= least).cast("int")
     met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"),
                      F.lit(1).cast("long").alias("c"), admits.alias("ok"))
     # lists of two sets were compared above; they count among the shared ones
@@ -370,7 +415,7 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
     met = met.filter((F.col("ok") == 1) & _enough(F.col("c"), F.col("na"), F.col("nb"), num, den)).select("a", "b")
     more = cut(met.join(pairs, ["a", "b"], "left_anti"))
     links = links.union(_verify(docs, more, classes, num, den))
-    for t in (lists, left, stars, more, comp):
+    for t in (lists, left, stars, pairs, more, comp):
         drop_cut(t)
     return documents.select("doc_id", "mark", "key", "n"), links
 
