@@ -21,12 +21,10 @@ SEED = 42
 
 def standardize(df, columns):
     """z-scores with the population SD; constant columns become 0."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns],
-                   *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    z = [F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0).alias(c)
-         for c in columns]
-    rest = [c for c in df.columns if c not in columns]
-    return df.join(F.broadcast(stats)).select(*rest, *z)  # stats is one row
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    z = [(((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"])) if stats[f"s_{c}"]
+          else F.lit(0.0)).alias(c) for c in columns]
+    return df.select(*[c for c in df.columns if c not in columns], *z)
 
 
 class Components:
@@ -68,9 +66,13 @@ class Components:
 
 # ---- fragment classifier ---------------------------------------------------
 
-def feature_vector(df, columns=CLASSIFIER_FEATURES):
-    """The nine inputs in their fixed order as one vector."""
-    cast = df.withColumns({c: F.col(c).cast("double") for c in columns})
+def feature_vector(df, columns=CLASSIFIER_FEATURES, *, fill=0.0):
+    """The nine inputs in their fixed order as one vector.
+
+    A missing input (NULL or NaN: no pixel under a fragment, no chord) counts as `fill`, so a fragment
+    without a measure is classified by its others and never ends a job.
+    """
+    cast = df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(fill))) for c in columns})
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(cast)
 
 
@@ -80,8 +82,14 @@ def split_80_20(df, key, *, share=0.2):
     return df.withColumn("is_test", h < F.lit(int(share * (1 << 32))))
 
 
-def forest_train(df, *, label="label", trees=100, depth=30, seed=SEED, weight=None):
-    """Random forest on `features`; the square root of the features is tried per split."""
+def forest_train(df, *, label="label", trees=100, depth=30, seed=SEED, weight=None, key=None, max_labelled_rows=None):
+    """Random forest on `features`; the square root of the features is tried per split.
+
+    `max_labelled_rows` bounds the labelled rows used for the fit: those whose `key` has the least hashes.
+    """
+    if max_labelled_rows is not None:
+        ranked = df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key)
+        df = cut(ranked.limit(max_labelled_rows).drop("_h"))
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, predictionCol="prediction", numTrees=trees,
         maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True, maxMemoryInMB=1024)
@@ -211,7 +219,8 @@ def smote(df, key, *, label="label", k=5, seed=SEED):
     rows = df.select(F.xxhash64(F.lit(seed), *key).alias("row_id"), F.col(label).cast("int").alias("label"),
                      vector_to_array("features").alias("vec"))
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    want = counts.join(F.broadcast(counts.agg(F.max("n").alias("top")))).withColumn("need", F.col("top") - F.col("n"))
+    top = counts.agg(F.max("n")).first()[0] or 0
+    want = counts.withColumn("need", F.lit(top) - F.col("n"))
     ranked = two_level_rank(rows, ["label"], F.shiftright("row_id", 48), ["row_id"], "place")
     ranked = salted_join(ranked, want, ["label"], F.col("row_id"))
     per_row = F.floor(F.col("need") / F.col("n")) + F.when(F.col("place") < F.col("need") % F.col("n"), 1).otherwise(0)

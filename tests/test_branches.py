@@ -342,3 +342,20 @@ def test_forest_learns_and_reloads(spark, tmp_path):
     out = ml.forest_predict(ml.load_model(str(tmp_path / "m")), df)
     assert out.filter("label = dendrite_type").count() > 230
     assert ml.feature_importance(model, spark).first()["feature"] == "orientation"
+
+
+def test_missing_inputs_do_not_end_a_job(spark):
+    """NULL and NaN inputs count as 0, beside rows that have everything."""
+    row = {c: 1.0 for c in ml.CLASSIFIER_FEATURES}
+    rows = [(1, *row.values()), (2, None, *list(row.values())[1:]), (3, *[None] * 8, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in ml.CLASSIFIER_FEATURES))
+    got = {r.id: list(r.features.toArray()) for r in ml.feature_vector(df).collect()}
+    assert got == {1: [1.0] * 9, 2: [0.0] + [1.0] * 8, 3: [0.0] * 9}
+
+
+def test_bound_on_labelled_rows(spark):
+    df = spark.range(400).selectExpr("id", "id % 2 + 1 AS label", *[f"double(id % 7) AS {c}" for c in ml.CLASSIFIER_FEATURES])
+    rows = ml.feature_vector(df)
+    model = ml.forest_train(rows, trees=3, depth=4, key=["id"], max_labelled_rows=50)
+    again = ml.forest_train(rows.repartition(7), trees=3, depth=4, key=["id"], max_labelled_rows=50)
+    assert model.toDebugString.splitlines()[1:] == again.toDebugString.splitlines()[1:], "the rows do not depend on partitions"

@@ -284,3 +284,20 @@ def test_results_do_not_depend_on_partitions(spark):
     one = skeleton.trace_fragments(points(spark, cells).repartition(1)).select("id", F.size("segment").alias("n"))
     many = skeleton.trace_fragments(points(spark, cells).repartition(13)).select("id", F.size("segment").alias("n"))
     assert rows(one, "id", "n") == rows(many, "id", "n")
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 2e-6, 1e6])
+def test_otsu_does_not_depend_on_scale(spark, scale):
+    """The threshold moves with the values, however small they are."""
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0.3, 0.05, 1500), rng.normal(0.7, 0.08, 500)])
+    df = spark.createDataFrame([(1, i // 50, i % 50, float(x) * scale) for i, x in enumerate(v)], "image_id long, y int, x int, v double")
+    got = raster.otsu_threshold(df).first().threshold / scale
+    bins = np.clip(((v - v.min()) / ((v.max() - v.min()) / 256)).astype(int), 0, 255)
+    c = np.bincount(bins, minlength=256)
+    n1, s1 = np.cumsum(c), np.cumsum(c * np.arange(256))
+    n, s = n1[-1], s1[-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.nan_to_num((s1 * n - s * n1) ** 2.0 / (n1 * (n - n1.astype(float))), posinf=0)
+    want = v.min() + (between[:-1].argmax() + 0.5) * (v.max() - v.min()) / 256
+    assert abs(got - want) < 0.005
