@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ramify.functions.patterns import salted_join
 from ramify.functions.scalars import UM_PER_PX  # noqa: F401  (re-exported for callers)
 from ramify.operators.profile import FEATURE_COLUMNS
 
@@ -114,7 +115,7 @@ def ap_kde(position, keys, *, top=100):
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     u = (F.col("grid") - F.col("ap_pct")) / h
     return (
-        counts.join(stats, keys).withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        salted_join(counts, stats, keys, F.col("ap_pct")).withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(top))))
         .groupBy(*keys, "grid")
         .agg(F.sum(F.col("c") * F.exp(-u * u / 2) / (F.col("n") * h * math.sqrt(2 * math.pi))).alias("density"))
     )

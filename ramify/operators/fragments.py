@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import interval_buckets
+from ramify.functions.patterns import interval_buckets, salted_join
 from ramify.functions.scalars import (
     angle_deg, distance, first_point, idiv, last_point, middle_point, quat_filter)
 from ramify.operators.geometry import avg_step, menger_curvature
@@ -25,7 +25,7 @@ def shape_features(fragment, image, *, line="segment"):
     chord = distance(b["y"], b["x"], a["y"], a["x"])
     rel_x = m["x"] / F.col("width_px")
     return (
-        fragment.join(image.select("image_id", "length_px", "width_px"), "image_id")
+        salted_join(fragment, image.select("image_id", "length_px", "width_px"), ["image_id"], F.col("id"))
         .withColumn("length", n)
         .withColumn("orientation", angle_deg(b["y"] - a["y"], b["x"] - a["x"]))
         .withColumn("tortuosity", F.when(chord > 0, n / chord).otherwise(1.0))
@@ -122,7 +122,7 @@ def local_density(fragment, skeleton, image, *, reach=200, line="segment"):
     dims = image.select("image_id", "length_px", "width_px")
     lo = lambda v: F.greatest(F.lit(0), v - reach)
     box = (
-        fragment.join(dims, "image_id")
+        salted_join(fragment, dims, ["image_id"], F.col("id"))
         .select("image_id", "id", lo(m["y"]).alias("y0"), F.least("length_px", m["y"] + reach).alias("y1"),
                 lo(m["x"]).alias("x0"), F.least("width_px", m["x"] + reach).alias("x1"))
         .withColumn("area", (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")))

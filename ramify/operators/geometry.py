@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import blocked
+from ramify.functions.patterns import blocked, salted_join
 from ramify.functions.scalars import angle_deg, distance, safe_acos, wrapped_diff
 
 BLOCK = 4096
@@ -77,7 +77,7 @@ def resample_grid(grid, pixel, image, *, keys=("i", "j"), planes=()):
     (z for stacks), matched exactly.
     """
     dims = image.select("image_id", "length_px", "width_px")
-    at = grid.join(dims, "image_id")
+    at = salted_join(grid, dims, ["image_id"], F.struct(*keys))
     inside = (F.col("y").between(0, F.col("length_px") - 1)) & (F.col("x").between(0, F.col("width_px") - 1))
     taps = (
         at.filter(inside).withColumn("_y", _taps("y", "length_px")).withColumn("_x", _taps("x", "width_px"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import exact_quantiles
+from ramify.functions.patterns import exact_quantiles, salted_join
 from ramify.functions.scalars import UM_PER_PX, axial, mean_coord, um, wrapped_diff
 from ramify.operators.neighbors import pair_lookup
 
@@ -64,7 +64,7 @@ def with_mean_y(branch):
 
 def companion_join(branch, image):
     """Each branch row with the size and cell body of its image."""
-    return branch.join(image, "image_id")
+    return salted_join(branch, image, ["image_id"], F.col("id"))
 
 
 def class_profile(branch, *, um_per_px=UM_PER_PX):
@@ -199,7 +199,7 @@ def feature_table(branch, links, image, *, um_per_px=UM_PER_PX, adjust=True, com
     contacts are aggregated apart and joined on image_id.
     """
     lengths = image_lengths(image, um_per_px)
-    rows = with_mean_y(branch).join(lengths.select("image_id", "length_px", "cellbody"), "image_id")
+    rows = salted_join(with_mean_y(branch), lengths.select("image_id", "length_px", "cellbody"), ["image_id"], F.col("id"))
     position = F.col("mean_y") * 100 / F.col("length_px")
     rows = rows.withColumn("ap_pct", position - F.col("cellbody") if adjust else position)
     o = wrapped_orientation()

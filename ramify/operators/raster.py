@@ -90,7 +90,7 @@ def tile_assign(voxel, size, *, chunk=(64, 512, 512), overlap=(0, 0, 0), channel
     if channels is not None:
         voxel = voxel.groupBy("image_id", "z", "y", "x").agg(*[
             F.coalesce(F.max(F.when(F.col("channel") == c, F.col("v"))), F.lit(0)).alias(f"c{i}") for i, c in enumerate(channels)])
-    out = voxel.join(size, "image_id")
+    out = salted_join(voxel, size, ["image_id"], F.struct("z", "y", "x"))
     for axis, c, o, n in zip("zyx", chunk, overlap, ("depth_px", "length_px", "width_px")):
         step = max(1, c - o)
         first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col(axis) - (c - 1)) / F.lit(step)))
@@ -114,7 +114,7 @@ def column_band(pixel, image, *, band=BAND):
     """Pixels in the middle columns of their image."""
     lo, hi = F.bround(F.col("width_px") * band[0]), F.bround(F.col("width_px") * band[1])
     return (
-        pixel.join(image.select("image_id", "width_px"), "image_id")
+        salted_join(pixel, image.select("image_id", "width_px"), ["image_id"], F.struct("y", "x"))
         .filter((F.col("x") >= lo) & (F.col("x") < hi)).drop("width_px")
     )
 
@@ -260,7 +260,8 @@ def separable_filter(pixel, image, kernel, mode, *, value="v", tile=TILE):
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": yy.ravel().astype("int32"),
                              "x": xx.ravel().astype("int32"), "v": b.ravel()})
 
-    rows = pixel.select("image_id", "y", "x", value).join(image.select("image_id", "length_px", "width_px"), "image_id")
+    rows = salted_join(pixel.select("image_id", "y", "x", value), image.select("image_id", "length_px", "width_px"),
+                       ["image_id"], F.struct("y", "x"))
     tiles = halo_tiles(rows, reach, tile=tile).filter(
         (F.col("ty") * tile < F.col("length_px")) & (F.col("tx") * tile < F.col("width_px")))
     return tiles.groupBy("image_id", "ty", "tx").applyInPandas(
