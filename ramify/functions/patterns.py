@@ -4,7 +4,6 @@ They keep one very large image from becoming one very large task: windows run ov
 blocks with a halo, ranks and quantiles in two levels, range joins over buckets.
 """
 
-import math
 import tempfile
 import uuid
 
@@ -221,7 +220,3 @@ def components(edges, key="image_id", a="a", b="b"):
             .select(key, "node", F.coalesce("final", "root").alias("root"))
         )
     return total
-
-
-def doubling_rounds(n):
-    return max(1, math.ceil(math.log2(max(2, n))))
