@@ -98,3 +98,13 @@ def test_shard_query(spark):
         assert r.size == len(data) + 8 and r.text_crc32 == zlib.crc32(data) and r.law == "rows" and r.grown_shard is None
     size = Counter(r.shard for r in got)
     assert set(size) == set(range(24)) and max(size.values()) - min(size.values()) <= 1
+
+
+def test_exact_query_matches_sql(spark):
+    from compare import check, connect
+
+    from ramify.llm.queries import ORACLE
+    sf = "/root/testdata/sf0.01"
+    for name, sql in ORACLE.items():
+        ok, note = check(spark, connect(sf), name, QUERIES[name], sql, sf)
+        assert ok, note
