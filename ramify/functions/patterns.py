@@ -4,6 +4,7 @@ They keep one very large image from becoming one very large task: windows run ov
 blocks with a halo, ranks and quantiles in two levels, range joins over buckets.
 """
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions.scalars import idiv
 
-_local_dirs = {}
+_local_dirs, _made = {}, {}
 
 
 # ---- cutting lineage -------------------------------------------------------
@@ -34,7 +35,27 @@ def scratch_root(spark):
 
 
 def scratch_path(spark, label="t"):
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the scratch folder; what is written there goes when the driver's process ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made[path] = spark
+    return path
+
+
+def _delete(spark, path):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def _clear():
+    """Runs before the gateway to the JVM closes; a folder that cannot be reached any more is left."""
+    for path, spark in list(_made.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001
+            return
+    _made.clear()
 
 
 def cut(df, retire=None):
@@ -55,10 +76,8 @@ def cut(df, retire=None):
 def drop_cut(df):
     path = getattr(df, "_cut_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(hadoop_path, True)
+        _made.pop(path, None)
+        _delete(df.sparkSession, path)
 
 
 def fixpoint(start, step, changed="changed"):
