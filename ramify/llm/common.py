@@ -1,5 +1,7 @@
 """Helpers of the text operators: tables, bounded samples, words and shingles as NumPy arrays."""
 
+import contextlib
+import ctypes
 import sys
 import types
 
@@ -26,6 +28,26 @@ def kept(name, key, build):
     return store[name][1]
 
 
+def release():
+    """Give memory that a finished task no longer uses back to the machine, for whatever the executor runs next."""
+    store = sys.modules.get("_ramify_kept")
+    for name in [n for n in vars(store) if n.startswith("powers")] if store else ():
+        vars(store).pop(name)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(func):
+    """A task function for mapInArrow that releases memory at its end."""
+    def run(batches):
+        try:
+            yield from func(batches)
+        finally:
+            release()
+    return run
+
+
 # ---- tables ----------------------------------------------------------------
 
 def table(spark, sf_dir, name):
@@ -90,7 +112,19 @@ def map_texts(df, func, schema, batch_rows=2000):
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 yield func(batch.slice(at, batch_rows))
-    return df.mapInArrow(parts, schema)
+    return df.mapInArrow(tidy(parts), schema)
+
+
+@contextlib.contextmanager
+def arrow_batches(spark, rows):
+    """Jobs run inside send `rows` rows at a time to Python, which bounds the buffers outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def logistic(x, y, weight, ridge=0.1, rounds=60):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ramify.functions.patterns import components
-from ramify.llm.common import cut, drop_cut, lowered, mix, row_groups, shingle_sets, text_buffer
+from ramify.llm.common import arrow_batches, cut, drop_cut, lowered, mix, row_groups, shingle_sets, text_buffer, tidy
 from ramify.llm.exact_dedup import one_of
 
 SKETCH_BITS = 23
@@ -37,6 +37,7 @@ RANGE_BITS = 16
 FLUSH_ENTRIES = 1 << 19
 LIST_PART = 4096
 FILTER_BITS = 24
+PARITY = 16
 
 
 def need(a, b, num=3, den=4):
@@ -54,11 +55,11 @@ def set_key(s):
 
 
 def parity_bits(s):
-    """256 bits: each tells whether an odd number of the set's members falls on it.
+    """PARITY * 64 bits: each tells whether an odd number of the set's members falls on it.
 
     Two sets differ in at least as many members as their bits differ, which bounds their intersection from above.
     """
-    odd = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((mix(s) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -76,7 +77,7 @@ def _scan_sets(docs, id_type):
     """Rows (doc_id, mark, key, n, parity bits) per document and (part, blob) per piece of the sketch."""
     pieces = 1 << (SKETCH_BITS - RANGE_BITS)
     schema = pa.schema([("doc_id", pa.int64() if id_type == "bigint" else pa.string()), ("mark", pa.int64()),
-                        ("key", pa.int64()), ("n", pa.int32()), *((f"p{i}", pa.int64()) for i in range(4)),
+                        ("key", pa.int64()), ("n", pa.int32()), *((f"p{i}", pa.int64()) for i in range(PARITY)),
                         ("part", pa.int32()), ("blob", pa.binary())])
 
     def scan(batches):
@@ -99,21 +100,22 @@ def _scan_sets(docs, id_type):
             if held:
                 count(held)
             m = len(sizes)
-            bits = np.array(bits, np.int64).reshape(m, 4)
+            bits = np.array(bits, np.int64).reshape(m, PARITY)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(schema.field(0).type), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)),
-                pa.array(np.array(sizes, np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)),
+                pa.array(np.array(sizes, np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(PARITY)),
                 pa.array(np.full(m, -1, np.int32)), pa.nulls(m, pa.binary())], schema=schema)
         used = [(p, c) for p, c in enumerate(counts.reshape(pieces, -1)) if c.any()]
         if used:
             k = len(used)
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(k, schema.field(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()),
-                *(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(np.array([p for p, _ in used], np.int32)),
+                *(pa.nulls(k, pa.int64()) for _ in range(PARITY)), pa.array(np.array([p for p, _ in used], np.int32)),
                 pa.array([zlib.compress(c.tobytes(), 1) for _, c in used], pa.binary())], schema=schema)
 
-    out = f"doc_id {id_type}, mark long, key long, n int, p0 long, p1 long, p2 long, p3 long, part int, blob binary"
-    return docs.mapInArrow(scan, out)
+    bits = ", ".join(f"p{i} long" for i in range(PARITY))
+    out = f"doc_id {id_type}, mark long, key long, n int, {bits}, part int, blob binary"
+    return docs.mapInArrow(tidy(scan), out)
 
 
 def _levels(scanned, total):
@@ -140,7 +142,7 @@ def _levels(scanned, total):
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(done, pa.binary())], names=["part", "blob"])
 
     told = (scanned.filter("part >= 0").select("part", "blob").repartition(pieces, "part")
-            .mapInArrow(add, "part int, blob binary"))
+            .mapInArrow(tidy(add), "part int, blob binary"))
     out = np.zeros((2, pieces, 1 << RANGE_BITS), np.uint8)
     for r in told.toLocalIterator():
         out[:, r["part"]] = np.frombuffer(zlib.decompress(r["blob"]), np.uint8).reshape(2, -1)
@@ -196,7 +198,7 @@ def _index_blocks(docs, level, salts, ranges, num, den):
             yield flush(held)
 
     return docs.select("_text").mapInArrow(
-        scan, "rng int, tok binary, key binary, part binary, size binary, pos binary, score binary")
+        tidy(scan), "rng int, tok binary, key binary, part binary, size binary, pos binary, score binary")
 
 
 def _lists(blocks, salts, ranges, num, den):
@@ -265,7 +267,7 @@ def _enough(c, na, nb, num, den, part=1):
 
 def _alike(x, y, nx, ny, num, den):
     """Pairs whose parity bits (columns xp0.., yp0..) differ in no more places than linked sets of these sizes may."""
-    differ = sum(F.bit_count(F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}"))) for i in range(4))
+    differ = sum(F.bit_count(F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}"))) for i in range(PARITY))
     least = F.ceil(F.lit(num) * (F.col(nx) + F.col(ny)) / F.lit(num + den))
     return differ <= F.col(nx) + F.col(ny) - 2 * least
 
@@ -309,7 +311,7 @@ def _fetch_sets(docs, wanted):
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(packed, pa.binary())], names=["key", "elems"])
 
-    return docs.mapInArrow(scan, "key long, elems binary")
+    return docs.mapInArrow(tidy(scan), "key long, elems binary")
 
 
 def _verify(docs, pairs, classes, num, den):
@@ -335,13 +337,16 @@ def _verify(docs, pairs, classes, num, den):
         .join(sets.select(F.col("key").alias("a"), F.col("elems").alias("ea")), "a")
         .select("a", "b", "ea", "eb")
     )
-    links = cut(joined.mapInArrow(check, "a long, b long").distinct())
+    links = cut(joined.mapInArrow(tidy(check), "a long, b long").distinct())
     drop_cut(sets)
     return links
 
 
 # ---- the join ---------------------------------------------------------------
 
+BATCH_ROWS = 500
+
+
 def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
     """(documents, links): documents (doc_id, mark, key, n) with the class of equal sets, links (a, b) between class keys.
 
@@ -350,6 +355,11 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
     `links` connects every pair of linked classes through links, directly or through other linked classes; every
     row of it is a verified link.
     """
+    with arrow_batches(df.sparkSession, BATCH_ROWS):
+        return _similar_classes(df, text, doc_id, num, den)
+
+
+def _similar_classes(df, text, doc_id, num, den):
     spark = df.sparkSession
     id_type = df.schema[doc_id].dataType.simpleString()
     wide = "bigint" if id_type in ("tinyint", "smallint", "int", "bigint") else "string"
@@ -357,7 +367,7 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
                      F.col(text).alias("_text"))
     scanned = cut(_scan_sets(docs, wide))
     documents = scanned.filter("part < 0").drop("part", "blob")
-    parity = [f"p{i}" for i in range(4)]
+    parity = [f"p{i}" for i in range(PARITY)]
     classes = (
         documents.filter("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "mark", *parity)).alias("one"))
         .select("key", "one.mark", *[f"one.{p}" for p in parity])
@@ -423,7 +433,7 @@ def similar_classes(df, text="text", doc_id="doc_id", num=3, den=4):
 def linked_documents(df, text="text", doc_id="doc_id", num=3, den=4):
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable through links)."""
     documents, links = similar_classes(df, text, doc_id, num, den)
-    comp = components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root")
+    comp = cut(components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root"))
     classes = (
         documents.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
         .join(comp, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -441,7 +451,7 @@ def drop_linked(df, text="text", doc_id="doc_id", num=3, den=4):
     Documents with an empty set link with nothing and all stay. Of rows equal in id and text one stays. Columns as in df.
     """
     documents, links = similar_classes(df, text, doc_id, num, den)
-    comp = components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root")
+    comp = cut(components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     classes = (
         documents.filter("n > 0").groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("c"))
