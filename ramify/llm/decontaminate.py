@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ramify.llm.common import lowered_wide, ngrams, row_groups, text_buffer, words
+from ramify.llm.common import lowered_wide, ngrams, row_groups, text_buffer, tidy, words
 
 N = 3
 THRESHOLD = 0.5
@@ -102,7 +102,7 @@ def document_counts(docs, grams, n):
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["g", "n"])
 
     out = np.zeros(len(grams) + 1, np.int64)  # the last is the number of documents
-    for r in docs.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.mapInArrow(tidy(count), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["g"]] = r["n"]
     return out[:-1], int(out[-1])
 
@@ -202,7 +202,7 @@ def contaminations(docs, items, text="text", doc_id="doc_id", item_id="item_id",
                          pa.array(score), pa.array(x, pa.int64()), pa.array(y, pa.int64())],
                         names=["doc_id", "item_id", "score", "span_start", "span_end"])
 
-        part = rows.mapInArrow(find, schema)
+        part = rows.mapInArrow(tidy(find), schema)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -221,5 +221,5 @@ def drop_contaminated(docs, items, text="text", item_id="item_id", n=N, threshol
                     clean[r] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(tidy(keep), docs.schema)
     return out

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ramify.llm.common import cut, cut_packed, drop_cut, kept
+from ramify.llm.common import cut, cut_packed, drop_cut, kept, tidy
 
 END_ID = 1
 RANGE_BYTES = 64 << 20
@@ -118,7 +118,7 @@ def _tokenise(docs, vocabulary, ranks, vocabulary_size):
                     [part.column(0), pa.array(key), pa.array(np.array(counts, np.int64)), pa.array(packed, pa.binary())],
                     names=["doc_id", "key", "n", "ids"])
 
-    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, ids binary")
+    return docs.mapInArrow(tidy(scan), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n long, ids binary")
 
 
 def _ranges(tokens, id_bytes):
@@ -154,7 +154,7 @@ def pack(df, vocabulary, ranks, vocabulary_size=50_257, length=2048, text="text"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rng.astype(np.int32))],
                                              names=["doc_id", "key", "n", "ids", "rng"])
 
-    placed = tokens.mapInArrow(place, f"doc_id {id_type}, key long, n long, ids binary, rng int")
+    placed = tokens.mapInArrow(tidy(place), f"doc_id {id_type}, key long, n long, ids binary, rng int")
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def cut_up(table):

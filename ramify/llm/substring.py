@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ramify.functions.patterns import components
-from ramify.llm.common import _R, _RINV, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, words
+from ramify.llm.common import _R, _RINV, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, tidy, words
 
 SHINGLE, RUN, WORDS = 5, 16, 32
 BANDS, ROWS = 8, 3
@@ -139,7 +139,7 @@ def _anchor_tables(texts, ranges):
             out += [word.astype(np.uint32).tobytes(), bits.tobytes()]
         return pa.Table.from_arrays([pa.array([x], pa.binary()) for x in out], names=["w1", "b1", "w2", "b2"])
 
-    found = (texts.mapInArrow(scan, "rng int, anchor binary, key binary, n binary")
+    found = (texts.mapInArrow(tidy(scan), "rng int, anchor binary, key binary, n binary")
              .groupBy("rng").applyInArrow(told, "w1 binary, b1 binary, w2 binary, b2 binary"))
     tables = np.zeros((2, 1 << (TABLE_BITS - 6)), np.uint64)
     for r in found.toLocalIterator():  # never more than the bits of the two tables, whatever the input
@@ -197,7 +197,7 @@ def _candidates(rows, tables, id_type):
                          pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                          pa.array([p.tobytes() for p in packed], pa.binary())], names=names)
 
-    return rows.mapInArrow(scan, f"kind tinyint, doc_id {id_type}, mark long, key long, start long, end long, at long, elems binary")
+    return rows.mapInArrow(tidy(scan), f"kind tinyint, doc_id {id_type}, mark long, key long, start long, end long, at long, elems binary")
 
 
 def _banded(classes):
@@ -209,7 +209,7 @@ def _banded(classes):
                 keys = signatures(sets)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "key"])
-    return classes.select("key", "elems").mapInArrow(scan, "band long, key long")
+    return classes.select("key", "elems").mapInArrow(tidy(scan), "band long, key long")
 
 
 def _stars(entries, seed):
@@ -227,7 +227,7 @@ def _verified(pairs, classes, threshold):
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, _INNER) for c in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array(jaccard(x, y) >= threshold))
     one, two = (classes.select(F.col("key").alias(k), F.col("elems").alias(f"e{k}")) for k in "ab")
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long"))
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(tidy(check), "a long, b long"))
 
 
 def repeated_paragraphs(df, text="text", doc_id="doc_id", threshold=0.75):
