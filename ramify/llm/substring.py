@@ -1,23 +1,27 @@
 """Repeated passages across documents by MinHash banding of paragraphs.
 
-Words are compared without case. A passage may stand anywhere in a line, so paragraphs are cut where the text itself says: a 5-word shingle that is the
-least (by hash) of 16 in a row is an anchor, and the 32 words from there are a paragraph. Two documents that share 47
-words in a row share at least one whole paragraph, wherever it stands.
-
-1. Anchors are counted over all documents; paragraphs whose anchor stands in one document only cannot repeat and are
-   left out, by a bit table of fixed size (its false positives only cost time).
-2. Equal paragraphs are one class. Classes whose anchor starts one class only are their own component. Each other class has
-   a MinHash signature over its 28 shingles in `BANDS` bands of `ROWS`
-   values: 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.99 of pairs at similarity 0.75 collide.
+Words are compared without case. Three kinds of units are cut from a text, each of 32 words or more:
+  - paragraphs: a line, or lines under 32 words in a row joined up to a blank or a longer line;
+  - chunks, for passages inside longer lines or over several: from an anchor, a 5-word shingle that is the least (by
+    hash) of 64 in a row, to the first anchor at least 32 words on;
+  - windows, for exact copies only: the 32 words from a shingle that is the least of 16 in a row. Two documents that
+    share 47 words in a row share a whole window, wherever it stands.
+
+1. Windows: anchors are counted over all documents; windows whose anchor stands in one document only cannot repeat and
+   are left out, by a bit table of fixed size (its false positives only cost time). Equal windows are one class.
+2. Paragraphs and chunks: equal ones are one class. Every class, whatever its anchors or edits, has a MinHash signature
+   over its shingles in `BANDS` bands of `ROWS` values: 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.99 of pairs at similarity
+   0.75 collide.
 3. In every bucket the classes are compared with one leader, another for each band, and once more among those that are
    still apart; so a bucket costs its size, however large. Exact Jaccard of the shingles at 0.75 decides.
 4. Linked classes form components. A component that occurs in two documents or more is a repeat: its occurrence in the
-   document of the smallest id stays, those in other documents are removals. Overlapping paragraphs are one passage.
+   document of the smallest id stays, those in other documents are removals. Overlapping units are one passage.
 
-Defined cases: null texts, empty texts and texts under 32 words have no paragraph. A passage repeated inside one document
+Defined cases: null texts, empty texts and texts under 32 words have no unit. A passage repeated inside one document
 only is no repeat. Rows of one id count as one document; rows with a null id are each told apart from others by text and
-never kept in favour of a row with an id. Repeated rows with equal id and text give equal passages, reported once. Other
-columns are ignored; an empty table gives no rows.
+never kept in favour of a row with an id. Repeated rows with equal id and text give equal passages, reported once. Every
+unit has its own keeper, so a removed paragraph may overlap a window kept for other documents. Other columns are
+ignored; an empty table gives no rows.
 """
 
 import numpy as np
@@ -26,135 +30,230 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ramify.functions.patterns import components
-from ramify.llm.common import _R, _RINV, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, tidy, words
+from ramify.llm.common import _R, _RINV, GOLD, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, tidy, words
 
-SHINGLE, RUN, WORDS = 5, 16, 32
+SHINGLE, RUN, CHUNK_RUN, WORDS = 5, 16, 64, 32
 BANDS, ROWS = 8, 3
+PARITY = 4
 TABLE_BITS = 26
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
-_INNER = WORDS - SHINGLE + 1
 
 
-def anchors(h, first):
-    """Anchored paragraphs of all rows: shingle hashes, anchor positions (words), their rows."""
-    g = ngrams(h, SHINGLE)
-    if not len(g):
-        return g, np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _least_of(g, first, run):
+    """Word positions of the shingles that are the least of `run` (a power of two) in a row, and the row of each word."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     own = np.where(row[:len(g)] == row[SHINGLE - 1:SHINGLE - 1 + len(g)], g, top)
-    pad = np.full(RUN - 1, top)
+    pad = np.full(run - 1, top)
     low = np.concatenate([pad, own, pad])
-    for k in (1, 2, 4, 8):  # least of RUN = 16 in a row, by doubling
+    steps = [1 << k for k in range(run.bit_length() - 1)]
+    for k in steps:  # least of `run` in a row, by doubling
         low = np.minimum(low[:-k], low[k:])
-    for k in (1, 2, 4, 8):  # the largest such minimum among the runs that hold a position
+    for k in steps:  # the largest such minimum among the runs that hold a position
         low = np.maximum(low[:-k], low[k:])
     is_least = (low == own) & (own != top)
     is_least[:-1] &= own[1:] != own[:-1]  # of a repeated shingle, the last
-    pos = np.flatnonzero(is_least)
+    return np.flatnonzero(is_least), row
+
+
+def anchors(h, first):
+    """Anchored windows of all rows: shingle hashes, anchor positions (words), their rows."""
+    g = ngrams(h, SHINGLE)
+    if not len(g):
+        return g, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pos, row = _least_of(g, first, RUN)
     pos = pos[pos + WORDS <= first[row[pos] + 1]]
     return g, pos, row[pos]
 
 
+def units(raw, h, start, first, g):
+    """Paragraphs and chunks of all rows: first word, word after the last, row."""
+    if len(h) < WORDS:
+        return (np.zeros(0, np.int64),) * 3
+    # paragraphs
+    lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])[start]
+    step = np.diff(lines, prepend=lines[0])
+    row_start = np.zeros(len(h), bool)
+    row_start[first[:-1][first[:-1] < len(h)]] = True
+    heads = np.flatnonzero(row_start | (step > 0))
+    long = np.diff(np.append(heads, len(h))) >= WORDS
+    cuts = row_start[heads] | (step[heads] > 1) | long
+    cuts[1:] |= long[:-1]
+    a = heads[cuts]
+    b = np.append(a[1:], len(h))
+    # chunks
+    pos, row = _least_of(g, first, CHUNK_RUN)
+    to = np.searchsorted(pos, pos + WORDS)
+    inside = to < len(pos)
+    x, y = pos[inside], pos[to[inside]]
+    same = row[x] == row[y]
+    a, b = np.concatenate([a, x[same]]), np.concatenate([b, y[same]])
+    full = b - a >= WORDS
+    return a[full], b[full], row[a[full]]
+
+
 def _paragraphs(column):
-    """Per block of rows: first row, shingles, anchor positions, rows, word hashes, starts, ends, row byte offsets."""
+    """Per block of rows: first row, shingles, window positions, rows, word hashes, starts, ends, row byte offsets, units."""
     raw, offsets = text_buffer(column)
     for a, b in row_groups(offsets):
         o = offsets[a:b + 1]
-        start, end, h, first = words(lowered_wide(raw[o[0]:o[-1]]), o - o[0])
+        low = lowered_wide(raw[o[0]:o[-1]])
+        start, end, h, first = words(low, o - o[0])
         g, pos, row = anchors(h, first)
-        yield a, g, pos, row, h, start, end, o - o[0]
+        yield a, g, pos, row, h, start, end, o - o[0], units(low, h, start, first, g)
 
 
-def signatures(sets):
-    """Band keys of paragraphs given as rows of 32-bit shingles."""
-    s = sets.astype(np.uint64)
-    least = np.stack([mix(s ^ seed).min(1) for seed in _SEEDS], 1)
+def _flat(a, size):
+    """Positions a .. a + size - 1 of every unit in a row, and where each unit's begin."""
+    begin = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(begin - a, size), begin
+
+
+def band_keys(flat, begin):
+    """Band keys of sets of 32-bit shingles (in uint64), laid end to end from `begin` on."""
+    least = np.stack([np.minimum.reduceat(mix(flat ^ seed), begin) for seed in _SEEDS], 1)
     keys = []
     for b in range(BANDS):
-        k = np.full(len(s), b + 1, np.uint64)
+        k = np.full(len(begin), b + 1, np.uint64)
         for r in range(ROWS):
             k = mix(k ^ least[:, b * ROWS + r])
         keys.append(k)
     return np.stack(keys, 1)
 
 
+def signatures(sets):
+    """Band keys of sets of equal size, given as rows of 32-bit shingles."""
+    return band_keys(sets.astype(np.uint64).reshape(-1), np.arange(len(sets)) * sets.shape[1])
+
+
+def similarities(x, nx, y, ny):
+    """Jaccard similarities of pairs of sets of 32-bit shingles, laid end to end; nx and ny are their sizes."""
+    def named(v, n):
+        return np.unique(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | v.astype(np.uint64))
+    x, y = named(x, nx), named(y, ny)
+    count = lambda v: np.bincount((v >> np.uint64(32)).astype(np.int64), minlength=len(nx))
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = count(both[1:][both[1:] == both[:-1]])
+    return common / np.maximum(1, count(x) + count(y) - common)
+
+
 def jaccard(x, y):
     """Row-wise Jaccard similarity of two arrays of shingles."""
-    x, y = np.sort(x, 1), np.sort(y, 1)
-    x_new = np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], 1)
-    y_new = np.concatenate([np.ones((len(y), 1), bool), y[:, 1:] != y[:, :-1]], 1)
-    both = np.concatenate([np.where(x_new, x.astype(np.int64), -1 - np.arange(x.shape[1])),
-                           np.where(y_new, y.astype(np.int64), -1001 - np.arange(y.shape[1]))], 1)
-    both.sort(1)
-    common = (both[:, 1:] == both[:, :-1]).sum(1)
-    return common / np.maximum(1, x_new.sum(1) + y_new.sum(1) - common)
+    return similarities(x.reshape(-1), np.full(len(x), x.shape[1]), y.reshape(-1), np.full(len(y), y.shape[1]))
+
+
+def parity_bits(s):
+    """PARITY * 64 bits, each whether an odd number of the set's members falls on it (as in ngram_join)."""
+    odd = np.bincount((mix(s.astype(np.uint64)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def window_keys(h, pos):
     """64-bit name of the WORDS words from each position."""
+    return _span_keys(h, pos, pos + WORDS)
+
+
+def _span_keys(h, a, b):
+    """64-bit name of the words from a to before b."""
     n = len(h)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(h * _power(_R, n), out=sums[1:])
-    return mix((sums[pos + WORDS] - sums[pos]) * _power(_RINV, n + 1)[pos])
+    return mix((sums[b] - sums[a]) * _power(_RINV, n + 1)[a] + (b - a).astype(np.uint64) * GOLD)
 
 
-def _anchor_tables(texts, ranges):
-    """Two bit tables of anchors: those in two rows or more, and those that start unlike paragraphs."""
+def _shared_parts(texts, ranges):
+    """Rows (w, bits) of a table of the anchors in two rows or more, and rows (band, key, many) of the unit classes that
+    share a bucket with others (many) or occur more than once."""
+    bits = np.uint64(ranges.bit_length() - 1)
+    kinds = (("anchor", np.uint64), ("n", np.uint8), ("band", np.uint32), ("key", np.uint64))
+
     def scan(batches):
-        found = []
+        found, bands, keys, seen, again = [], [], [], set(), set()
         for batch in batches:
-            for _, g, pos, row, h, *_ in _paragraphs(batch.column(0)):
-                a, k = g[pos], window_keys(h, pos)
-                order = np.lexsort((k, a, row))
-                a, k, r = a[order], k[order], row[order]
+            for _, g, pos, row, h, _, _, _, (x, y, _) in _paragraphs(batch.column(0)):
+                a = g[pos]
+                order = np.lexsort((a, row))
+                a, r = a[order], row[order]
                 new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-                fresh = np.ones(len(a), bool)
-                fresh[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-                found.append((a[new], (k[new] >> np.uint64(32)).astype(np.uint32), fresh[new].astype(np.uint8)))
+                new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+                found.append(_counted(a[new], np.ones(int(new.sum()), np.uint8)))
+                key, one, n = np.unique(_span_keys(h, x, y), return_index=True, return_counts=True)
+                fresh = np.array([k not in seen for k in key.tolist()], bool)
+                again.update(key[(n > 1) | ~fresh].tolist())
+                seen.update(key[fresh].tolist())
+                x, y, key = x[one[fresh]], y[one[fresh]], key[fresh]
+                if len(key):
+                    at, begin = _flat(x, y - x - SHINGLE + 1)
+                    bands.append(band_keys(g[at] >> np.uint64(32), begin).reshape(-1))
+                    keys.append(np.repeat(key, BANDS))
         if found:
-            a, k, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            a, k, n = _folded(a, k, n)
-            bits = np.uint64(ranges.bit_length() - 1)
-            where = np.searchsorted(a >> (np.uint64(64) - bits), np.arange(ranges + 1, dtype=np.uint64))
-            rows = [(r, x, y) for r, (x, y) in enumerate(zip(where[:-1], where[1:], strict=True)) if y > x]
+            a, n = _counted(*(np.concatenate(v) for v in zip(*found, strict=True)))
+            twice = np.repeat(np.fromiter(again, np.uint64, len(again)), 2)  # classes that this task alone has twice
+            band, key = np.concatenate([*bands, mix(twice)]), np.concatenate([*keys, twice])
+            order = np.argsort(band)
+            band, key = band[order], key[order]
+            edges = np.arange(ranges, dtype=np.uint64) << (np.uint64(64) - bits)
+            cuts = [np.append(np.searchsorted(v, edges), len(v)) for v in (a, band)]
+            low = (band >> (np.uint64(32) - bits)).astype(np.uint32)
+            rows = [r for r in range(ranges) if any(c[r + 1] > c[r] for c in cuts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r for r, _, _ in rows], pa.int32()),
-                 *[pa.array([v[x:y].tobytes() for _, x, y in rows], pa.binary()) for v in (a, k, n)]], names=["rng", "anchor", "key", "n"])
+                [pa.array(rows, pa.int32()),
+                 *[pa.array([v[c[r]:c[r + 1]].tobytes() for r in rows], pa.binary())
+                   for v, c in ((a, cuts[0]), (n, cuts[0]), (low, cuts[1]), (key, cuts[1]))]], names=["rng", *[k for k, _ in kinds]])
 
     def told(table):
-        a, k, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-                   for c, t in (("anchor", np.uint64), ("key", np.uint32), ("n", np.uint8)))
-        a, k, n = _folded(a, k, n)
-        starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        many = np.add.reduceat(n.astype(np.int64), starts) > 1
-        unlike = np.diff(np.append(starts, len(a))) > 1
-        out = []
-        for flag in (many, many & unlike):
-            slot = a[starts][flag] >> np.uint64(64 - TABLE_BITS)
-            word, back = np.unique(slot >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(bits, back, np.uint64(1) << (slot & np.uint64(63)))
-            out += [word.astype(np.uint32).tobytes(), bits.tobytes()]
-        return pa.Table.from_arrays([pa.array([x], pa.binary()) for x in out], names=["w1", "b1", "w2", "b2"])
-
-    found = (texts.mapInArrow(tidy(scan), "rng int, anchor binary, key binary, n binary")
-             .groupBy("rng").applyInArrow(told, "w1 binary, b1 binary, w2 binary, b2 binary"))
-    tables = np.zeros((2, 1 << (TABLE_BITS - 6)), np.uint64)
-    for r in found.toLocalIterator():  # never more than the bits of the two tables, whatever the input
-        for i, (w, bits) in enumerate((("w1", "b1"), ("w2", "b2"))):
-            np.bitwise_or.at(tables[i], np.frombuffer(r[w], np.uint32), np.frombuffer(r[bits], np.uint64))
-    return tables
-
-
-def _folded(a, k, n):
-    """Sorted distinct (a, k), with n summed up to 2."""
-    order = np.lexsort((k, a))
-    a, k, n = a[order], k[order], n[order]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (k[1:] != k[:-1])]))
+        rng = np.uint64(table.column("rng")[0].as_py())
+        a, n, band, key = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in kinds)
+        a, n = _counted(a, n)
+        slot = a[n > 1] >> np.uint64(64 - TABLE_BITS)
+        word, back = np.unique(slot >> np.uint64(6), return_inverse=True)
+        table_bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(table_bits, back, np.uint64(1) << (slot & np.uint64(63)))
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        head = np.ones(len(band), bool)
+        head[1:] = band[1:] != band[:-1]
+        new = head.copy()
+        new[1:] |= key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        repeats = np.diff(np.append(at, len(band))) > 1
+        group = np.cumsum(head)[at] - 1 if len(at) else at
+        many = np.bincount(group, minlength=1)[group] > 1
+        keep = at[many | repeats]
+        w, m = len(word), len(keep)
+        return pa.Table.from_arrays(
+            [pa.array(np.append(word.astype(np.int64), np.full(m, -1))), pa.array(np.append(table_bits.view(np.int64), np.zeros(m, np.int64))),
+             pa.array(np.append(np.zeros(w, np.int64), ((rng << np.uint64(32)) | band[keep].astype(np.uint64)).view(np.int64))),
+             pa.array(np.append(np.zeros(w, np.int64), key[keep].view(np.int64))),
+             pa.array(np.append(np.zeros(w, bool), many[many | repeats]))], names=["w", "bits", "band", "key", "many"])
+
+    return (texts.mapInArrow(tidy(scan), "rng int, anchor binary, n binary, band binary, key binary")
+            .groupBy("rng").applyInArrow(told, "w long, bits long, band long, key long, many boolean"))
+
+
+def _counted(a, n):
+    """Sorted distinct a, with n summed up to 2."""
+    order = np.argsort(a)
+    a, n = a[order], n[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
     total = np.add.reduceat(n.astype(np.int64), starts) if len(starts) else n
-    return a[starts], k[starts], np.minimum(total, 2).astype(np.uint8)
+    return a[starts], np.minimum(total, 2).astype(np.uint8)
+
+
+def _tables(parts):
+    """Three bit tables: anchors in two rows or more, unit classes whose places and those whose shingles are wanted."""
+    slot = F.shiftrightunsigned("key", 64 - TABLE_BITS)
+    keys = parts.filter("w < 0").select("key", "many").withColumn("s", slot).withColumn("w", F.shiftright("s", 6))
+    bit = "shiftleft(1L, int(s & 63))"
+    rows = keys.groupBy("w").agg(F.expr(f"bit_or({bit})").alias("b1"), F.expr(f"bit_or(if(many, {bit}, 0L))").alias("b2"))
+    tables = np.zeros((3, 1 << (TABLE_BITS - 6)), np.int64)
+    # never more rows than the words of the tables, but for anchors of slots that two ranges share
+    for r in parts.filter("w >= 0").groupBy("w").agg(F.expr("bit_or(bits)").alias("bits")).toLocalIterator():
+        tables[0, r["w"]] = r["bits"]
+    for r in rows.toLocalIterator():
+        tables[1:, r["w"]] = r["b1"], r["b2"]
+    return tables.view(np.uint64)
 
 
 def _in_table(table, anchor):
@@ -163,53 +262,49 @@ def _in_table(table, anchor):
 
 
 def _candidates(rows, tables, id_type):
-    """kind 0: (doc_id, mark, key, start, end, at) per paragraph whose anchor repeats; kind 1: (key, shingles) per class
-    and task, of paragraphs whose anchor starts unlike ones."""
-    shared = rows.sparkSession.sparkContext.broadcast(tables)  # twice a fixed 2 ** TABLE_BITS bits
+    """kind 0: (doc_id, mark, key, start, end, at, size in words) per window whose anchor repeats and per wanted unit;
+    kind 1: (key, size, shingles, parity bits) per class and task of units that share a bucket."""
+    shared = rows.sparkSession.sparkContext.broadcast(tables)  # three times a fixed 2 ** TABLE_BITS bits
     arrow_id = pa.int64() if id_type == "bigint" else pa.string()
-    names = ["kind", "doc_id", "mark", "key", "start", "end", "at", "elems"]
+    parity = [f"p{i}" for i in range(PARITY)]
+    names = ["kind", "doc_id", "mark", "key", "start", "end", "at", "size", "elems", *parity]
 
     def scan(batches):
         seen = set()
         for batch in batches:
-            for base, g, pos, row, h, start, end, offsets in _paragraphs(batch.column(2)):
+            for base, g, pos, row, h, start, end, offsets, (x, y, unit_row) in _paragraphs(batch.column(2)):
                 hit = _in_table(shared.value[0], g[pos])
-                pos, row = pos[hit], row[hit]
-                if not len(pos):
+                unit_key = _span_keys(h, x, y)
+                met = _in_table(shared.value[1], unit_key)
+                x, y, unit_row, unit_key = x[met], y[met], unit_row[met], unit_key[met]
+                key = np.concatenate([window_keys(h, pos[hit]), unit_key])
+                row = np.concatenate([row[hit], unit_row])
+                a, b = np.concatenate([pos[hit], x]), np.concatenate([pos[hit] + WORDS, y])
+                n = len(key)
+                if not n:
                     continue
-                key = window_keys(h, pos)
                 where = pa.array(base + row)
-                n = len(pos)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(n, np.int8)), batch.column(0).take(where).cast(arrow_id), batch.column(1).take(where),
-                     pa.array(key.view(np.int64)), pa.array(start[pos] - offsets[row]), pa.array(end[pos + WORDS - 1] - offsets[row]),
-                     pa.array(pos), pa.nulls(n, pa.binary())], names=names)
-                _, one = np.unique(key, return_index=True)
-                one = one[_in_table(shared.value[1], g[pos[one]])]
-                one = np.array([i for i in one if int(key[i]) not in seen], np.int64)
-                seen.update(int(key[i]) for i in one)
+                     pa.array(key.view(np.int64)), pa.array(start[a] - offsets[row]), pa.array(end[b - 1] - offsets[row]),
+                     pa.array(a), pa.array(b - a), pa.nulls(n, pa.binary()), *[pa.nulls(n, pa.int64())] * PARITY], names=names)
+                _, one = np.unique(unit_key, return_index=True)
+                one = one[_in_table(shared.value[2], unit_key[one])]
+                one = np.array([i for i in one if int(unit_key[i]) not in seen], np.int64)
+                seen.update(int(unit_key[i]) for i in one)
                 m = len(one)
                 if m:
-                    sets = g[pos[one][:, None] + np.arange(_INNER)]
-                    packed = (sets >> np.uint64(32)).astype(np.uint32)
+                    sets = [np.unique((g[x[i]:y[i] - SHINGLE + 1] >> np.uint64(32)).astype(np.uint32)) for i in one]
+                    odd = np.array([parity_bits(s) for s in sets])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(m, np.int8)), pa.nulls(m, arrow_id), pa.nulls(m, pa.int64()), pa.array(key[one].view(np.int64)),
-                         pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                         pa.array([p.tobytes() for p in packed], pa.binary())], names=names)
-
-    return rows.mapInArrow(tidy(scan), f"kind tinyint, doc_id {id_type}, mark long, key long, start long, end long, at long, elems binary")
+                        [pa.array(np.ones(m, np.int8)), pa.nulls(m, arrow_id), pa.nulls(m, pa.int64()), pa.array(unit_key[one].view(np.int64)),
+                         *[pa.nulls(m, pa.int64())] * 3, pa.array(np.array([len(s) for s in sets])),
+                         pa.array([s.tobytes() for s in sets], pa.binary()),
+                         *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY))], names=names)
 
-
-def _banded(classes):
-    """(band key, class) of every class."""
-    def scan(batches):
-        for batch in batches:
-            if batch.num_rows:
-                sets = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, _INNER)
-                keys = signatures(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "key"])
-    return classes.select("key", "elems").mapInArrow(tidy(scan), "band long, key long")
+    bits = ", ".join(f"{p} long" for p in parity)
+    return rows.mapInArrow(tidy(scan), f"kind tinyint, doc_id {id_type}, mark long, key long, start long, end long, at long, "
+                                       f"size long, elems binary, {bits}")
 
 
 def _stars(entries, seed):
@@ -223,38 +318,49 @@ def _stars(entries, seed):
 def _verified(pairs, classes, threshold):
     def check(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, _INNER) for c in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(jaccard(x, y) >= threshold))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                packed = [part.column(c).to_pylist() for c in (2, 3)]
+                x, y = (np.frombuffer(b"".join(p), np.uint32) for p in packed)
+                nx, ny = (np.array([len(e) // 4 for e in p]) for p in packed)
+                yield part.select([0, 1]).filter(pa.array(similarities(x, nx, y, ny) >= threshold))
     one, two = (classes.select(F.col("key").alias(k), F.col("elems").alias(f"e{k}")) for k in "ab")
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(tidy(check), "a long, b long"))
 
 
+def _linked(entries, classes, threshold):
+    """(key, root) of the classes that link to their buckets' leaders."""
+    links, comp = None, None
+    rooted = entries.withColumn("root", F.col("key"))
+    for seed in (1, 2):
+        pairs = _stars(rooted, seed)
+        found = _verified(pairs, classes, threshold)
+        links = found if links is None else links.union(found)
+        comp = cut(components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root"), retire=comp)
+        rooted = entries.join(comp, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return comp
+
+
 def repeated_paragraphs(df, text="text", doc_id="doc_id", threshold=0.75):
-    """Every occurrence of a paragraph that two documents or more share: doc_id, mark, start, end, at, cluster, keep_mark."""
+    """Every occurrence of a unit that two documents or more share: doc_id, mark, start, end, at, size, cluster, keep_mark."""
     id_type = "bigint" if df.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
     ident = F.col(doc_id).cast(id_type)
     mark = F.when(ident.isNull(), F.xxhash64(F.lit("null id"), text)).otherwise(F.xxhash64(ident))
     rows = df.select(ident.alias("doc_id"), mark.alias("mark"), F.col(text).alias("_text"))
     ranges = 1 << max(4, (2 * rows.rdd.getNumPartitions()).bit_length())
-    found = cut(_candidates(rows, _anchor_tables(rows.select("_text"), ranges), id_type))
-    classes = cut(found.filter("kind = 1").select("key", "elems").dropDuplicates(["key"]))
-    entries = cut(_banded(classes))
-    links = _verified(_stars(entries.withColumn("root", F.col("key")), 1), classes, threshold)
-    comp = cut(components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root"))
-    apart = entries.join(comp, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = _verified(_stars(apart, 2), classes, threshold)
-    comp = cut(components(links.union(more).select(F.lit(0).alias("g"), "a", "b"), key="g")
-               .select(F.col("node").alias("key"), "root"), retire=comp)
+    parts = cut(_shared_parts(rows.select("_text"), ranges))
+    found = cut(_candidates(rows, _tables(parts), id_type))
+    classes = cut(found.filter("kind = 1").select("key", "size", "elems", *[f"p{i}" for i in range(PARITY)]).dropDuplicates(["key"]))
+    comp = _linked(parts.filter("w < 0 AND many").select("band", "key"), classes, threshold)
     places = (
-        found.filter("kind = 0").select("doc_id", "mark", "key", "start", "end", "at").dropDuplicates(["mark", "key", "start"])
+        found.filter("kind = 0").select("doc_id", "mark", "key", "start", "end", "at", "size").dropDuplicates(["mark", "key", "start"])
         .join(comp, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key")
     )
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     shared = places.groupBy("cluster").agg(F.min(first).alias("first"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     shared = shared.filter("lo <> hi").select("cluster", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.mark").alias("keep_mark"))
     out = cut(places.join(shared, "cluster"))
-    for t in (found, classes, entries, comp, links, more):
+    for t in (parts, found, classes, comp):
         drop_cut(t)
     return out
 
@@ -262,8 +368,8 @@ def repeated_paragraphs(df, text="text", doc_id="doc_id", threshold=0.75):
 def repeated_passages(df, text="text", doc_id="doc_id", threshold=0.75):
     """One row per passage: doc_id, start, end (UTF-8 bytes), n_words, keep_doc_id, removed, cluster.
 
-    Overlapping or touching paragraphs of a document that are all kept, or all removed, are one passage, named by the
-    cluster and keeper of its first paragraph.
+    Overlapping or touching units of a document that are all kept, or all removed, are one passage, named by the
+    cluster and keeper of its first unit.
     """
     places = repeated_paragraphs(df, text, doc_id, threshold).withColumn("removed", F.col("mark") != F.col("keep_mark"))
     order = W.partitionBy("mark", "removed").orderBy("start", "end", "cluster")
@@ -272,6 +378,6 @@ def repeated_passages(df, text="text", doc_id="doc_id", threshold=0.75):
     parts = parts.withColumn("nr", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     head = F.min(F.struct("start", "end", "cluster", "keep_doc_id"))
     out = parts.groupBy("doc_id", "mark", "removed", "nr").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("at") - F.min("at") + WORDS).alias("n_words"), head.alias("head"))
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("size")) - F.min("at")).alias("n_words"), head.alias("head"))
     return out.select("doc_id", "start", "end", "n_words", F.col("head.keep_doc_id").alias("keep_doc_id"), "removed",
                       F.col("head.cluster").alias("cluster"))
