@@ -2,8 +2,8 @@
 
 Words are compared without case. Three kinds of units are cut from a text, each of 32 words or more:
   - paragraphs: a line, or lines under 32 words in a row joined up to a blank or a longer line;
-  - chunks, for passages inside longer lines or over several: from an anchor, a 5-word shingle that is the least (by
-    hash) of 64 in a row, to the first anchor at least 32 words on;
+  - chunks, for passages inside longer lines or over several: the words between neighbouring 5-word shingles that are
+    the least (by hash) of the 63 around them, 63 words on average;
   - windows, for exact copies only: the 32 words from a shingle that is the least of 16 in a row. Two documents that
     share 47 words in a row share a whole window, wherever it stands.
 
@@ -13,7 +13,8 @@ Words are compared without case. Three kinds of units are cut from a text, each
    over its shingles in `BANDS` bands of `ROWS` values: 1 - (1 - 0.75 ** ROWS) ** BANDS = 0.99 of pairs at similarity
    0.75 collide.
 3. In every bucket the classes are compared with one leader, another for each band, and once more among those that are
-   still apart; so a bucket costs its size, however large. Exact Jaccard of the shingles at 0.75 decides.
+   still apart. Then all pairs of a bucket that are in unlike components and not yet compared are compared, unless
+   their sizes or the parity bits of their shingles rule a link out. Exact Jaccard of the shingles at 0.75 decides.
 4. Linked classes form components. A component that occurs in two documents or more is a repeat: its occurrence in the
    document of the smallest id stays, those in other documents are removals. Overlapping units are one passage.
 
@@ -32,28 +33,24 @@ from pyspark.sql import functions as F
 from ramify.functions.patterns import components
 from ramify.llm.common import _R, _RINV, GOLD, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, tidy, words
 
-SHINGLE, RUN, CHUNK_RUN, WORDS = 5, 16, 64, 32
+SHINGLE, RUN, WORDS = 5, 16, 32
 BANDS, ROWS = 8, 3
 PARITY = 4
 TABLE_BITS = 26
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
-def _least_of(g, first, run):
-    """Word positions of the shingles that are the least of `run` (a power of two) in a row, and the row of each word."""
+def _own(g, first):
+    """Shingles of each position, or the largest number where they leave the row; and the row of each word."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    own = np.where(row[:len(g)] == row[SHINGLE - 1:SHINGLE - 1 + len(g)], g, top)
-    pad = np.full(run - 1, top)
-    low = np.concatenate([pad, own, pad])
-    steps = [1 << k for k in range(run.bit_length() - 1)]
-    for k in steps:  # least of `run` in a row, by doubling
-        low = np.minimum(low[:-k], low[k:])
-    for k in steps:  # the largest such minimum among the runs that hold a position
-        low = np.maximum(low[:-k], low[k:])
-    is_least = (low == own) & (own != top)
-    is_least[:-1] &= own[1:] != own[:-1]  # of a repeated shingle, the last
-    return np.flatnonzero(is_least), row
+    return np.where(row[:len(g)] == row[SHINGLE - 1:SHINGLE - 1 + len(g)], g, np.uint64(0xFFFFFFFFFFFFFFFF)), row
+
+
+def _doubled(least, x, run):
+    """Of x, the least (or by np.maximum the largest) of every `run` (a power of two) in a row, by doubling."""
+    for k in range(run.bit_length() - 1):
+        x = least(x[:-(1 << k)], x[1 << k:])
+    return x
 
 
 def anchors(h, first):
@@ -61,15 +58,22 @@ def anchors(h, first):
     g = ngrams(h, SHINGLE)
     if not len(g):
         return g, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pos, row = _least_of(g, first, RUN)
+    own, row = _own(g, first)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    pad = np.full(RUN - 1, top)
+    low = _doubled(np.minimum, np.concatenate([pad, own, pad]), RUN)
+    low = _doubled(np.maximum, low, RUN)  # the largest such minimum among the runs that hold a position
+    is_least = (low == own) & (own != top)
+    is_least[:-1] &= own[1:] != own[:-1]  # of a repeated shingle, the last
+    pos = np.flatnonzero(is_least)
     pos = pos[pos + WORDS <= first[row[pos] + 1]]
     return g, pos, row[pos]
 
 
 def units(raw, h, start, first, g):
-    """Paragraphs and chunks of all rows: first word, word after the last, row."""
+    """Paragraphs and chunks of all rows: first word, word after the last, row, and whether it is a chunk."""
     if len(h) < WORDS:
-        return (np.zeros(0, np.int64),) * 3
+        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool))
     # paragraphs
     lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])[start]
     step = np.diff(lines, prepend=lines[0])
@@ -81,15 +85,19 @@ def units(raw, h, start, first, g):
     cuts[1:] |= long[:-1]
     a = heads[cuts]
     b = np.append(a[1:], len(h))
-    # chunks
-    pos, row = _least_of(g, first, CHUNK_RUN)
-    to = np.searchsorted(pos, pos + WORDS)
-    inside = to < len(pos)
-    x, y = pos[inside], pos[to[inside]]
-    same = row[x] == row[y]
-    a, b = np.concatenate([a, x[same]]), np.concatenate([b, y[same]])
     full = b - a >= WORDS
-    return a[full], b[full], row[a[full]]
+    a, b = a[full], b[full]
+    # chunks
+    own, row = _own(g, first)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    pad = np.full(WORDS - 1, top)
+    low = _doubled(np.minimum, np.concatenate([pad, own, pad]), WORDS)
+    low = np.minimum(low[:len(own)], low[WORDS - 1:])  # least of the shingle, WORDS - 1 before it and WORDS - 1 after it
+    pos = np.flatnonzero((low == own) & (own != top))
+    x, y = pos[:-1], pos[1:]
+    inside = (row[x] == row[y]) & (y - x >= WORDS)
+    x, y = x[inside], y[inside]
+    return np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([row[a], row[x]]), np.arange(len(a) + len(x)) >= len(a)
 
 
 def _paragraphs(column):
@@ -109,12 +117,12 @@ def _flat(a, size):
     return np.arange(int(size.sum())) - np.repeat(begin - a, size), begin
 
 
-def band_keys(flat, begin):
-    """Band keys of sets of 32-bit shingles (in uint64), laid end to end from `begin` on."""
+def band_keys(flat, begin, kind=0):
+    """Band keys of sets of 32-bit shingles (in uint64), laid end to end from `begin` on; unlike kinds share none."""
     least = np.stack([np.minimum.reduceat(mix(flat ^ seed), begin) for seed in _SEEDS], 1)
     keys = []
     for b in range(BANDS):
-        k = np.full(len(begin), b + 1, np.uint64)
+        k = np.full(len(begin), b + 1, np.uint64) + np.uint64(BANDS) * np.asarray(kind, np.uint64)
         for r in range(ROWS):
             k = mix(k ^ least[:, b * ROWS + r])
         keys.append(k)
@@ -154,6 +162,11 @@ def window_keys(h, pos):
     return _span_keys(h, pos, pos + WORDS)
 
 
+def unit_keys(h, a, b, chunk):
+    """64-bit name of units. Paragraphs and chunks are classes of their own: a chunk is not compared with its paragraph."""
+    return mix(_span_keys(h, a, b) ^ chunk.astype(np.uint64))
+
+
 def _span_keys(h, a, b):
     """64-bit name of the words from a to before b."""
     n = len(h)
@@ -171,21 +184,21 @@ def _shared_parts(texts, ranges):
     def scan(batches):
         found, bands, keys, seen, again = [], [], [], set(), set()
         for batch in batches:
-            for _, g, pos, row, h, _, _, _, (x, y, _) in _paragraphs(batch.column(0)):
+            for _, g, pos, row, h, _, _, _, (x, y, _, chunk) in _paragraphs(batch.column(0)):
                 a = g[pos]
                 order = np.lexsort((a, row))
                 a, r = a[order], row[order]
                 new = np.ones(len(a), bool)
                 new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
                 found.append(_counted(a[new], np.ones(int(new.sum()), np.uint8)))
-                key, one, n = np.unique(_span_keys(h, x, y), return_index=True, return_counts=True)
+                key, one, n = np.unique(unit_keys(h, x, y, chunk), return_index=True, return_counts=True)
                 fresh = np.array([k not in seen for k in key.tolist()], bool)
                 again.update(key[(n > 1) | ~fresh].tolist())
                 seen.update(key[fresh].tolist())
-                x, y, key = x[one[fresh]], y[one[fresh]], key[fresh]
+                x, y, chunk, key = x[one[fresh]], y[one[fresh]], chunk[one[fresh]], key[fresh]
                 if len(key):
                     at, begin = _flat(x, y - x - SHINGLE + 1)
-                    bands.append(band_keys(g[at] >> np.uint64(32), begin).reshape(-1))
+                    bands.append(band_keys(g[at] >> np.uint64(32), begin, chunk).reshape(-1))
                     keys.append(np.repeat(key, BANDS))
         if found:
             a, n = _counted(*(np.concatenate(v) for v in zip(*found, strict=True)))
@@ -272,9 +285,9 @@ def _candidates(rows, tables, id_type):
     def scan(batches):
         seen = set()
         for batch in batches:
-            for base, g, pos, row, h, start, end, offsets, (x, y, unit_row) in _paragraphs(batch.column(2)):
+            for base, g, pos, row, h, start, end, offsets, (x, y, unit_row, chunk) in _paragraphs(batch.column(2)):
                 hit = _in_table(shared.value[0], g[pos])
-                unit_key = _span_keys(h, x, y)
+                unit_key = unit_keys(h, x, y, chunk)
                 met = _in_table(shared.value[1], unit_key)
                 x, y, unit_row, unit_key = x[met], y[met], unit_row[met], unit_key[met]
                 key = np.concatenate([window_keys(h, pos[hit]), unit_key])
@@ -315,6 +328,23 @@ def _stars(entries, seed):
     return met.select(F.least("key", "top.key").alias("a"), F.greatest("key", "top.key").alias("b")).distinct()
 
 
+def _across(entries, classes, threshold):
+    """Distinct pairs of a bucket in unlike components that sizes and parity bits leave able to link; entries (band, key, root)."""
+    open_ = entries.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    parity = [f"p{i}" for i in range(PARITY)]
+    left = cut(entries.join(open_, "band").join(classes.select("key", "size", *parity), "key"))
+    one, two = (left.select("band", *[F.col(c).alias(f"{k}{c}") for c in ("key", "root", "size", *parity)]) for k in "xy")
+    differ = sum(F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in parity)
+    total = F.col("xsize") + F.col("ysize")
+    met = one.join(two, "band").filter(
+        (F.col("xkey") < F.col("ykey")) & (F.col("xroot") != F.col("yroot"))
+        & (F.least("xsize", "ysize") >= threshold * F.greatest("xsize", "ysize"))
+        & (differ * (1 + threshold) <= total * (1 - threshold) + 1e-6))
+    pairs = cut(met.select(F.col("xkey").alias("a"), F.col("ykey").alias("b")).distinct())
+    drop_cut(left)
+    return pairs
+
+
 def _verified(pairs, classes, threshold):
     def check(batches):
         for batch in batches:
@@ -329,15 +359,19 @@ def _verified(pairs, classes, threshold):
 
 
 def _linked(entries, classes, threshold):
-    """(key, root) of the classes that link to their buckets' leaders."""
-    links, comp = None, None
+    """(key, root) of the classes that link: every pair that shares a bucket is compared or already in one component."""
+    links, compared, comp, made = None, None, None, []
     rooted = entries.withColumn("root", F.col("key"))
-    for seed in (1, 2):
-        pairs = _stars(rooted, seed)
+    for seed in (1, 2, None):
+        pairs = cut(_stars(rooted, seed)) if seed else _across(rooted, classes, threshold).join(compared, ["a", "b"], "left_anti")
         found = _verified(pairs, classes, threshold)
+        made += [pairs, found]
         links = found if links is None else links.union(found)
+        compared = pairs if compared is None else compared.union(pairs)
         comp = cut(components(links.select(F.lit(0).alias("g"), "a", "b"), key="g").select(F.col("node").alias("key"), "root"), retire=comp)
         rooted = entries.join(comp, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    for t in made:
+        drop_cut(t)
     return comp
 
 

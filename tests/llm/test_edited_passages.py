@@ -1,4 +1,4 @@
-"""op10: edited repeats end to end."""
+"""op10: edited repeats end to end, and buckets that hold several groups."""
 
 import random
 
@@ -65,6 +65,33 @@ def test_edited_passages_inside_lines_are_found(make, vocabulary):
     assert crossed > n // 2
 
 
+def _band(spark, sets, buckets, threshold=0.75):
+    schema = "key long, size long, elems binary, " + ", ".join(f"p{i} long" for i in range(substring.PARITY))
+    rows = [(k, len(s), s.tobytes(), *map(int, substring.parity_bits(s))) for k, s in sets.items()]
+    entries = spark.createDataFrame([(b, k) for b, keys in buckets.items() for k in keys], "band long, key long")
+    comp = substring._linked(entries, spark.createDataFrame(rows, schema), threshold).collect()
+    groups = {}
+    for r in comp:
+        groups.setdefault(r.root, set()).add(r.key)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_several_groups_in_one_bucket(spark):
+    rng = np.random.default_rng(24)
+    sets, want = {}, set()
+    for g in range(12):
+        base = rng.integers(0, 1 << 32, 60).astype(np.uint32)
+        own = set()
+        for v in range(5):
+            s = base.copy()
+            if v:
+                s[v] = rng.integers(0, 1 << 32)
+            sets[10 * g + v] = np.unique(s)
+            own.add(10 * g + v)
+        want.add(frozenset(own))
+    assert _band(spark, sets, {7: list(sets)}) == want
+
+
 def test_similarities_of_unlike_sizes():
     rng = np.random.default_rng(25)
     pairs = [tuple(np.unique(rng.integers(0, 90, rng.integers(1, 80))).astype(np.uint32) for _ in "xy") for _ in range(50)]
