@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
 
 Words are lower-cased runs of ASCII letters and digits and non-ASCII signs, so punctuation and capitals never hide a copy.
-1. The n-grams of the test items are counted over all documents. An item's seeds are the n-grams that at most FEW
-   documents or one in RARE hold, and in any case the rarer half of its own, so an item that leaked everywhere still has seeds.
-2. Documents meet items by seeds. Where a document holds `least` seeds of an item (one, if it has fewer than four) near
-   each other, the window around them is aligned with the item (match 2, mismatch and gap -1). The score is the best local alignment
-   over a perfect one; pairs at `threshold` or more are contaminated. Reordered or edited words lower the score, they
-   do not end the match.
+1. Seeds are pairs of an item's words, neighbours or with one word between, that a document holds as neighbours or with
+   one word between. Neighbours in both weigh 2, others 1. Between two matched words of an alignment that are no seed lie
+   at least two edits, between those of weight 1 one edit. So with match 2, mismatch and gap -1, an alignment of score
+   `threshold` of a perfect one has seeds of weight 2 * threshold * words - 2 at least, whichever words are edited.
+2. Such an alignment covers at most 3 - 2 * threshold times the item's words. Windows of twice that, each half over the
+   next, whose seeds weigh enough are aligned with the item; no other can reach the threshold. The score is the best
+   local alignment over a perfect one; pairs at `threshold` or more are contaminated. Reordered or edited words lower the
+   score, they do not end the match.
 
 Test items are the stated query set and are taken in blocks of bounded size, each a pass over all documents; a block's
-n-grams are what is broadcast. Documents are never shuffled.
+pairs are what is broadcast. Documents are never shuffled.
 
 Defined cases: null and empty documents match nothing. Items that are null or shorter than n words match nothing, as
 they cannot be told from common phrases. Equal items, equal ids and repeated rows each give their own rows. An empty
@@ -20,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ramify.llm.common import lowered_wide, ngrams, row_groups, text_buffer, tidy, words
+from ramify.llm.common import _STEP, lowered_wide, mix, row_groups, text_buffer, tidy, words
 
 N = 3
 THRESHOLD = 0.5
 BLOCK_GRAMS = 1 << 20
-RARE, FEW = 1000, 20
 _TABLE_BITS = 20
 
 _WORD = np.full(256, 0x20, np.uint8)
@@ -75,36 +76,10 @@ class _Lookup:
         return maybe[hit], at[hit]
 
 
-def _row_grams(h, first, n):
-    """n-grams that lie inside one row, with their word positions and rows."""
-    g = ngrams(h, n)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    inside = row[:len(g)] == row[n - 1:n - 1 + len(g)]
-    pos = np.flatnonzero(inside)
-    return g[pos], pos, row[pos]
-
-
-def document_counts(docs, grams, n):
-    """Number of documents that hold each of the sorted `grams`, and of all; docs has the single column of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)  # one block's n-grams
-
-    def count(batches):
-        look, total = _Lookup(shared.value), np.zeros(len(shared.value), np.int64)
-        rows = 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, _, h, first, _ in _words(batch.column(0)):
-                g, _, row = _row_grams(h, first, n)
-                at, which = look.find(g)
-                pair = np.unique(row[at].astype(np.int64) * len(total) + which)
-                total += np.bincount(pair % len(total), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["g", "n"])
-
-    out = np.zeros(len(grams) + 1, np.int64)  # the last is the number of documents
-    for r in docs.mapInArrow(tidy(count), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["g"]] = r["n"]
-    return out[:-1], int(out[-1])
+def _pairs(h, gap):
+    """Hash of every word with the word `gap` later."""
+    x, y = h[:max(0, len(h) - gap)], h[gap:]
+    return mix(x * _STEP[0] + (y ^ (y >> np.uint64(29))) * _STEP[1])
 
 
 def align(item, window, match=2, miss=-1, gap=-1):
@@ -128,53 +103,68 @@ def align(item, window, match=2, miss=-1, gap=-1):
     return best, j - back, j - 1
 
 
-def plan(docs, ids, hashes, n=N):
+def plan(ids, hashes):
     """What a task needs to find one block's items: seeds, their places in items, and the items."""
-    item = np.concatenate([np.full(len(h) - n + 1, k) for k, h in enumerate(hashes)])
-    place = np.concatenate([np.arange(len(h) - n + 1) for h in hashes])
-    gram = np.concatenate([ngrams(h, n) for h in hashes])
-    known = np.unique(gram)
-    seen, total = document_counts(docs, known, n)
-    seen = seen[np.searchsorted(known, gram)]
-    keep = np.zeros(len(gram), bool)
-    for k in range(len(hashes)):
-        own = np.arange(*np.searchsorted(item, [k, k + 1]))
-        keep[own[seen[own] <= max(np.median(seen[own]), total // RARE, FEW)]] = True
-    order = np.argsort(gram[keep], kind="stable")
-    gram, item, place = gram[keep][order], item[keep][order], place[keep][order]
-    seeds, start = np.unique(gram, return_index=True)
-    return {"n": n, "seeds": seeds, "start": np.append(start, len(gram)), "item": item, "place": place,
-            "ids": ids, "hashes": hashes, "count": np.bincount(item, minlength=len(ids))}
-
-
-def matches(column, p, threshold=THRESHOLD, least=2):
+    parts = [(k, gap, _pairs(h, gap)) for k, h in enumerate(hashes) for gap in (1, 2)]
+    gram = np.concatenate([g for _, _, g in parts])
+    item = np.concatenate([np.full(len(g), k) for k, _, g in parts])
+    gaps = np.concatenate([np.full(len(g), gap) for _, gap, g in parts])
+    place = np.concatenate([np.arange(len(g)) for _, _, g in parts])
+    order = np.argsort(gram, kind="stable")
+    seeds, start = np.unique(gram[order], return_index=True)
+    return {"seeds": seeds, "start": np.append(start, len(gram)), "item": item[order], "gap": gaps[order], "place": place[order],
+            "ids": ids, "hashes": hashes, "size": np.array([len(h) for h in hashes])}
+
+
+def _seeds_of(h, row, p, look):
+    """Seeds of a block of rows: row, item, place in the item, word, weight."""
+    found = []
+    for gap in (1, 2):
+        at, which = look.find(_pairs(h, gap))
+        same = row[at] == row[at + gap]
+        at, which = at[same], which[same]
+        reach = p["start"][which + 1] - p["start"][which]
+        hit = np.repeat(at, reach)
+        entry = np.arange(len(hit)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(p["start"][which], reach)
+        weight = np.where((p["gap"][entry] == 1) & (gap == 1), 2, 1)
+        found.append((row[hit], p["item"][entry], p["place"][entry], hit, weight))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _heavy(cell, place, weight, least):
+    """Cells whose seeds, the heaviest at every place of the item, weigh `least` or more, by the index of one seed each."""
+    order = np.lexsort((-weight, place, cell))
+    cell, place, weight = cell[order], place[order], weight[order]
+    new = np.ones(len(cell), bool)
+    new[1:] = cell[1:] != cell[:-1]
+    best = new.copy()
+    best[1:] |= place[1:] != place[:-1]
+    heads = np.flatnonzero(new)
+    total = np.add.reduceat(weight * best, heads) if len(heads) else heads
+    return order[heads[total >= least[order[heads]]]]
+
+
+def matches(column, p, threshold=THRESHOLD):
     """Contaminations of a text column: rows, item numbers, scores and byte spans."""
     look = _Lookup(p["seeds"])
+    span = np.ceil((3 - 2 * min(threshold, 1)) * p["size"]).astype(np.int64)
+    need = np.maximum(1, np.ceil(2 * threshold * p["size"] - 2 - 1e-9)).astype(np.int64)
     for base, start, end, h, first, offsets in _words(column):
-        g, pos, row = _row_grams(h, first, p["n"])
-        at, which = look.find(g)
-        if not len(at):
-            continue
-        reach = p["start"][which + 1] - p["start"][which]
-        hit = np.repeat(np.arange(len(at)), reach)
-        entry = np.arange(len(hit)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(p["start"][which], reach)
-        rows, items, begin = row[at][hit], p["item"][entry], pos[at][hit]
-        begin, place = begin - p["place"][entry], p["place"][entry]  # where the item would begin
-        order = np.lexsort((begin, items, rows))
-        rows, items, begin, place = rows[order], items[order], begin[order], place[order]
-        size = np.array([len(x) for x in p["hashes"]])[items] if len(items) else items
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]) | (items[1:] != items[:-1]) | (begin[1:] - begin[:-1] > size[1:] // 2 + 2)
-        heads = np.flatnonzero(new)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        rows, items, place, at, weight = _seeds_of(h, row, p, look)
+        # first over whole rows, without regard to places
+        _, back = np.unique(rows * len(need) + items, return_inverse=True)
+        able = np.bincount(back, weight, minlength=1)[back] >= need[items] if len(rows) else np.zeros(0, bool)
+        rows, items, place, at, weight = (v[able] for v in (rows, items, place, at, weight))
+        tile = (at - first[rows]) // span[items]
+        rows, items, place, weight = (np.tile(v, 2) for v in (rows, items, place, weight))
+        tile = np.concatenate([tile, tile - 1])
+        tiles = len(h) + 2
+        one = _heavy((rows * len(need) + items) * tiles + tile + 1, place, weight, need[items])
         best = {}
-        for a, b in zip(heads, np.append(heads[1:], len(rows)), strict=True):
-            k, r = int(items[a]), int(rows[a])
-            if len(np.unique(place[a:b])) < (least if p["count"][k] >= 4 else 1):
-                continue
-            item = p["hashes"][k]
-            slack = len(item) // 2 + 2
-            lo = max(int(first[r]), int(begin[a]) - slack)
-            hi = min(int(first[r + 1]), int(begin[b - 1]) + len(item) + slack)
+        for r, k, t in zip(rows[one].tolist(), items[one].tolist(), tile[one].tolist(), strict=True):
+            item, lo = p["hashes"][k], int(first[r]) + max(0, t * int(span[k]))
+            hi = min(int(first[r + 1]), int(first[r]) + (t + 2) * int(span[k]) + 2)
             score, x, y = align(item, h[lo:hi])
             score /= 2 * len(item)
             if score >= threshold and score > best.get((r, k), (0,))[0]:
@@ -190,7 +180,7 @@ def contaminations(docs, items, text="text", doc_id="doc_id", item_id="item_id",
     types = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {types[0]}, item_id {types[1]}, score double, span_start long, span_end long"
     for ids, hashes in item_blocks(items, item_id, "text", n):
-        shared = sc.broadcast(plan(rows.select("_text"), ids, hashes, n))  # one block of items
+        shared = sc.broadcast(plan(ids, hashes))  # one block of items
 
         def find(batches, shared=shared):
             for batch in batches:
@@ -212,7 +202,7 @@ def drop_contaminated(docs, items, text="text", item_id="item_id", n=N, threshol
     sc, out = docs.sparkSession.sparkContext, docs
     at = docs.columns.index(text)
     for ids, hashes in item_blocks(items, item_id, "text", n):
-        shared = sc.broadcast(plan(docs.select(text), ids, hashes, n))  # one block of items
+        shared = sc.broadcast(plan(ids, hashes))  # one block of items
 
         def keep(batches, shared=shared):
             for batch in batches:
