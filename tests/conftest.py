@@ -18,14 +18,3 @@ def image(spark):
     """One 40 x 60 image."""
     return spark.createDataFrame([(1, "a", "wt-day3", 40, 60, 20)],
                                  "image_id long, image string, genotype string, length_px int, width_px int, cellbody_px int")
-
-
-def points(spark, pts, image_id=1):
-    return spark.createDataFrame([(image_id, int(y), int(x)) for y, x in pts], "image_id long, y int, x int")
-
-
-def fragments(spark, rows):
-    """rows: (id, class, relative_x, [(y, x), ..])"""
-    return spark.createDataFrame(
-        [(1, i, c, float(rx), [(int(y), int(x)) for y, x in seg]) for i, c, rx, seg in rows],
-        "image_id long, id int, dendrite_type int, relative_x double, segment array<struct<y:int,x:int>>")

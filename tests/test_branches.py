@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import fragments
+from helpers import fragments
 from pyspark.sql import functions as F
 
 from ramify.functions import patterns, scalars

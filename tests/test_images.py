@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import points
+from helpers import points
 from pyspark.sql import functions as F
 
 from ramify.operators import fragments, geometry, morphology, raster, skeleton
