@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, sharding, substring, surrogates, toxicity
+from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, resampling, sharding, substring, surrogates, toxicity
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -86,9 +86,15 @@ def op10_paragraph_banding(spark, sf_dir):
     return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_slot_resampling(spark, sf_dir):
+    """Every document with its weight towards the benchmark texts and its rank among the drawn tenth."""
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_surrogates, op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
-    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding)}
+    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding, op12_slot_resampling)}
 
 ORACLE = {
     "op9_exact_dedup": """
@@ -97,4 +103,34 @@ ORACLE = {
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    # crc32 byte by byte, once for each distinct word
+    "op12_slot_resampling": r"""
+        WITH tbl AS MATERIALIZED (
+               SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS crcs
+               FROM range(256) r(i)),
+             texts AS (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents
+                       UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark),
+             word AS MATERIALIZED (
+               SELECT row_no, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM texts),
+             hashed AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(hex(w)) // 2),
+                                                              lambda k: ('0x' || substr(hex(w), 2 * k + 1, 2))::BIGINT)),
+                                                  lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+                        FROM (SELECT DISTINCT w FROM word), tbl),
+             filled AS MATERIALIZED (SELECT row_no, bucket FROM word JOIN hashed USING (w)),
+             counted AS (SELECT b.bucket, count(*) FILTER (row_no > 0) AS s, count(*) FILTER (row_no < 0) AS t
+                         FROM range(10000) b(bucket) LEFT JOIN filled USING (bucket) GROUP BY b.bucket),
+             gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                                                     / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM counted),
+             weighed AS (SELECT row_no, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight
+                         FROM filled JOIN gains USING (bucket) WHERE row_no > 0 GROUP BY row_no),
+             scored AS (SELECT row_no, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                               coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                                          / 4294967296::DOUBLE)))::BIGINT AS score
+                        FROM texts LEFT JOIN weighed USING (row_no) WHERE row_no > 0),
+             ranked AS (SELECT row_no, row_number() OVER (ORDER BY score DESC, doc_id, weight, n_features) AS r, count(*) OVER () AS n
+                        FROM scored WHERE n_features >= 20 AND doc_id IS NOT NULL)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+        FROM scored LEFT JOIN ranked USING (row_no)""",
 }
