@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, resampling, sharding, substring, surrogates, toxicity
+from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, resampling, sharding, substring, surrogates, toxicity, vector_codes
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -92,9 +92,50 @@ def op12_slot_resampling(spark, sf_dir):
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_anchor_codes(spark, sf_dir):
+    """Every usable vector with its product code, its error and that of its label."""
+    rows, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _vector_code_sql(parts=8, entries=16, rounds=6):
+    """Plain k-means rounds, unrolled."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+             near{k} AS MATERIALIZED (
+               SELECT row_no, part, min({{'d': list_sum(list_transform(list_zip(p, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+                                         'entry': entry}}) AS hit
+               FROM comp JOIN book{k} USING (part) GROUP BY row_no, part)""")
+        if k < rounds:
+            steps.append(f"""
+             mean{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY axis)::BIGINT[] AS m
+                         FROM (SELECT part, hit.entry AS entry, axis, sum(p[axis]) AS s, count(*) AS n
+                               FROM near{k} JOIN comp USING (row_no, part), (SELECT unnest(range(1, (SELECT max(len(p)) FROM comp) + 1)) AS axis)
+                               GROUP BY ALL) GROUP BY part, entry),
+             book{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, e) AS e FROM book{k} LEFT JOIN mean{k} USING (part, entry))""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+               SELECT row_number() OVER () AS row_no, vec_id, label, embedding AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             comp AS MATERIALIZED (
+               SELECT row_no, part, list_transform(v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}],
+                                                   lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS p
+               FROM kept, range({parts}) r(part)),
+             book0 AS MATERIALIZED (
+               SELECT part, entry, p AS e FROM comp JOIN (SELECT row_no, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (row_no)
+               WHERE entry < {entries}),{",".join(steps)},
+             coded AS (SELECT row_no, string_agg(printf('%02x', hit.entry), '' ORDER BY part) AS code, sum(hit.d)::BIGINT AS error
+                       FROM near{rounds} GROUP BY row_no),
+             digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, axis)) AS codebooks_sha256
+                        FROM (SELECT part, entry, unnest(e) AS x, generate_subscripts(e, 1) AS axis FROM book{rounds}))
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (row_no), digest"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_surrogates, op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
-    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding, op12_slot_resampling)}
+    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding, op12_slot_resampling, op13_anchor_codes)}
 
 ORACLE = {
     "op9_exact_dedup": """
@@ -133,4 +174,5 @@ ORACLE = {
                         FROM scored WHERE n_features >= 20 AND doc_id IS NOT NULL)
         SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
         FROM scored LEFT JOIN ranked USING (row_no)""",
+    "op13_anchor_codes": _vector_code_sql(),
 }
