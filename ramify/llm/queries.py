@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ramify.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, resampling, sharding, substring, surrogates, toxicity, vector_codes
+from ramify.llm import (
+    curve_search, decontaminate, exact_dedup, langid, ngram_join, packing, quality, resampling, sharding, substring, surrogates, toxicity,
+    vector_codes,
+)
 from ramify.llm.common import held_out, id_remainder, labelled_sample, table
 
 
@@ -86,6 +89,11 @@ def op10_paragraph_banding(spark, sf_dir):
     return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_shifted_curves(spark, sf_dir):
+    """The 10 nearest other vectors of every vector whose id is divisible by 100."""
+    return curve_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_slot_resampling(spark, sf_dir):
     """Every document with its weight towards the benchmark texts and its rank among the drawn tenth."""
     rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -135,7 +143,8 @@ def _vector_code_sql(parts=8, entries=16, rounds=6):
 
 QUERIES = {f.__name__: f for f in (
     op1_surrogates, op2_language_filters, op3_compression_quality, op4_stratified_interleave, op5_seed_align, op6_toxic_sentences,
-    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding, op12_slot_resampling, op13_anchor_codes)}
+    op7_ngram_jaccard, op8_curve_packing, op9_exact_dedup, op10_paragraph_banding, op11_shifted_curves,
+    op12_slot_resampling, op13_anchor_codes)}
 
 ORACLE = {
     "op9_exact_dedup": """
