@@ -398,9 +398,13 @@ u AS (SELECT *, (ay / sqrt(ay ** 2 + ax ** 2)) * (by_ / sqrt(by_ ** 2 + bx ** 2)
              sqrt((ay - by_) ** 2 + (ax - bx) ** 2) AS chord FROM t)
 SELECT image_id, id, {r("CASE WHEN length <= 20 THEN 0 ELSE avg(2 * sin(acos(greatest(-1, least(1, c)))) / chord) END", "curvature")}
 FROM u GROUP BY image_id, id, length"""
-SQL["W7_branch_geometry"] = f"""
+
+
+def _geometry(points):
+    """Orientation, curvature and waviness from a table of points."""
+    return f"""
 WITH b AS (SELECT image_id, id, length, i // 7 AS k, arg_min(y, i) - arg_max(y, i) AS dy, arg_max(x, i) - arg_min(x, i) AS dx
-           FROM wpt WHERE i // 7 < length // 7 GROUP BY ALL),
+           FROM {points} WHERE i // 7 < length // 7 GROUP BY ALL),
 a AS (SELECT *, degrees(atan2(dy, dx)) AS angle FROM b),
 d AS (SELECT *, angle - lag(angle) OVER (PARTITION BY image_id, id ORDER BY k) AS t FROM a),
 s AS (SELECT *, least(abs(t), 360 - abs(t)) AS turn, (t >= 0) <> lag(t >= 0) OVER (PARTITION BY image_id, id ORDER BY k) AS sw FROM d),
@@ -409,6 +413,9 @@ g AS (SELECT image_id, id, length, degrees(atan2(avg(dy), avg(dx))) AS o,
       FROM s GROUP BY image_id, id, length)
 SELECT image_id, id, {r("CASE WHEN o < 0 THEN o + 180 ELSE o END", "orientation")}, {r("curvature", "curvature")},
        {r("CASE WHEN length >= 14 THEN curvature * switches / length ELSE 0 END", "tortuosity")} FROM g"""
+
+
+SQL["W7_branch_geometry"] = _geometry("wpt")
 SQL["W8_fragment_features"] = f"""
 WITH e AS (SELECT image_id, id, length, arg_min(y, i) AS y0, arg_min(x, i) AS x0, arg_max(y, i) AS y1, arg_max(x, i) AS x1,
              max(y) FILTER (i = length // 2) AS my, max(x) FILTER (i = length // 2) AS mx FROM wpt GROUP BY ALL)
@@ -495,7 +502,10 @@ SELECT * FROM (
          CASE WHEN a.kind = 'e' AND b.kind = 's' THEN 0 WHEN a.kind = 'e' THEN 1 WHEN b.kind = 's' THEN 2 ELSE 3 END AS ord,
          sqrt(CAST((a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS DOUBLE)) AS distance,
          CASE WHEN a.kind = b.kind THEN 1 ELSE 0 END AS needs_reverse, greatest(sa.step, sb.step) AS step
-  FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.dendrite_type = b.dendrite_type AND a.id < b.id
+  FROM (SELECT *, y // 20 + oy AS cy, x // 20 + ox AS cx
+        FROM ends, (SELECT unnest([-1, 0, 1]) AS oy), (SELECT unnest([-1, 0, 1]) AS ox)) a
+  JOIN (SELECT *, y // 20 AS cy, x // 20 AS cx FROM ends) b
+    ON a.image_id = b.image_id AND a.dendrite_type = b.dendrite_type AND a.cy = b.cy AND a.cx = b.cx AND a.id < b.id
   JOIN steps sa ON sa.image_id = a.image_id AND sa.id = a.id JOIN steps sb ON sb.image_id = b.image_id AND sb.id = b.id
   WHERE abs(a.y - b.y) <= 20 AND abs(a.x - b.x) <= 20)
 WHERE distance <= 20 AND distance <= 10 * step"""
@@ -505,6 +515,85 @@ SQL["T3_nearest_candidate"] = f"""
 SELECT image_id, dendrite_type, a, direction, b, type, {r("distance", "distance")}, needs_reverse
 FROM (SELECT *, row_number() OVER (PARTITION BY image_id, dendrite_type, a, direction ORDER BY distance, b, ord) AS k
       FROM (SELECT *, CASE WHEN ord < 2 THEN 'forward' ELSE 'backward' END AS direction FROM cand)) WHERE k = 1"""
+
+
+def _undone(a, b, c):
+    """Whether the step from b to c nearly takes back the one from a to b."""
+    norm = lambda p, q: f"sqrt(CAST(({q}.y - {p}.y) ** 2 + ({q}.x - {p}.x) ** 2 AS DOUBLE))"
+    along = lambda k: f"(({b}.{k} - {a}.{k}) / nullif({norm(a, b)}, 0)) * (({c}.{k} - {b}.{k}) / nullif({norm(b, c)}, 0))"
+    return f"coalesce({along('y')} + {along('x')} < -0.8::DOUBLE, false)"
+
+
+# The greedy chains, one action a step: 0 load a start, 1 forward, 2 backward, 3 forward from the nearest fragment behind, 4 load that one.
+CTE["node"] = """
+SELECT p.*, coalesce(f.fl, []) AS fl, coalesce(f.bl, []) AS bl
+FROM (SELECT image_id, dendrite_type, id, list({'y': y, 'x': x} ORDER BY i) AS pts FROM pt GROUP BY ALL) p
+LEFT JOIN (SELECT image_id, a AS id, list({'b': b, 'o': ord} ORDER BY distance, b, ord) FILTER (ord < 2) AS fl,
+                  list({'b': b, 'o': ord} ORDER BY distance, b, ord) FILTER (ord > 1) AS bl FROM cand GROUP BY ALL) f USING (image_id, id)"""
+CTE["grown"] = f"""
+SELECT image_id, dendrite_type, ids, ids[1] AS start, ids[1] AS here, 0 AS phase, NULL::STRUCT(y INTEGER, x INTEGER)[] AS line,
+       []::INTEGER[] AS taken, []::INTEGER[] AS used, NULL::STRUCT(y INTEGER, x INTEGER)[] AS own, NULL::STRUCT(b INTEGER, o INTEGER)[] AS behind,
+       NULL::STRUCT(y INTEGER, x INTEGER)[] AS fwd, []::INTEGER[] AS fwd_taken, NULL::STRUCT(y INTEGER, x INTEGER)[] AS bwd,
+       []::INTEGER[] AS bwd_taken, NULL::INTEGER AS out_start, NULL::STRUCT(y INTEGER, x INTEGER)[] AS branch
+FROM (SELECT image_id, dendrite_type, list(id ORDER BY id) AS ids FROM node GROUP BY ALL)
+UNION ALL
+SELECT image_id, dendrite_type, ids, CASE WHEN ended THEN next ELSE start END,
+       CASE WHEN ended THEN next WHEN go THEN pick.b WHEN phase = 1 THEN start WHEN phase = 2 THEN other ELSE here END,
+       CASE WHEN ended THEN 0 WHEN phase = 0 THEN 1 WHEN phase = 4 THEN 3 WHEN go THEN phase WHEN phase = 1 THEN 2 ELSE 4 END,
+       CASE WHEN phase IN (0, 4) THEN pts WHEN go THEN laid WHEN phase = 1 THEN own ELSE line END,
+       CASE WHEN phase = 0 THEN [here] WHEN phase = 4 THEN list_append(fwd_taken, here) WHEN go THEN list_append(taken, pick.b)
+            WHEN phase = 1 THEN [start] ELSE taken END,
+       used_after, CASE WHEN phase = 0 THEN pts ELSE own END, CASE WHEN phase = 0 THEN bl ELSE behind END,
+       CASE WHEN phase = 1 AND NOT go THEN line ELSE fwd END, CASE WHEN phase = 1 AND NOT go THEN taken ELSE fwd_taken END,
+       CASE WHEN phase = 2 AND NOT go THEN line ELSE bwd END, CASE WHEN phase = 2 AND NOT go THEN taken ELSE bwd_taken END,
+       CASE WHEN ended THEN start END, CASE WHEN ended THEN best END
+FROM (SELECT *, list_filter(ids, lambda k: k > start AND NOT list_contains(used_after, k))[1] AS next
+      FROM (SELECT *, CASE WHEN NOT ended THEN used WHEN way = 1 THEN used || fwd_taken
+                           WHEN way = 2 THEN used || (CASE WHEN phase = 2 THEN taken ELSE bwd_taken END) ELSE used || taken END AS used_after,
+                   CASE way WHEN 1 THEN fwd WHEN 2 THEN (CASE WHEN phase = 2 THEN line ELSE bwd END) ELSE two END AS best
+            FROM (SELECT *, CASE WHEN phase = 2 THEN (CASE WHEN len(line) > len(fwd) THEN 2 ELSE 1 END)
+                                 WHEN len(two) > greatest(len(fwd), len(bwd)) THEN 3 WHEN len(bwd) > len(fwd) THEN 2 ELSE 1 END AS way,
+                         (phase = 2 AND NOT go AND other IS NULL) OR (phase = 3 AND NOT go) AS ended
+                  FROM (SELECT *, phase IN (1, 2, 3) AND coalesce(len(laid) > len(line)
+                                 AND len(list_filter(range(1, len(laid)), lambda k: laid[k] = laid[k + 1])) = 0
+                                 AND NOT (len(line) > 1 AND ({_undone("laid[len(line) - 1]", "laid[len(line)]", "laid[len(line) + 1]")}
+                                                             OR {_undone("laid[len(line)]", "laid[len(line) + 1]", "laid[len(line) + 2]")})), false) AS go,
+                               line || fwd[len(own) + 1:] AS two,
+                               list_filter(behind, lambda c: NOT list_contains(used, c.b) AND NOT list_contains(fwd_taken, c.b))[1].b AS other
+                        FROM (SELECT w.*, CASE WHEN w.phase = 2 THEN (CASE WHEN w.pick.o = 2 THEN list_reverse(m.pts) ELSE m.pts END)[:-2] || w.line
+                                               ELSE w.line || (CASE WHEN w.pick.o = 1 THEN list_reverse(m.pts) ELSE m.pts END)[2:] END AS laid
+                              FROM (SELECT s.*, n.pts, n.bl, CASE WHEN s.phase IN (1, 2, 3) THEN
+                                           list_filter(CASE WHEN s.phase = 2 THEN n.bl ELSE n.fl END,
+                                                       lambda c: NOT list_contains(s.used, c.b) AND NOT list_contains(s.taken, c.b))[1] END AS pick
+                                    FROM grown s JOIN node n ON n.image_id = s.image_id AND n.id = s.here) w
+                              LEFT JOIN node m ON m.image_id = w.image_id AND m.id = w.pick.b)))))"""
+CTE["chained"] = "SELECT image_id, dendrite_type, out_start AS start, branch FROM grown WHERE len(branch) >= 10"
+SQL["I7_merge_fragments"] = """WITH RECURSIVE unused AS (SELECT 1)
+SELECT image_id, dendrite_type, start, CAST(i AS INTEGER) AS i, branch[i + 1].y AS y, branch[i + 1].x AS x
+FROM (SELECT *, unnest(range(len(branch))) AS i FROM chained)"""
+CTE["bpt"] = """
+SELECT image_id, id, dendrite_type, CAST(i AS INTEGER) AS i, branch[i + 1].y AS y, branch[i + 1].x AS x, len(branch) AS length
+FROM (SELECT *, unnest(range(len(branch))) AS i, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY dendrite_type, start) - 1 AS INTEGER) AS id
+      FROM chained)"""
+CTE["bgeom"] = _geometry("bpt")
+CTE["bends"] = """
+SELECT image_id, y, x, min(id) AS b FROM bpt WHERE i IN (0, length - 1) GROUP BY image_id, y, x, i = 0"""
+CTE["bpad"] = """
+SELECT image_id, CAST(y + oy AS INTEGER) AS y, CAST(x + ox AS INTEGER) AS x, b
+FROM bends, (SELECT unnest(range(-2, 3)) AS oy), (SELECT unnest(range(-2, 3)) AS ox)"""
+CTE["bnear"] = """
+SELECT image_id, id, count(DISTINCT b) AS n_neighbors FROM (
+  SELECT image_id, id, unnest(ends) AS b FROM (
+    SELECT image_id, unnest(ids) AS id, ends FROM (
+      SELECT image_id, list(id) FILTER (id IS NOT NULL) AS ids, list(b) FILTER (b IS NOT NULL) AS ends
+      FROM (SELECT image_id, y, x, id, NULL AS b FROM bpt UNION ALL SELECT image_id, y, x, NULL, b FROM bpad) GROUP BY image_id, y, x)))
+GROUP BY ALL"""
+SQL["I8_reconstruct_branches"] = f"""WITH RECURSIVE unused AS (SELECT 1)
+SELECT image_id, id, p.dendrite_type, CAST(p.length AS INTEGER) AS length, orientation, {r("mean_x", "mean_x")}, {r("mean_y", "mean_y")},
+       curvature, tortuosity, {r("p.intensity", "intensity")}, CAST(n_neighbors AS INTEGER) AS n_neighbors
+FROM (SELECT image_id, id, dendrite_type, any_value(length) AS length, avg(x) AS mean_x, avg(y) AS mean_y,
+             avg((y * 31 + x * 17 + image_id) % 4096) AS intensity FROM bpt GROUP BY ALL) p
+JOIN bgeom USING (image_id, id) JOIN bnear USING (image_id, id)"""
 CTE["pred"] = """
 SELECT image_id, id, length, dendrite_type AS true_type,
        CASE WHEN l_partkey % 5 = 0 THEN 1 + dendrite_type % 4 ELSE dendrite_type END AS predicted_type FROM branch"""
@@ -688,7 +777,7 @@ def resolve(body):
     own = body.lstrip()
     head = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
     rest = ",\n" + own[len(head):] if own.startswith(head) else "\n" + own
-    return head + ",\n".join(f"{n} AS ({CTE[n]})" for n in need) + rest
+    return head + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" if n != "grown" else f"{n} AS ({CTE[n]})" for n in need) + rest
 
 
 def oracle_sql():

@@ -697,8 +697,10 @@ def T4_order_centre_line(spark, sf):
 
 @query
 def I7_merge_fragments(spark, sf):
+    """Every point of every chain."""
     return merge.merge_fragments(stored(_coded(spark, sf))).select(
-        "image_id", "dendrite_type", "start", F.size("branch").alias("length"))
+        "image_id", "dendrite_type", "start", F.posexplode("branch").alias("i", "p")).select(
+        "image_id", "dendrite_type", "start", "i", "p.y", "p.x")
 
 
 @query

@@ -84,7 +84,7 @@ def test_a_containing_fragment_is_not_an_overlap(spark):
 # ---- merging ----
 
 def step(seg):
-    return sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(seg, seg[1:])) / (len(seg) - 1)
+    return sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(seg, seg[1:])) / (len(seg) - 1) if len(seg) > 1 else 1.0
 
 
 def greedy(rows, compat=True):
@@ -152,11 +152,58 @@ def test_merge_fragments(spark, seed, compat):
         assert sorted(got.get(c, [])) == want
 
 
-@pytest.mark.parametrize("seed", [4])
-def test_merge_of_groups_beyond_the_bound(spark, seed):
-    rows = [(i, 3, rx, seg) for i, _, rx, seg in random_fragments(seed + 40, 16, 30, 30)]
-    got = merge.merge_fragments(fragments(spark, rows), group_limit=3).collect()
-    assert sorted((r["start"], [(p["y"], p["x"]) for p in r["branch"]]) for r in got) == greedy(rows)
+def odd_lines(seed, n):
+    """Fragments of one and two points, with repeated points and sharp folds, among usual ones."""
+    rng = random.Random(seed)
+    out = []
+    for i, _, rx, seg in random_fragments(seed, n, 40, 40):
+        kind = rng.randrange(6)
+        if kind == 0:
+            seg = seg[:rng.randint(1, 2)]
+        elif kind == 1:
+            seg = seg[:4] + [seg[3]] + seg[4:]
+        elif kind == 2:
+            seg = seg + [seg[-2]]
+        elif kind == 3:
+            seg = seg[:3]
+        out.append((i, 3, rx, seg))
+    return out
+
+
+@pytest.mark.parametrize("seed,compat", [(4, True), (5, False)])
+def test_merge_of_groups_wider_than_a_tile(spark, seed, compat):
+    """Every group counts as wide, so that all chains come from pointer jumping."""
+    rows = odd_lines(seed + 40, 14)
+    got = merge.merge_fragments(fragments(spark, rows), tile=0, compat=compat).collect()
+    assert sorted((r["start"], [(p["y"], p["x"]) for p in r["branch"]]) for r in got) == greedy(rows, compat)
+
+
+def test_a_chain_of_many_links_takes_few_writes(spark, monkeypatch):
+    """2,000 links in a row, each joined to the next only: one round, its jobs grow with the logarithm."""
+    rows = [(i, 3, .5, [(y, 0) for y in range(20 * i, 20 * i + 19)]) for i in range(2001)]
+    writes = []
+    for module in (merge, patterns):
+        monkeypatch.setattr(module, "cut", lambda df, retire=None, cut=patterns.cut: writes.append(1) or cut(df, retire))
+    got = merge.merge_fragments(fragments(spark, rows), threshold=2.0, tile=64).collect()
+    assert [(r["start"], len(r["branch"])) for r in got] == [(0, 19 + 2000 * 18)]
+    assert len(writes) < 90
+
+
+def test_minimum_along_ways_that_meet(spark):
+    rng = random.Random(7)
+    edges = sorted({(min(p), max(p)) for p in ((rng.randrange(60), rng.randrange(60)) for _ in range(50)) if p[0] != p[1]}
+                   | {(i, i + 1) for i in range(100, 160)} | {(120, 300), (40, 130)})
+    nodes = sorted({n for e in edges for n in e})
+    value = {n: rng.randrange(1000) for n in nodes}
+    want = dict(value)
+    for a, b in sorted(edges):  # edges rise, so one pass in order is enough
+        want[b] = min(want[b], want[a])
+    for _ in nodes:
+        for a, b in edges:
+            want[b] = min(want[b], want[a])
+    got = merge.carried_minimum(spark.createDataFrame([(1, n, value[n]) for n in nodes], "image_id long, id int, m int"),
+                                spark.createDataFrame([(1, a, b) for a, b in edges], "image_id long, a int, b int"), "a", "b")
+    assert {r["id"]: r["m"] for r in got.collect()} == want
 
 
 def test_lone_short_fragment_is_dropped(spark):
