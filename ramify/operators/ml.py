@@ -82,14 +82,20 @@ def split_80_20(df, key, *, share=0.2):
     return df.withColumn("is_test", h < F.lit(int(share * (1 << 32))))
 
 
+def bounded_sample(df, key, rows, seed=SEED):
+    """At most `rows` rows (None: all), those whose `key` has the least hashes."""
+    if rows is None:
+        return df
+    ranked = df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key)
+    return cut(ranked.limit(rows).drop("_h"))
+
+
 def forest_train(df, *, label="label", trees=100, depth=30, seed=SEED, weight=None, key=None, max_labelled_rows=None):
     """Random forest on `features`; the square root of the features is tried per split.
 
     `max_labelled_rows` bounds the labelled rows used for the fit: those whose `key` has the least hashes.
     """
-    if max_labelled_rows is not None:
-        ranked = df.withColumn("_h", F.xxhash64(F.lit(seed), *key)).orderBy("_h", *key)
-        df = cut(ranked.limit(max_labelled_rows).drop("_h"))
+    df = bounded_sample(df, key, max_labelled_rows, seed)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, predictionCol="prediction", numTrees=trees,
         maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", cacheNodeIds=True, maxMemoryInMB=1024)

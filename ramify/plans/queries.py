@@ -763,36 +763,57 @@ def _train(spark, sf, **options):
     return flows.train_classifier(frag, ad.label_pixel(spark, sf), **options), frag
 
 
-@query
-def M12_train_classifier(spark, sf):
-    (_, test, _), _ = _train(spark, sf)
-    return rounded(ml.classification_report(test))
+LABELLED = 4000  # labelled rows a forest is fitted on; all rows are scored
 
 
-def _model(spark, sf):
-    """The forest of the published size, and all rows of the fragment table."""
+@query
+def M12_train_classifier(spark, sf):
+    """All that training reports, as rows: class counts, counts after balancing, importances, confusion matrix, scores per class."""
+    done, _ = _train(spark, sf, smote=True, max_labelled_rows=LABELLED)
+    long = lambda df, kind, key, *values: df.select(
+        F.lit(kind).alias("kind"), F.col(key).cast("string").alias("name"),
+        F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")
+    ).select("kind", "name", "m.measure", "m.value")
+    parts = [long(done.counts, "labelled", "label", "n"), long(done.balanced, "balanced", "label", "n"),
+             long(done.importance, "importance", "feature", "importance"),
+             long(done.confusion, "confusion", "true_type", "p1", "p2", "p3", "p4"),
+             long(done.report, "report", "label", "precision", "recall", "f1", "support")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out)
+
+
+def _model(spark, sf, held_out=False):
+    """The forest of the published size, and the rows of the fragment table (with `held_out`: those it was not fitted on)."""
     rows = stored(ml.feature_vector(ad.fragment_features(spark, sf).withColumnRenamed("dendrite_type", "label")))
-    return ml.forest_train(rows, key=["image_id", "id"], max_labelled_rows=4000), rows
+    fit = rows
+    if held_out:
+        split = stored(ml.split_80_20(rows, ["image_id", "id"]))
+        fit, rows = split.filter("not is_test"), split.filter("is_test")
+    return ml.forest_train(fit, key=["image_id", "id"], max_labelled_rows=LABELLED), rows
 
 
 @query
 def M6_forest_train(spark, sf):
-    """Size of the forest's training table, and whether the forest beats always naming the largest class."""
-    model, rows = _model(spark, sf)
+    """Accuracy on rows left out of the fit, beside the share of the largest class among them."""
+    model, rows = _model(spark, sf, held_out=True)
     out = ml.forest_predict(model, rows).select(F.col("label").alias("true_type"), F.col("dendrite_type").alias("predicted_type"), "length")
     largest = rows.groupBy("label").count().agg(F.max("count") / F.sum("count")).first()[0]
-    return ml.accuracy(out).select(F.lit(model.getNumTrees).alias("trees"), F.lit(rows.count()).alias("n_rows"),
-                                   (F.col("accuracy") > F.lit(largest)).alias("beats_majority"))
+    return rounded(ml.accuracy(out).select(
+        F.lit(model.getNumTrees).alias("trees"), F.lit(rows.count()).alias("n_held_out"), "accuracy", "weighted_accuracy",
+        F.lit(largest).alias("largest_class"), (F.col("accuracy") > F.lit(largest)).alias("beats_majority")))
 
 
 @query
 def M7_forest_predict(spark, sf):
-    """Every fragment gets one of the four classes, and an overwhelming share of its votes is a probability."""
+    """The class of every fragment, the share of votes for it, and whether the votes are shares of one."""
     model, rows = _model(spark, sf)
     p = vector_to_array("probability")
     total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
-    return ml.forest_predict(model, rows).select(
-        "image_id", "id", F.col("dendrite_type").between(1, 4).alias("known"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+    return rounded(ml.forest_predict(model, rows).select(
+        "image_id", "id", "dendrite_type", F.array_max(p).alias("share"),
+        F.col("dendrite_type").between(1, 4).alias("known"), (F.abs(total - 1) < 1e-9).alias("sums_to_one")))
 
 
 @query
@@ -803,20 +824,18 @@ def M9_smote(spark, sf):
 
 @query
 def M10_feature_importance(spark, sf):
-    """The features with their importances' signs and, on every row, their rounded sum."""
+    """The importance of every feature and, on every row, their sum."""
     scores = ml.feature_importance(_model(spark, sf)[0], spark)
     total = scores.agg(F.sum("importance")).first()[0]
-    return scores.select("feature", (F.col("importance") >= 0).alias("not_negative"), F.round(F.lit(total), 6).alias("total"))
+    return rounded(scores.select("feature", "importance", F.lit(total).alias("total")))
 
 
 @query
 def T2_importance_rank(spark, sf):
-    """Ranks of the features by falling importance; every importance is at most the one before."""
+    """The features by falling importance, with their ranks."""
     ranked = ml.importance_rank(ml.feature_importance(_model(spark, sf)[0], spark))
     order = Window.orderBy(F.desc("importance"), "feature")  # nine rows
-    out = ranked.withColumn("rank", F.row_number().over(order)).withColumn(
-        "falls", F.coalesce(F.col("importance") <= F.lag("importance").over(order), F.lit(True)))
-    return out.select("rank", "falls")
+    return rounded(ranked.withColumn("rank", F.row_number().over(order)).select("rank", "feature", "importance"))
 
 
 @query
@@ -855,8 +874,8 @@ def I9_grey_to_fragments(spark, sf):
 
 @query
 def I12_stack_to_branches(spark, sf):
-    """The whole way from masks to branches; a tenth of the rows of the images has no intensity."""
-    projection = ad.intensity_pixel(spark, sf).filter("y % 200 >= 20")
+    """The whole way from masks to branches."""
+    projection = ad.intensity_pixel(spark, sf)
     branch = flows.stack_to_branches(stored(ad.skeleton(spark, sf)), ad.image(spark, sf), stored(projection), _model(spark, sf)[0])
     return rounded(branch.withColumn("n_points", F.size("branch")).drop("branch", "neighbors"))
 
@@ -923,8 +942,18 @@ def S2_parse_polyline(spark, sf):
 
 @query
 def S3_image_manifest(spark, sf):
-    rows = files.scan_branches(spark, _saved_branches(spark, sf))
-    return rows.select(F.replace("image", F.lit("img")).cast("long").alias("image_id")).distinct()
+    """Genotypes whose branch tables the manifest lists for each strain; other kinds of files beside them are not listed."""
+    folder = patterns.scratch_path(spark, "tables")
+    rows = ad.branch(spark, sf).join(ad.image(spark, sf).select("image_id", "image", "genotype"), "image_id")
+    rows.select("image", "genotype", "id", "length").write.partitionBy("genotype").option("header", True).csv(folder)
+    rows.select("genotype", "image").distinct().write.mode("append").partitionBy("genotype").json(folder)
+    kind = lambda path: F.regexp_extract(path, r"[.](\w+)$", 1)
+    found = None
+    for strain in ("wt", "mut"):
+        listed = files.image_manifest(spark, folder, pattern="*.csv", strain=strain).filter("length > 0").select(
+            F.lit(strain).alias("strain"), F.regexp_extract("path", "genotype=([^/]+)/", 1).alias("genotype"), kind("path").alias("kind"))
+        found = listed if found is None else found.unionByName(listed)
+    return found.distinct()
 
 
 @query

@@ -11,6 +11,8 @@ from ramify.functions import patterns, scalars
 from ramify.operators import correct, merge, ml, neighbors, profile
 from ramify.operators.compare import TRAITS
 from ramify.operators.fragments import connect_candidates
+from ramify.plans import flows
+from ramify.plans.queries import QUERIES
 from ramify.sources import files
 
 
@@ -406,3 +408,51 @@ def test_bound_on_labelled_rows(spark):
     model = ml.forest_train(rows, trees=3, depth=4, key=["id"], max_labelled_rows=50)
     again = ml.forest_train(rows.repartition(7), trees=3, depth=4, key=["id"], max_labelled_rows=50)
     assert model.toDebugString.splitlines()[1:] == again.toDebugString.splitlines()[1:], "the rows do not depend on partitions"
+
+
+def test_training_reports_all_it_did(spark):
+    """Separable classes, one of them rare: balanced counts, a report, a confusion matrix and importances that add to one."""
+    rows = []
+    for i in range(240):
+        kind = 1 if i % 6 == 0 else 2
+        rows.append((1, i, [(3 * i, x) for x in range(8)], kind, *[float(kind * 10 + (i * 7 + k) % 5) for k in range(9)]))
+    frag = spark.createDataFrame(rows, "image_id long, id int, segment array<struct<y:int,x:int>>, kind int, "
+                                 + ", ".join(f"{c} double" for c in ml.CLASSIFIER_FEATURES))
+    label = frag.filter("id <> 5").selectExpr("image_id", "segment[4].y AS y", "segment[4].x AS x", "kind AS label")
+    done = flows.train_classifier(frag.drop("kind"), label, smote=True, trees=5, depth=4)
+    assert {r["label"]: r["n"] for r in done.counts.collect()} == {1: 40, 2: 199}
+    balanced = {r["label"]: r["n"] for r in done.balanced.collect()}
+    assert balanced[1] == balanced[2] > 120
+    n = done.test.count()
+    assert sum(r["p1"] + r["p2"] for r in done.confusion.collect()) == n
+    assert {r["label"]: r["f1"] for r in done.report.collect()}["accuracy"] == 1.0
+    assert abs(sum(r["importance"] for r in done.importance.collect()) - 1) < 1e-9
+    few = flows.train_classifier(frag.drop("kind"), label, trees=2, depth=3, max_labelled_rows=50)
+    assert sum(r["n"] for r in few.balanced.collect()) == 50
+
+
+def test_forest_beats_the_largest_class_on_rows_left_out(spark):
+    row = QUERIES["M6_forest_train"](spark, "/root/testdata/sf0.001").first()
+    assert row["beats_majority"] and row["accuracy"] > row["largest_class"] + 0.1
+
+
+def test_a_fragment_without_pixels_has_no_intensity(spark):
+    """Its classifier input then counts as 0; the fragment itself stays."""
+    mask = spark.createDataFrame([(1, 10, x) for x in range(5, 30)] + [(1, 40, x) for x in range(5, 30)], "image_id long, y int, x int")
+    image = spark.createDataFrame([(1, 60, 40)], "image_id long, length_px int, width_px int")
+    pixel = mask.filter("y < 20").selectExpr("*", "x AS v")
+    out = flows.mask_to_fragments(mask, image, pixel, min_object=5, min_spur=3)
+    rows = {r["segment"][0]["y"]: r["average_intensity"] for r in out.collect()}
+    assert set(rows) == {10, 40} and rows[40] is None and rows[10] is not None
+    assert {r["features"][8] for r in ml.feature_vector(out.filter("average_intensity IS NULL")).collect()} == {0.0}
+
+
+def test_manifest_lists_by_pattern_and_strain(spark, tmp_path):
+    for name in ("a_wt_1_branches.csv", "b_mut_2_branches.csv", "a_wt_1_maxProj.tif"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "genotype=wt-day3").mkdir()
+    (tmp_path / "genotype=wt-day3" / "part-0.csv").write_text("y")
+    names = lambda **k: {r["path"].rsplit("/", 1)[-1] for r in files.image_manifest(spark, str(tmp_path), **k).collect()}
+    assert names() == {"a_wt_1_branches.csv", "b_mut_2_branches.csv", "a_wt_1_maxProj.tif", "part-0.csv"}
+    assert names(pattern="*.csv", strain="wt") == {"a_wt_1_branches.csv", "part-0.csv"}
+    assert names(strain="mut") == {"b_mut_2_branches.csv"}
