@@ -80,16 +80,6 @@ def drop_cut(df):
         _delete(df.sparkSession, path)
 
 
-def fixpoint(start, step, changed="changed"):
-    """Repeat `step` until no row of its result carries the `changed` flag."""
-    current = cut(start)
-    while True:
-        after = cut(step(current), retire=current)
-        if after.filter(F.col(changed)).isEmpty():
-            return after.drop(changed)
-        current = after
-
-
 # ---- neighbourhoods and buckets -------------------------------------------
 
 def neighbourhood(df, radius, y="y", x="x"):

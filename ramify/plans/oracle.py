@@ -640,6 +640,21 @@ SELECT f.image_id, f.id, CASE WHEN hit.id IS NULL THEN dendrite_type ELSE 1 END
        CASE WHEN hit.id IS NULL THEN 0 ELSE 1 END AS changed
 FROM frag f LEFT JOIN hit ON hit.image_id = f.image_id AND hit.id = f.id"""
 
+_END_PADS = "(SELECT unnest(range(-2, 3)) AS oy), (SELECT unnest(range(-2, 3)) AS ox)"
+CTE["able"] = f"""
+SELECT f.image_id, f.id FROM frag f JOIN frag g ON {_OVER}
+WHERE f.dendrite_type = 3 AND f.rx > 0.3 AND f.rx < 0.7 AND g.dendrite_type IN (1, 3)
+GROUP BY ALL HAVING bool_or(g.rx < 0.625) AND bool_or(g.rx >= 0.625)"""
+CTE["able_end"] = "SELECT image_id, id, y, x FROM ends SEMI JOIN able USING (image_id, id)"
+CTE["able_pad"] = f"SELECT image_id, id AS a, y + oy AS y, x + ox AS x FROM able_end, {_END_PADS}"
+CTE["contact"] = "SELECT DISTINCT image_id, a, id AS b FROM able_pad JOIN able_end USING (image_id, y, x) WHERE a <> id"
+CTE["spread"] = """
+SELECT image_id, id FROM able SEMI JOIN touch USING (image_id, id)
+UNION SELECT c.image_id, c.b FROM spread s JOIN contact c ON c.image_id = s.image_id AND c.a = s.id"""
+SQL["I1_primary_fixpoint"] = """WITH RECURSIVE unused AS (SELECT 1)
+SELECT f.image_id, f.id, CASE WHEN s.id IS NULL THEN dendrite_type ELSE 1 END AS dendrite_type
+FROM frag f LEFT JOIN spread s ON s.image_id = f.image_id AND s.id = f.id"""
+
 # ---- binary images ----
 SQL["W9_morph_open_line"] = "SELECT *, 'y' AS axis FROM open_y UNION ALL SELECT *, 'x' AS axis FROM open_x"
 SQL["W10_reconstruct_cross"] = "SELECT image_id, y, x FROM cross_x"
@@ -659,9 +674,23 @@ SELECT *, CASE WHEN degree >= 3 THEN 'branch' WHEN degree = 1 THEN 'end' ELSE 's
 SQL["A26_endpoint_check"] = """
 SELECT image_id, count(*) FILTER (degree = 1) AS n_ends, CASE WHEN count(*) FILTER (degree = 1) = 2 THEN 1 ELSE 0 END AS accepted
 FROM degree GROUP BY image_id"""
-SQL["T4_order_centre_line"] = """
-SELECT image_id, i, i AS y, CAST(1000 + sum(CAST(floor(x) AS BIGINT) % 3 - 1) OVER (PARTITION BY image_id ORDER BY i) AS INTEGER) AS x
-FROM centre"""
+CTE["line_px"] = """
+SELECT image_id, y, CAST(x + d AS INTEGER) AS x, y * 100000 + x + d AS c FROM (
+  SELECT image_id, i AS y, 1000 + sum(CAST(floor(x) AS BIGINT) % 3 - 1) OVER (PARTITION BY image_id ORDER BY i) AS x FROM centre),
+  (SELECT unnest([0, 1]) AS d) WHERE d = 0 OR (image_id % 2 = 0 AND y IN (10, 20, 21, 30))"""
+CTE["line_nb"] = """
+SELECT p.image_id, p.c, list(q.c ORDER BY q.c) AS near FROM
+  (SELECT image_id, c, y + oy AS y, x + ox AS x FROM line_px, (SELECT unnest(range(-1, 2)) AS oy), (SELECT unnest(range(-1, 2)) AS ox)
+   WHERE oy <> 0 OR ox <> 0) p JOIN line_px q ON p.image_id = q.image_id AND p.y = q.y AND p.x = q.x GROUP BY ALL"""
+CTE["line_walk"] = """
+SELECT image_id, min(c) FILTER (len(near) = 1) AS c, [min(c) FILTER (len(near) = 1)] AS seen, 0 AS i
+FROM line_nb GROUP BY image_id HAVING count(*) FILTER (len(near) = 1) = 2
+UNION ALL
+SELECT image_id, step, list_append(seen, step), i + 1 FROM (
+  SELECT w.image_id, w.seen, w.i, list_filter(n.near, lambda k: NOT list_contains(w.seen, k))[1] AS step
+  FROM line_walk w JOIN line_nb n ON n.image_id = w.image_id AND n.c = w.c) WHERE step IS NOT NULL"""
+SQL["T4_order_centre_line"] = """WITH RECURSIVE unused AS (SELECT 1)
+SELECT image_id, i, CAST(c // 100000 AS INTEGER) AS y, CAST(c % 100000 AS INTEGER) AS x FROM line_walk"""
 
 # ---- table learning ----
 _Z = [f"CASE WHEN stddev_pop(embedding[{k + 1}]::DOUBLE) OVER () > 0 THEN (embedding[{k + 1}]::DOUBLE - avg(embedding[{k + 1}]::DOUBLE) OVER ())"
@@ -755,6 +784,9 @@ SELECT 'small' AS kind, image_id, y // 8 AS y, x // 8 AS x, max(v) AS v FROM vox
 UNION ALL SELECT 'projection', image_id, y, x, max(v) FROM voxel GROUP BY ALL"""
 
 
+RECURSIVE = ("grown", "spread", "line_walk")
+
+
 def resolve(body):
     """Prefix a query with the building blocks it uses, in dependency order."""
     need, seen = [], set()
@@ -772,7 +804,7 @@ def resolve(body):
     own = body.lstrip()
     head = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
     rest = ",\n" + own[len(head):] if own.startswith(head) else "\n" + own
-    return head + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" if n != "grown" else f"{n} AS ({CTE[n]})" for n in need) + rest
+    return head + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" if n not in RECURSIVE else f"{n} AS ({CTE[n]})" for n in need) + rest
 
 
 def oracle_sql():

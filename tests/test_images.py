@@ -195,6 +195,27 @@ def test_order_centre_line(spark):
     assert got == {i: walk(set(s)) for i, s in shapes.items() if walk(set(s))}
 
 
+def test_centre_lines_through_clumps(spark):
+    """Thick stretches and a line that comes back beside itself, walked in windows of four pixels."""
+    rng = random.Random(3)
+    shapes = {}
+    for i in range(8):
+        x, cells = 50, set()
+        for y in range(60):
+            x += rng.choice([-1, 0, 1])
+            cells.add((y, x))
+            if 3 < y < 55 and rng.random() < 0.25:
+                cells.add((y, x + 1))
+        shapes[i] = cells
+    shapes[8] = {(y, 10) for y in range(40)} | {(40, 11), (40, 12)} | {(y, 13) for y in range(20, 40)} | {(30, 11), (31, 12)}
+    df = spark.createDataFrame([(i, y, x) for i, s in shapes.items() for y, x in s], "image_id long, y int, x int")
+    got = {}
+    for r in skeleton.order_centre_line(df, window=4).orderBy("image_id", "i").collect():
+        got.setdefault(r["image_id"], []).append((r["y"], r["x"]))
+    want = {i: walk(s) for i, s in shapes.items() if walk(s)}
+    assert len(want) >= 3 and got == want
+
+
 def test_local_density(spark, image):
     cells = random_mask(9, 0.2)
     frag = spark.createDataFrame([(1, i, [(y, x)]) for i, (y, x) in enumerate([(0, 0), (5, 58), (20, 30), (39, 59), (17, 8)])],
