@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -173,46 +175,108 @@ def classification_report(df, *, true="true_type", predicted="predicted_type"):
 
 # ---- balancing -------------------------------------------------------------
 
-def _nearest_same_class(base, pool, dims, k):
-    """Exact k nearest distinct vectors of the same class for each base row.
+WAYS = 8
+CELL_ROWS = 1024
+ASKED_ROWS = 50_000
 
-    Rows are looked up in a grid over the two widest features: a 3 x 3 block of cells of side c
-    holds every neighbour within c, so a row whose k-th distance is at most c is settled. The
-    others go on with cells twice as large, until one block spans the data.
+
+def kd_cells(pool, cell_rows=CELL_ROWS):
+    """Cells of few rows over all features, per class: (rows with their cell `path`, all boxes of the tree).
+
+    A cell of more than `cell_rows` distinct vectors is cut into eighths along its widest feature, again and again. Paths are
+    1 for a class and 8 * path + child below it; boxes (label, path, n, lo, hi) are as tight as their rows. Where most values
+    of the feature are equal, the middle of its range takes the place of a cut that would leave one side empty.
     """
-    a, b = dims
-    lo = pool.agg(*[f(F.element_at("vec", d + 1)) for d in dims for f in (F.min, F.max)]).first()
-    span = max((lo[1] or 0) - (lo[0] or 0), (lo[3] or 0) - (lo[2] or 0), 1e-9)
-    n = max(1, pool.count())
-    side = span / max(1.0, math.sqrt(n)) / 4
-    settled, left = None, cut(base)
-    cell = lambda d, s: F.floor(F.element_at("vec", d + 1) / F.lit(s))
+    size = len(pool.select("vec").first()["vec"]) if not pool.isEmpty() else 0
+    rows, boxes = cut(pool.withColumn("path", F.lit(1).cast("long"))), []
     while True:
-        whole = side >= span
-        near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-        asked = (
-            left.withColumn("cy", F.explode(F.transform(near, lambda o: o + cell(a, side))))
-            .withColumn("cx", F.explode(F.transform(near, lambda o: o + cell(b, side))))
-        )
-        other = pool.select("label", F.col("vec").alias("other"), "copies", cell(a, side).alias("cy"), cell(b, side).alias("cx"))
-        gap = F.sqrt(F.aggregate(F.zip_with("vec", "other", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-        rank = F.row_number().over(Window.partitionBy("row_id").orderBy("gap", F.hash("other"), "other"))
-        best = (
-            asked.join(other, ["label", "cy", "cx"]).filter(F.col("vec") != F.col("other"))
-            .select("row_id", gap.alias("gap"), "other", "copies")
-            .withColumn("rank", rank).filter(F.col("rank") <= k)
-            .groupBy("row_id").agg(
-                F.array_sort(F.collect_list(F.struct("gap", "other", "copies"))).alias("near"), F.max("gap").alias("far"),
-                F.count(F.lit(1)).alias("found"))
-        )
-        got = cut(left.join(best, "row_id", "left").withColumn(
-            "ok", F.lit(whole) | ((F.coalesce("found", F.lit(0)) >= k) & (F.coalesce("far", F.lit(math.inf)) <= side))))
-        part = got.filter("ok").select(*left.columns, "near")
-        settled = part if settled is None else settled.unionByName(part)
-        left = got.filter("not ok").select(*left.columns)
-        if whole or left.isEmpty():
-            return settled
-        side *= 2
+        side = lambda f: F.array(*[f(F.get("vec", F.lit(i))) for i in range(size)])
+        box = cut(rows.groupBy("label", "path").agg(F.count(F.lit(1)).alias("n"), side(F.min).alias("lo"), side(F.max).alias("hi")))
+        boxes.append(box)
+        widths = F.zip_with("hi", "lo", lambda h, w: h - w)
+        large = box.filter(F.col("n") > cell_rows).withColumn("axis", F.array_position(widths, F.array_max(widths)).cast("int") - 1)
+        if large.isEmpty():
+            break
+        large = large.select("label", "path", "axis", F.get("lo", F.col("axis")).alias("least"), F.get("hi", F.col("axis")).alias("most"))
+        inside = salted_join(rows, large, ["label", "path"], F.col("vec")).withColumn("v", F.get("vec", F.col("axis")))
+        cuts = inside.groupBy("label", "path").agg(F.percentile_approx("v", [k / WAYS for k in range(1, WAYS)], 1000).alias("cuts"))
+        cuts = cuts.join(large, ["label", "path"]).withColumn("cuts", F.transform("cuts", lambda c: F.when(
+            c >= F.col("most"), (F.col("least") + F.col("most")) / 2).otherwise(c))).select("label", "path", "axis", "cuts")
+        child = F.size(F.filter("cuts", lambda c: c < F.get("vec", F.col("axis"))))
+        rest = rows.join(large.select("label", "path"), ["label", "path"], "left_anti")
+        down = salted_join(rows, cuts, ["label", "path"], F.col("vec")).withColumn("path", F.col("path") * WAYS + child)
+        # a cell that is small already goes down as an only child, so that all cells stay on one level
+        rest = rest.withColumn("path", F.col("path") * WAYS)
+        rows = cut(down.select(*rest.columns).unionByName(rest), retire=rows)
+    return rows, boxes
+
+
+def _best_in_cells(asked, rows, k):
+    """The k nearest other vectors of each asked one within one cell: (vid, gap, other, copies).
+
+    A cell that many ask is shared out to tasks of at most about ASKED_ROWS questions.
+    """
+    most = asked.groupBy("label", "path").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // ASKED_ROWS) or 1
+    asked = asked.select("label", "path", "vid", "vec").withColumn("part", F.pmod(F.xxhash64("vid"), F.lit(parts)))
+    rows = rows.select("label", "path", "vec", "copies").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    key = ["label", "path", "part"]
+
+    def nearest(a, b):
+        found = []
+        if len(a) and len(b):
+            x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
+            copies, vid, length = b["copies"].to_numpy(), a["vid"].to_numpy(), (y * y).sum(1)
+            for at in range(0, len(x), 512):
+                q = x[at:at + 512]
+                d = (q * q).sum(1)[:, None] + length[None] - 2 * (q @ y.T)
+                reach = np.partition(d, min(k, len(y) - 1), axis=1)[:, min(k, len(y) - 1)]  # one more than k, as it holds itself
+                i, j = np.nonzero(d <= (reach + 1e-9 * (np.abs(d).max() + 1))[:, None])
+                gap = np.sqrt(((q[i] - y[j]) ** 2).sum(1))
+                keep = gap > 0
+                i, j, gap = i[keep], j[keep], gap[keep]
+                order = np.lexsort((*y[j].T[::-1], gap, i))
+                i, j, gap = i[order], j[order], gap[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                found.append(pd.DataFrame({"vid": vid[at + i[first]], "gap": gap[first], "other": list(y[j[first]]), "copies": copies[j[first]]}))
+        none = pd.DataFrame({"vid": np.zeros(0, int), "gap": np.zeros(0), "other": np.zeros(0, object), "copies": np.zeros(0, int)})
+        return pd.concat([f for f in found if len(f)] or [none])
+
+    return asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(nearest, "vid long, gap double, other array<double>, copies long")
+
+
+def _least(found, k):
+    """The k best of each vector, as an array in order: (vid, near)."""
+    rank = F.row_number().over(Window.partitionBy("vid").orderBy("gap", "other"))
+    return found.withColumn("_r", rank).filter(F.col("_r") <= k).groupBy("vid").agg(
+        F.array_sort(F.collect_list(F.struct("gap", "other", "copies"))).alias("near"))
+
+
+def nearest_same_class(pool, wanted, k, cell_rows=CELL_ROWS):
+    """Exact k nearest distinct vectors of the same class: (label, vec, near), near in order of gap, then of vector.
+
+    `pool` has (label, vec, copies), one row per distinct vector; `wanted` the (label, vec) to answer. A vector's own cell
+    gives a first k-th distance; then the tree of boxes is gone down, and only cells whose box comes as near are looked into.
+    """
+    rows, boxes = kd_cells(pool, cell_rows)
+    asked = cut(rows.join(wanted.select("label", "vec").distinct(), ["label", "vec"], "left_semi").select(
+        "label", "path", "vec", F.monotonically_increasing_id().alias("vid")))
+    first = cut(_best_in_cells(asked, rows, k))
+    reach = _least(first, k).select("vid", F.when(F.size("near") >= k, F.element_at("near", -1)["gap"]).otherwise(math.inf).alias("reach"))
+    visit = asked.join(reach, "vid", "left").select(
+        "label", F.lit(1).cast("long").alias("path"), "vid", "vec", F.coalesce("reach", F.lit(math.inf)).alias("reach"), F.col("path").alias("own"))
+    for box in boxes[1:]:
+        below = box.select("label", F.col("path").alias("child"), F.floor(F.col("path") / WAYS).alias("path"), "lo", "hi")
+        # children of one box as one row, so that the side of the boxes is unique and can be salted
+        below = below.groupBy("label", "path").agg(F.collect_list(F.struct("child", "lo", "hi")).alias("c"))
+        out = lambda c: F.aggregate(F.transform("vec", lambda v, i: F.pow(F.greatest(
+            F.get(c["lo"], i) - v, F.lit(0.0), v - F.get(c["hi"], i)), F.lit(2.0))), F.lit(0.0), lambda s, d: s + d)
+        visit = salted_join(visit, below, ["label", "path"], F.col("vid")).withColumn("c", F.filter(
+            "c", lambda c: F.sqrt(out(c)) <= F.col("reach") * (1 + 1e-12)))
+        visit = visit.select("label", F.explode(F.transform("c", lambda c: c["child"])).alias("path"), "vid", "vec", "reach", "own")
+    others = cut(visit.filter("path <> own"))
+    found = first if others.isEmpty() else first.unionByName(_best_in_cells(others, rows, k))
+    return asked.select("vid", "label", "vec").join(_least(found, k), "vid", "left").drop("vid")
 
 
 def smote(df, key, *, label="label", k=5, seed=SEED):
@@ -232,13 +296,9 @@ def smote(df, key, *, label="label", k=5, seed=SEED):
     per_row = F.floor(F.col("need") / F.col("n")) + F.when(F.col("place") < F.col("need") % F.col("n"), 1).otherwise(0)
     base = ranked.withColumn("times", per_row).filter("times > 0").select("row_id", "label", "vec", "times")
     pool = cut(rows.groupBy("label", "vec").agg(F.count(F.lit(1)).alias("copies")))
-    size = len(CLASSIFIER_FEATURES)
-    var = rows.agg(*[F.coalesce(F.var_pop(F.element_at("vec", i + 1)), F.lit(0.0)) for i in range(size)]).first()
-    dims = sorted(range(size), key=lambda i: -(var[i] or 0.0))[:2]
-    found = _nearest_same_class(base, pool, dims, k)
-    own = pool.withColumnRenamed("copies", "twins")
+    found = nearest_same_class(pool, base, k).join(pool.withColumnRenamed("copies", "twins"), ["label", "vec"])
     picked = (
-        found.join(own, ["label", "vec"])
+        salted_join(base, found, ["label", "vec"], F.col("row_id"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
         .withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "row_id", "copy", F.lit("n")), F.lit(k)))
         .withColumn("share", F.pmod(F.xxhash64(F.lit(seed), "row_id", "copy", F.lit("s")), F.lit(1 << 30)) / float(1 << 30))

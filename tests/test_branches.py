@@ -372,15 +372,34 @@ def test_smote_balances_between_near_neighbours(spark):
         assert min(gaps) < 1e-9
 
 
-def test_nearest_same_class_is_exact(spark):
+@pytest.mark.parametrize("cell_rows", [7, 40, 10_000])
+def test_nearest_same_class_is_exact(spark, cell_rows):
+    """Nine features, a dense clump, a grid of ties and a feature of almost one value, in cells of any size."""
     rng = random.Random(9)
-    pts = [tuple(rng.gauss(0, 1) * (30 if d == 0 else 5) for d in range(9)) for _ in range(150)]
-    pool = spark.createDataFrame([(1, list(p), 1) for p in pts], "label int, vec array<double>, copies long")
-    base = spark.createDataFrame([(i, 1, list(p)) for i, p in enumerate(pts)], "row_id long, label int, vec array<double>")
-    got = {r["row_id"]: [n["gap"] for n in r["near"]] for r in ml._nearest_same_class(base, pool, (0, 1), 5).collect()}
-    a = np.array(pts)
-    d = np.sort(np.linalg.norm(a[:, None] - a[None], axis=2), axis=1)[:, 1:6]
-    assert all(np.allclose(got[i], d[i]) for i in range(len(pts)))
+    pts = {tuple(rng.gauss(0, 1) * (30 if d == 0 else 5) for d in range(9)) for _ in range(120)}
+    pts |= {tuple(rng.gauss(0, 1e-3) for _ in range(9)) for _ in range(150)}
+    pts |= {(100.0, *[float(rng.randint(0, 1)) for _ in range(8)]) for _ in range(120)}
+    rows = [(1 + i % 2, p) for i, p in enumerate(sorted(pts))] + [(3, (1.0,) * 9), (4, (1.0,) * 9), (4, (2.0,) * 9)]
+    pool = spark.createDataFrame([(c, list(p), 1) for c, p in rows], "label int, vec array<double>, copies long")
+    got = {(r["label"], tuple(r["vec"])): [(n["gap"], tuple(n["other"])) for n in r["near"] or []]
+           for r in ml.nearest_same_class(pool, pool, 5, cell_rows).collect()}
+    assert len(got) == len(rows)
+    for c, p in rows:
+        want = sorted((float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum())), q) for d, q in rows if d == c and q != p)[:5]
+        assert [g for g, _ in got[c, p]] == pytest.approx([g for g, _ in want], abs=1e-12)
+        assert [q for _, q in got[c, p]] == [q for _, q in want] or len({round(g, 9) for g, _ in want}) < len(want)
+
+
+def test_cells_stay_small_in_a_dense_class(spark):
+    """Every cell holds few rows although nearly all rows lie in one spot and one feature hardly varies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(scale=1e-6, size=(6000, 9))
+    x[:, 4] = 5.0
+    x[:30] += rng.normal(scale=100, size=(30, 9))
+    pool = spark.createDataFrame([(1, row, 1) for row in x.tolist()], "label int, vec array<double>, copies long")
+    rows, boxes = ml.kd_cells(pool, 200)
+    sizes = [r["count"] for r in rows.groupBy("label", "path").count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) == 6000 and len(boxes) <= 8
 
 
 def test_forest_learns_and_reloads(spark, tmp_path):
