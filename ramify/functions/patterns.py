@@ -129,47 +129,52 @@ def two_level_rank(df, keys, bucket, order, name, start=0):
     )
 
 
-def exact_quantiles(df, keys, value, probs, width):
-    """Exact linear-interpolated quantiles: columns q0, q1, ... and n per key.
+def ordered_bits(col):
+    """A LONG that orders like the double it comes from (0.0 and -0.0 alike, NaN last)."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), col.cast("double") + 0.0).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
-    Values are counted per distinct value, ranked per bucket of `width`, and only the
-    buckets holding a wanted rank are looked into.
+
+def from_ordered_bits(col):
+    bits = F.when(col < 0, col.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(col)
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def exact_quantiles(df, keys, value, probs):
+    """Exact linear-interpolated quantiles: columns q0, q1, ... and n per key; null values do not count.
+
+    Radix selection on the 64 bits of the values, 16 at a time: each level counts one digit of the rows that share all digits
+    found so far and goes on with the digit that holds the wanted rank. Rows are combined before every shuffle, to 65,536
+    digits a key and prefix at most, so neither a hot key nor equal values gather anywhere.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", idiv(F.col("_v"), width))
-    )
-    per_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    per_bucket = per_bucket.select(
-        *keys, "_b", "_bc",
-        F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"),
-        F.sum("_bc").over(whole).alias("n"),
-    )
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
-                 (F.floor if side == 0 else F.ceil)((F.col("n") - 1) * F.lit(float(p))).alias("rank"))
-        for i, p in enumerate(probs) for side in (0, 1)
-    ])
-    hits = (
-        per_bucket.withColumn("w", F.explode(wanted))
-        .filter((F.col("w.rank") >= F.col("_off")) & (F.col("w.rank") < F.col("_off") + F.col("_bc")))
-    )
-    cum = W.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = (
-        counts.join(hits.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-        .withColumn("_end", F.sum("_c").over(cum.rowsBetween(W.unboundedPreceding, 0)))
-    )
-    found = (
-        hits.join(ranked, [*keys, "_b"])
-        .filter((F.col("w.rank") - F.col("_off") < F.col("_end"))
-                & (F.col("w.rank") - F.col("_off") >= F.col("_end") - F.col("_c")))
-    )
-    cells = [
-        F.max(F.when((F.col("w.i") == i) & (F.col("w.side") == side), F.col("_v").cast("double"))).alias(f"_q{i}_{side}")
-        for i in range(len(probs)) for side in (0, 1)
-    ]
+    rows = cut(df.filter(F.col(value).isNotNull()).select(*keys, ordered_bits(F.col(value)).alias("_b")))
+    at = [*keys, "_p"]
+    found, shift = None, 64
+    while shift:
+        shift -= 16
+        digit = F.shiftright("_b", shift)
+        if found is None:
+            inside = rows.withColumn("_p", F.lit(0).cast("long"))
+        else:
+            inside = salted_join(rows.withColumn("_p", F.shiftright("_b", shift + 16)), found.select(*at).distinct(), at,
+                                 F.col("_b"), how="left_semi")
+        counts = inside.groupBy(*at, digit.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+        before = W.partitionBy(*at).orderBy("_d").rowsBetween(W.unboundedPreceding, -1)
+        whole = [F.sum("_c").over(W.partitionBy(*at)).alias("n")] if found is None else []
+        counts = counts.select(*at, "_d", "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), *whole)
+        if found is None:
+            wanted = F.array(*[
+                F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
+                         (F.floor if side == 0 else F.ceil)((F.col("n") - 1) * F.lit(float(p))).alias("rank"))
+                for i, p in enumerate(probs) for side in (0, 1)])
+            found = counts.select("*", F.explode(wanted).alias("_w")).select("*", "_w.i", "_w.side", "_w.rank").drop("_w")
+        else:
+            found = counts.join(found, at)
+        rank = F.col("rank") - F.col("_off")
+        found = found.filter((rank >= 0) & (rank < F.col("_c"))).select(*keys, F.col("_d").alias("_p"), "n", "i", "side", rank.alias("rank"))
+    found = found.withColumn("_v", from_ordered_bits(F.col("_p")))
+    cells = [F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("_v"))).alias(f"_q{i}_{side}")
+             for i in range(len(probs)) for side in (0, 1)]
     out = found.groupBy(*keys).agg(F.max("n").alias("n"), *cells)
     picks = []
     for i, p in enumerate(probs):

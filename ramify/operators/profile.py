@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import exact_quantiles, salted_join
+from ramify.functions.patterns import cut, exact_quantiles, salted_join
 from ramify.functions.scalars import UM_PER_PX, axial, mean_coord, um, wrapped_diff
 from ramify.operators.neighbors import pair_lookup
 
@@ -12,7 +12,6 @@ SPREAD_CLASSES = (2, 4)  # classes with a median and a skewness of position
 SPLIT_CLASSES = (2, 3, 4)  # classes counted separately before and behind the cell body
 CONTACT_PAIRS = [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
 N_BINS, BIN_DEG = 18, 10.0
-QUANTILE_BUCKET = 1.0
 
 
 def _columns():
@@ -103,9 +102,9 @@ def ap_position(branch, image, *, adjust=True):
 
 def ap_median_skew(position):
     """Median and population skewness of position, classes 2 and 4."""
-    rows = position.filter(F.col("dendrite_type").isin(*SPREAD_CLASSES))
     keys = ["image_id", "dendrite_type"]
-    median = exact_quantiles(rows, keys, "ap_pct", [0.5], QUANTILE_BUCKET)
+    rows = cut(position.filter(F.col("dendrite_type").isin(*SPREAD_CLASSES)).select(*keys, "ap_pct"))
+    median = exact_quantiles(rows, keys, "ap_pct", [0.5])
     skew = rows.groupBy(*keys).agg(F.skewness("ap_pct").alias("ap_skew"))
     return median.select(*keys, F.col("q0").alias("ap_median")).join(skew, keys)
 
@@ -220,7 +219,7 @@ def feature_table(branch, links, image, *, um_per_px=UM_PER_PX, adjust=True, com
 
     medians = exact_quantiles(
         rows.filter(F.col("dendrite_type").isin(*SPREAD_CLASSES)), ["image_id", "dendrite_type"],
-        "ap_pct", [0.5], QUANTILE_BUCKET,
+        "ap_pct", [0.5],
     ).groupBy("image_id").agg(*[
         F.max(F.when(F.col("dendrite_type") == c, F.col("q0"))).alias(f"{CLASSES[c]}_median")
         for c in SPREAD_CLASSES])

@@ -66,7 +66,7 @@ def percentile_normalize(voxel, *, tile_rows, low=0.01, high=0.99):
     """(v - p1) / (p99 - p1) within each tile of each slice."""
     rows = voxel.withColumn("tile", idiv(F.col("y"), tile_rows).cast("int"))
     keys = ["image_id", "tile", "z"]
-    q = exact_quantiles(rows, keys, "v", [low, high], 64)
+    q = exact_quantiles(rows, keys, "v", [low, high])
     joined = salted_join(rows, q.drop("n"), keys, F.struct("y", "x"))
     return joined.withColumn("p", F.try_divide(F.col("v") - F.col("q0"), F.col("q1") - F.col("q0"))).drop("q0", "q1")
 

@@ -276,11 +276,15 @@ def test_half_even(spark):
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_exact_quantiles(spark, n):
     rng = random.Random(n)
-    values = [rng.uniform(-50, 50) for _ in range(n)] + [0.5] * (n // 3)
-    df = spark.createDataFrame([(1, v) for v in values], "k int, v double")
-    row = patterns.exact_quantiles(df, ["k"], "v", [0.01, 0.5, 0.99], 1.0).first()
-    assert row["n"] == len(values)
-    assert [row["q0"], row["q1"], row["q2"]] == pytest.approx(list(np.percentile(values, [1, 50, 99])))
+    groups = {1: [rng.uniform(-50, 50) for _ in range(n)] + [0.5] * (n // 3), 2: [-0.0, 0.0] * n,
+              3: [rng.choice([1e-300, -1e300, 7.0, -7.0]) for _ in range(n)], 4: [rng.gauss(0, 1) * 10 ** rng.randint(-9, 9) for _ in range(n)]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [(1, None), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r["k"]: r for r in patterns.exact_quantiles(df, ["k"], "v", [0.0, 0.01, 0.5, 0.99, 1.0]).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert got[k]["n"] == len(values)
+        assert [got[k][f"q{i}"] for i in range(5)] == pytest.approx(list(np.percentile(values, [0, 1, 50, 99, 100])), rel=1e-12)
 
 
 def test_components_of_random_graph(spark):
