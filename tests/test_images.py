@@ -168,6 +168,21 @@ def test_prune_spurs(spark):
     assert rows(skeleton.prune_spurs(points(spark, cells)), "y", "x") == cells - gone
 
 
+@pytest.mark.parametrize("seed,shift", [(1, 0), (2, -21), (3, 5)])
+def test_boards_and_their_rims(spark, seed, shift):
+    """Degrees, edges and crosses over many cells, negative coordinates too, against sets of pixels."""
+    rng = random.Random(seed)
+    cells = {(rng.randrange(40) + shift, rng.randrange(30) + shift) for _ in range(400)}
+    around = {p: {(p[0] + dy, p[1] + dx) for dy, dx in itertools.product((-1, 0, 1), repeat=2) if dy or dx} & cells for p in cells}
+    df = points(spark, cells)
+    assert {(r["y"], r["x"]): r["degree"] for r in skeleton.stencil_degree(df).collect()} == {p: len(n) for p, n in around.items()}
+    edges = skeleton.pixel_adjacency(df).collect()
+    assert sorted((r["y"], r["x"], r["ny"], r["nx"]) for r in edges) == sorted((*p, *q) for p, n in around.items() for q in n)
+    seeds = {p for p in cells if rng.random() < 0.1} | {(cells_y + 1, 99) for cells_y, _ in list(cells)[:3]}
+    grown = {(y + dy, x + dx) for y, x in seeds for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
+    assert rows(morphology.reconstruct_cross(points(spark, seeds), df), "y", "x") == grown & cells
+
+
 def walk(cells):
     ends = sorted(p for p in cells if len(neighbours(cells, p)) == 1)
     if len(ends) != 2:
