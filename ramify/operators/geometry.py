@@ -1,10 +1,12 @@
 """Paths and polylines: lengths, frames, sampling grids, resampling, branch shape."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import blocked, salted_join
-from ramify.functions.scalars import angle_deg, distance, safe_acos, wrapped_diff
+from ramify.functions.patterns import blocked, halo_tiles, salted_join
+from ramify.functions.scalars import angle_deg, distance, idiv, safe_acos, wrapped_diff
 
 BLOCK = 4096
 NO_POINTS = "array<struct<y:int,x:int>>"
@@ -36,6 +38,16 @@ def subsample_path(path, k=10):
     return path.filter(F.col("i") % k == 0)
 
 
+def interpolate_path(path, k):
+    """k points a step on the straight way between consecutive points; the last point stays as it is."""
+    rows, order = _ordered(path, after=1)
+    rows = rows.withColumn("_ny", F.lead("y").over(order)).withColumn("_nx", F.lead("x").over(order)).filter("own")
+    rows = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.when(F.col("_ny").isNull(), 0).otherwise(k - 1))))
+    between = lambda a, b: F.col(a) + (F.coalesce(F.col(b), F.col(a)) - F.col(a)) * (F.col("_s") / float(k))
+    return rows.select("image_id", (F.col("i") * k + F.col("_s")).cast("int").alias("i"), between("y", "_ny").alias("y"),
+                       between("x", "_nx").alias("x"))
+
+
 def path_frames(path):
     """Unit tangents (forward difference; the last repeats the one before) and normals."""
     rows, order = _ordered(path, before=1, after=1)
@@ -57,40 +69,66 @@ def sampling_grid(frames, width=100):
     )
 
 
-def _taps(axis, n):
-    """Three neighbouring cells and quadratic B-spline weights, mirrored at the edges."""
-    base = F.floor(F.col(axis) + 0.5)
-    t = F.col(axis) - base
-    weights = [0.5 * (0.5 - t) * (0.5 - t), 0.75 - t * t, 0.5 * (0.5 + t) * (0.5 + t)]
-    cells = []
-    for k, w in zip((-1, 0, 1), weights):
-        c = F.abs(base + k)
-        c = F.when(c > F.col(n) - 1, 2 * F.col(n) - 2 - c).otherwise(c)
-        cells.append(F.struct(c.cast("int").alias("c"), w.alias("w")))
-    return F.explode(F.array(*cells))
-
-
-def resample_grid(grid, pixel, image, *, keys=("i", "j"), planes=()):
+def _weights(t):
+    """Quadratic B-spline weights of the cells before, at and after a point `t` from the cell's middle."""
+    return np.stack([0.5 * (0.5 - t) ** 2, 0.75 - t ** 2, 0.5 * (0.5 + t) ** 2])
+
+
+def _sample_tile(at, pixel, keys, planes):
+    """Values of one tile's samples in each of its planes; a sample without any pixel around it gives no row."""
+    columns = {"image_id": at["image_id"].iloc[:0], **{c: pixel[c].iloc[:0] for c in planes}, **{c: at[c].iloc[:0] for c in keys},
+               "v": np.zeros(0)}
+    if not len(at) or not len(pixel):
+        return pd.DataFrame(columns)
+    taps = []
+    for axis, size in (("y", "length_px"), ("x", "width_px")):
+        base = np.floor(at[axis].to_numpy() + 0.5)
+        cell = np.abs(base + np.arange(-1, 2)[:, None])
+        n = at[size].to_numpy()
+        taps.append((np.where(cell > n - 1, 2 * n - 2 - cell, cell).astype(np.int64), _weights(at[axis].to_numpy() - base)))
+    (cy, wy), (cx, wx) = taps
+    y0, x0 = int(min(cy.min(), pixel["y"].min())), int(min(cx.min(), pixel["x"].min()))
+    shape = int(max(cy.max(), pixel["y"].max())) - y0 + 1, int(max(cx.max(), pixel["x"].max())) - x0 + 1
+    out = []
+    for plane, part in pixel.groupby(list(planes), sort=False) if planes else [((), pixel)]:
+        value, known = np.zeros(shape), np.zeros(shape, bool)
+        where = part["y"].to_numpy() - y0, part["x"].to_numpy() - x0
+        value[where], known[where] = part["v"].to_numpy(), True
+        total, seen = np.zeros(len(at)), np.zeros(len(at), bool)
+        for j in range(3):
+            for i in range(3):
+                cell = cy[j] - y0, cx[i] - x0
+                total += wy[j] * wx[i] * value[cell]
+                seen |= known[cell]
+        found = at.loc[seen, ["image_id", *keys]].copy()
+        for name, v in zip(planes, plane):
+            found[name] = v
+        found["v"] = total[seen]
+        out.append(found)
+    return pd.concat(out)[list(columns)]
+
+
+def resample_grid(grid, pixel, image, *, keys=("i", "j"), planes=(), tile=64):
     """Value of the image at fractional coordinates (3 x 3 stencil); 0 outside the image.
 
-    `keys` name a sample within its image, `planes` are extra columns shared with `pixel`
-    (z for stacks), matched exactly.
+    `keys` name a sample within its image, `planes` are extra columns shared with `pixel` (z for stacks), matched exactly.
+    Samples and pixels of one tile meet in one task, pixels with a rim of one; a task holds all planes of its tile.
     """
     dims = image.select("image_id", "length_px", "width_px")
     at = salted_join(grid, dims, ["image_id"], F.struct(*keys))
     inside = (F.col("y").between(0, F.col("length_px") - 1)) & (F.col("x").between(0, F.col("width_px") - 1))
-    taps = (
-        at.filter(inside).withColumn("_y", _taps("y", "length_px")).withColumn("_x", _taps("x", "width_px"))
-        .select("image_id", *keys, F.col("_y.c").alias("y"), F.col("_x.c").alias("x"),
-                (F.col("_y.w") * F.col("_x.w")).alias("w"))
-    )
-    hit = (
-        taps.join(pixel.select("image_id", *planes, "y", "x", "v"), ["image_id", "y", "x"])
-        .groupBy("image_id", *planes, *keys).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    )
+    home = lambda axis: idiv(F.floor(F.col(axis) + 0.5), tile)
+    samples = at.filter(inside).select("image_id", *keys, "y", "x", "length_px", "width_px", home("y").alias("ty"), home("x").alias("tx"))
+    cells = halo_tiles(pixel.select("image_id", *planes, "y", "x", "v"), 1, tile=tile)
+    kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(grid, "image_id"), *[kind(pixel, c) for c in planes], *[kind(grid, c) for c in keys], "v double"])
+    place = ["image_id", "ty", "tx"]
+    hit = samples.groupBy(*place).cogroup(cells.groupBy(*place)).applyInPandas(
+        lambda a, p: _sample_tile(a, p, list(keys), list(planes)), schema)
     outside = at.filter(~inside).select("image_id", *keys, F.lit(0.0).alias("v"))
     if planes:
-        outside = outside.join(pixel.select("image_id", *planes).distinct(), "image_id")
+        of_image = pixel.select("image_id", *planes).distinct()  # combined in the tasks that scan; a row per image and plane
+        outside = salted_join(outside, of_image, ["image_id"], F.struct(*keys))
     return hit.unionByName(outside)
 
 

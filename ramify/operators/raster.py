@@ -5,11 +5,10 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import blocked, exact_quantiles, salted_join
+from ramify.functions.patterns import TILE, blocked, exact_quantiles, halo_tiles, salted_join
 from ramify.functions.scalars import idiv
 
 BAND = (0.375, 0.655)
-TILE = 256
 
 
 # ---- sampling and projection -----------------------------------------------
@@ -213,14 +212,6 @@ def triangle_threshold(pixel, *, value="v"):
 
 # ---- separable filters over tiles with a halo ------------------------------
 
-def halo_tiles(pixel, reach, *, tile=TILE):
-    """Each pixel in its own tile and in the tiles whose border it is within `reach` of (ty, tx)."""
-    def span(axis):
-        first = F.greatest(F.lit(0).cast("long"), idiv(F.col(axis) - reach, tile))
-        return F.explode(F.sequence(first, idiv(F.col(axis) + reach, tile)))
-    return pixel.withColumn("ty", span("y")).withColumn("tx", span("x"))
-
-
 def _fold(index, n, mode):
     """Indices outside 0..n-1 brought inside, by repeating, reflecting or mirroring."""
     if mode == "nearest" or n == 1:

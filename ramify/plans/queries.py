@@ -881,6 +881,29 @@ def I12_stack_to_branches(spark, sf):
     return rounded(branch.withColumn("n_points", F.size("branch")).drop("branch", "neighbors"))
 
 
+def _bodies(spark, sf):
+    """Stacks of two slices with a bright body around each wandering line, brightest in the middle."""
+    side = F.sum(F.floor(F.col("x")) % 3 - 1).over(
+        Window.partitionBy("image_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    line = ad.centre(spark, sf).select("image_id", (F.col("i") + 5).alias("y"), (100 + side).cast("int").alias("x"))
+    across = F.explode(F.sequence(F.lit(-12), F.lit(12)))
+    wide = line.withColumn("d", across).withColumn("z", F.explode(F.array(F.lit(0), F.lit(1))))
+    bright = F.when(F.abs("d") <= 4, 900 - 40 * F.abs("d")).otherwise(40 + F.abs("d")) + 10 * F.col("z")
+    voxel = wide.select("image_id", "z", F.col("y").cast("int").alias("y"), (F.col("x") + F.col("d")).cast("int").alias("x"),
+                        bright.cast("int").alias("v"))
+    image = line.groupBy("image_id").agg((F.max("y") + 6).cast("int").alias("length_px")).withColumn("width_px", F.lit(400))
+    return voxel, image
+
+
+@query
+def I13_straighten_images(spark, sf):
+    """From stacks to straightened stacks: projection, body, centre line, samples across it."""
+    voxel, image = _bodies(spark, sf)
+    voxel = stored(voxel)
+    path = flows.centre_line(raster.max_projection(voxel), image)
+    return flows.straighten(path, voxel, image, width=20, subsample=5)
+
+
 # ---- files -----------------------------------------------------------------
 
 def _saved_branches(spark, sf):

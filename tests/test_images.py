@@ -9,6 +9,7 @@ from helpers import points
 from pyspark.sql import functions as F
 
 from ramify.operators import fragments, geometry, morphology, raster, skeleton
+from ramify.plans import flows
 
 H, W = 40, 60
 RING = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
@@ -337,3 +338,62 @@ def test_otsu_does_not_depend_on_scale(spark, scale):
         between = np.nan_to_num((s1 * n - s * n1) ** 2.0 / (n1 * (n - n1.astype(float))), posinf=0)
     want = v.min() + (between[:-1].argmax() + 0.5) * (v.max() - v.min()) / 256
     assert abs(got - want) < 0.005
+
+
+def test_resampling_beside_missing_pixels_and_planes(spark):
+    """A sparse stack over several tiles: missing pixels count nothing, samples without any pixel are left out."""
+    rng = random.Random(8)
+    cells = {(z, y, x): rng.randrange(100) for z in (0, 3) for y in range(30) for x in range(25) if rng.random() < (0.8 if z else 0.3) and y != 12}
+    samples = [(k, rng.uniform(-2, 31), rng.uniform(-2, 26)) for k in range(300)] + [(300, 12.0, 3.0), (301, 0.0, 0.0), (302, 29.0, 24.0)]
+    want = {}
+    for k, y, x in samples:
+        for z in (0, 3):
+            if not (0 <= y <= 29 and 0 <= x <= 24):
+                want[k, z] = 0.0
+                continue
+            total, seen = 0.0, False
+            by, bx = int(np.floor(y + .5)), int(np.floor(x + .5))
+            for dy, dx in itertools.product((-1, 0, 1), repeat=2):
+                w = 1.0
+                for d, t in ((dy, y - by), (dx, x - bx)):
+                    w *= {-1: .5 * (.5 - t) ** 2, 0: .75 - t * t, 1: .5 * (.5 + t) ** 2}[d]
+                cy, cx = abs(by + dy), abs(bx + dx)
+                cy, cx = (58 - cy if cy > 29 else cy), (48 - cx if cx > 24 else cx)
+                if (z, cy, cx) in cells:
+                    total, seen = total + w * cells[z, cy, cx], True
+            if seen:
+                want[k, z] = total
+    grid = spark.createDataFrame([(1, *s) for s in samples], "image_id long, k int, y double, x double")
+    stack = spark.createDataFrame([(1, *p, v) for p, v in cells.items()], "image_id long, z int, y int, x int, v int")
+    image = spark.createDataFrame([(1, 30, 25)], "image_id long, length_px int, width_px int")
+    got = geometry.resample_grid(grid, stack, image, keys=("k",), planes=("z",), tile=8).collect()
+    assert {(r["k"], r["z"]): r["v"] for r in got} == pytest.approx(want)
+
+
+def test_a_bent_body_becomes_straight(spark):
+    """The middle of the straightened stack is bright along its whole length, its sides are dark; a forked body gives no line."""
+    line = [(y, 40 + round(15 * np.sin(y / 25))) for y in range(10, 110)]
+    pixels = {(1, z, y, x): 20 for z in (0, 1) for y in range(120) for x in range(80)}
+    for y, x in line:
+        for z, d in itertools.product((0, 1), range(-5, 6)):
+            pixels[1, z, y, x + d] = 1000 - 100 * abs(d)
+    fork = [(60 + k, 40 + k) for k in range(40)] + [(60 + k, 40 - k) for k in range(40)] + [(20 + k, 40) for k in range(40)]
+    for z, (y, x) in itertools.product((0, 1), [(y, x) for y in range(120) for x in range(80)]):
+        pixels[2, z, y, x] = 20
+    for z, (y, x), d in itertools.product((0, 1), fork, range(-2, 3)):
+        if 0 <= x + d < 80:
+            pixels[2, z, y, x + d] = 900
+    stack = spark.createDataFrame([(*k, v) for k, v in pixels.items()], "image_id long, z int, y int, x int, v int")
+    image = spark.createDataFrame([(1, 120, 80), (2, 120, 80)], "image_id long, length_px int, width_px int")
+    path = flows.centre_line(raster.max_projection(stack), image)
+    found = {r["image_id"]: r["n"] for r in path.groupBy("image_id").agg(F.count("*").alias("n")).collect()}
+    assert set(found) == {1} and 80 <= found[1] <= 130
+    out = flows.straighten(path, stack, image, width=21, subsample=8).toPandas()
+    assert set(out["z"]) == {0, 1} and set(out["j"]) == set(range(21))
+    n = out["i"].max() + 1
+    assert found[1] - 8 <= n <= found[1] + 1 and len(out) == 2 * 21 * n
+    middle, far = out[out["j"].between(9, 11)]["v"], out[~out["j"].between(2, 18)]["v"]
+    assert middle.min() > 600 and far.max() < 500
+    turned = geometry.flip_path(path).filter("i = 0").first()
+    last = path.orderBy(F.desc("i")).first()
+    assert (turned["y"], turned["x"]) == (last["y"], last["x"])
