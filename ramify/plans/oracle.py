@@ -674,6 +674,38 @@ SELECT *, CASE WHEN degree >= 3 THEN 'branch' WHEN degree = 1 THEN 'end' ELSE 's
 SQL["A26_endpoint_check"] = """
 SELECT image_id, count(*) FILTER (degree = 1) AS n_ends, CASE WHEN count(*) FILTER (degree = 1) = 2 THEN 1 ELSE 0 END AS accepted
 FROM degree GROUP BY image_id"""
+
+
+def _thinned(passes):
+    """Zhang and Suen's thinning of `skel`, sub-pass after sub-pass; ring bits run from north clockwise.
+
+    After the first iteration only pixels beside one deleted in the last two sub-passes can be deleted.
+    """
+    ring = "(VALUES (0, -1, 0), (1, -1, 1), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 1, -1), (6, 0, -1), (7, -1, -1)) r(slot, oy, ox)"
+    has = lambda *bits: "(" + " AND ".join(f"(ring >> {b}) & 1 = 1" for b in bits) + ")"
+    CTE["gone0"] = "SELECT image_id, y, x FROM skel WHERE false"
+    for k in range(2 * passes):
+        stop = f"{has(0, 2, 4)} OR {has(2, 4, 6)}" if k % 2 == 0 else f"{has(0, 2, 6)} OR {has(0, 4, 6)}"
+        if k < 2:
+            CTE[f"thin{k}"] = f"SELECT image_id, y, x FROM skel ANTI JOIN gone{k} USING (image_id, y, x)"
+        else:
+            CTE[f"thin{k}"] = f"""
+SELECT image_id, y, x FROM skel SEMI JOIN (
+  SELECT image_id, y + oy AS y, x + ox AS x FROM (SELECT * FROM out{k - 1} UNION ALL SELECT * FROM out{k - 2}), {ring}) USING (image_id, y, x)
+ANTI JOIN gone{k} USING (image_id, y, x)"""
+        CTE[f"near{k}"] = f"""
+SELECT image_id, y AS py, x AS px, slot, y + oy AS y, x + ox AS x FROM thin{k}, {ring}"""
+        CTE[f"out{k}"] = f"""
+SELECT image_id, py AS y, px AS x FROM (
+  SELECT image_id, py, px, sum(1 << slot)::INTEGER AS ring FROM near{k} SEMI JOIN skel USING (image_id, y, x) ANTI JOIN gone{k} USING (image_id, y, x)
+  GROUP BY ALL)
+WHERE bit_count(ring) BETWEEN 2 AND 6 AND bit_count(ring & ~((ring << 1) | (ring >> 7)) & 255) = 1 AND NOT ({stop})"""
+        CTE[f"gone{k + 1}"] = f"SELECT * FROM gone{k} UNION ALL SELECT * FROM out{k}"
+    return f"skel ANTI JOIN gone{2 * passes} USING (image_id, y, x)"
+
+
+THIN_PASSES = 56
+SQL["I4_skeletonize"] = f"SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM {_thinned(THIN_PASSES)}"
 CTE["line_px"] = """
 SELECT image_id, y, CAST(x + d AS INTEGER) AS x, y * 100000 + x + d AS c FROM (
   SELECT image_id, i AS y, 1000 + sum(CAST(floor(x) AS BIGINT) % 3 - 1) OVER (PARTITION BY image_id ORDER BY i) AS x FROM centre),
@@ -792,8 +824,8 @@ def resolve(body):
     need, seen = [], set()
 
     def visit(text):
-        for name in CTE:
-            if name not in seen and re.search(rf"\b(FROM|JOIN|,)\s*\(?\s*{name}\b", text):
+        for name in re.findall(r"(?:\bFROM|\bJOIN|\b,)\s*\(?\s*(\w+)", text):
+            if name in CTE and name not in seen:
                 seen.add(name)
                 visit(CTE[name])
                 need.append(name)

@@ -112,6 +112,15 @@ def test_skeletonize_over_tile_borders(spark):
     assert got == thin(mask)
 
 
+@pytest.mark.parametrize("tile,passes", [(8, 2), (8, 4)])
+def test_settled_tiles_are_parked_and_fetched_back(spark, tile, passes):
+    """A thick block thins for many rounds and wears a two-pixel bar away from its end, tile after tile; thin lines far off settle at once."""
+    mask = {(y, x) for y in range(4, 34) for x in range(4, 30)} | {(y, x) for y in (18, 19) for x in range(30, 120)}
+    mask |= {(70, x) for x in range(0, 100, 1)} | {(90 + k, 20 + k) for k in range(30)} | {(60, 110), (61, 110), (60, 111), (61, 111)}
+    got = rows(morphology.skeletonize(points(spark, mask), tile=tile, passes=passes), "y", "x")
+    assert got == thin(set(mask))
+
+
 def neighbours(cells, p):
     return [(p[0] + dy, p[1] + dx) for dy, dx in RING if (p[0] + dy, p[1] + dx) in cells]
 
