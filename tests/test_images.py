@@ -45,17 +45,17 @@ def parts(cells, ring=((0, 1), (1, 0), (0, -1), (-1, 0))):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_and_small_objects(spark, seed):
-    mask = random_mask(seed)
-    got = morphology.label_components(points(spark, mask)).collect()
+@pytest.mark.parametrize("seed,tile", [(1, 256), (2, 8), (3, 7)])
+def test_components_and_small_objects(spark, seed, tile):
+    mask = random_mask(seed, 0.6 if tile == 8 else 0.5)
+    got = morphology.label_components(points(spark, mask), tile=tile).collect()
     by_label = {}
     for r in got:
         by_label.setdefault(r["label"], set()).add((r["y"], r["x"]))
     assert sorted(map(sorted, by_label.values())) == sorted(map(sorted, parts(mask)))
     assert all(label == (min(p)[0] << 32 | min(p)[1]) for label, p in by_label.items())
     want = {p for part in parts(mask) if len(part) >= 12 for p in part}
-    assert rows(morphology.remove_small_objects(points(spark, mask), 12), "y", "x") == want
+    assert rows(morphology.remove_small_objects(points(spark, mask), 12, tile=tile), "y", "x") == want
 
 
 def test_diagonal_blobs_are_apart(spark):
@@ -65,15 +65,16 @@ def test_diagonal_blobs_are_apart(spark):
 
 def test_long_component(spark):
     snake = {(y, x) for y in range(0, H, 2) for x in range(W)} | {(y, (W - 1) * (y // 2 % 2)) for y in range(1, H, 2)}
-    assert morphology.label_components(points(spark, snake)).select("label").distinct().count() == len(parts(snake))
+    for tile in (256, 9):
+        assert morphology.label_components(points(spark, snake), tile=tile).select("label").distinct().count() == len(parts(snake))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_fill_holes(spark, image, seed):
+@pytest.mark.parametrize("seed,tile", [(3, 256), (4, 8), (5, 11)])
+def test_fill_holes(spark, image, seed, tile):
     mask = random_mask(seed, 0.6)
     dark = {(y, x) for y in range(H) for x in range(W)} - mask
     holes = {p for part in parts(dark) if all(0 < y < H - 1 and 0 < x < W - 1 for y, x in part) for p in part}
-    assert rows(morphology.fill_holes(points(spark, mask), image), "y", "x") == mask | holes
+    assert rows(morphology.fill_holes(points(spark, mask), image, tile=tile), "y", "x") == mask | holes
 
 
 def test_open_line_at_borders(spark, image):
