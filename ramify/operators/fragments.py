@@ -7,7 +7,6 @@ from ramify.functions.patterns import interval_buckets, salted_join
 from ramify.functions.scalars import (
     angle_deg, distance, first_point, idiv, last_point, middle_point, quat_filter)
 from ramify.operators.geometry import avg_step, menger_curvature
-from ramify.operators.neighbors import endpoints
 
 MIN_POINTS = 5
 CELL = 8  # a cell's pixels are the bits of one LONG
@@ -161,8 +160,11 @@ def connect_candidates(fragment, *, threshold=20.0, max_step_ratio=10.0, line="s
     (image_id, dendrite_type, a, b, type, ord, distance, needs_reverse); `ord` is the order in which
     the four kinds are tried.
     """
-    ends = endpoints(fragment, line).join(
-        fragment.select("image_id", "id", "dendrite_type", avg_step(F.col(line)).alias("step")), ["image_id", "id"])
+    tip = lambda kind, p: F.struct(F.lit(kind).alias("kind"), p["y"].alias("y"), p["x"].alias("x"))
+    ends = fragment.select(
+        "image_id", "id", "dendrite_type", avg_step(F.col(line)).alias("step"),
+        F.explode(F.array(tip("s", first_point(F.col(line))), tip("e", last_point(F.col(line))))).alias("t")
+    ).select("image_id", "id", "dendrite_type", "step", "t.*")
     cell = max(1, int(threshold))
     mine = ends.select("image_id", "dendrite_type", F.col("id").alias("a"), F.col("kind").alias("ka"),
                        F.col("y").alias("ya"), F.col("x").alias("xa"), F.col("step").alias("sa"))
