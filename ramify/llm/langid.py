@@ -1,6 +1,6 @@
 """Language by bit-sliced Bloom filters of character n-grams.
 
-Every slot of the filter holds one bit per language, so one probe (the AND of `HASHES` slots) gives the bitmask of
+Every slot of the filter holds one bit per language (bit-sliced in 64-bit words), so one probe (the AND of `HASHES` slots) gives the bitmask of
 all languages that contain an n-gram. Per language the set bits over a text are counted and corrected for the
 filter's false positives, which are known from the share of its bits that are set: with hit share h and false
 positive rate f, the share of n-grams the language holds is (h - f) / (1 - f). The largest share decides.
@@ -10,11 +10,15 @@ language's filter when at least `least` of its sample texts hold it. Every whole
 
 Defined cases: a null text or one without letters is `und` with score 0. A text whose n-grams no language holds goes
 to the language with the most documents, score 0. Ties go to the language first in the order of document counts,
-then of names. Without a learned language every text is `und`. At most 64 languages.
+then of names. Without a learned language every text is `und`. A text of any length is cut into chunks of texts, never
+itself; repeated rows and ids are classified row by row; an empty table gives no rows; columns not named in `keep` are
+left out. There is no limit to the languages: a slot has one 64-bit word for every 64 of them (8 MB a word).
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from ramify.llm.common import kept, map_texts, mix
 
@@ -68,13 +72,34 @@ def _probes(h):
     return [((h + np.uint64(k) * step) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64) for k in range(HASHES)]
 
 
+def language_sample(documents, learn, per_language=PER_LANGUAGE, seed=5):
+    """(text, lang) pairs to learn from and the number of labelled ids per language.
+
+    At most `per_language` ids of each language, those with the least hashes; `learn` is the condition on doc_id. An id with
+    several languages counts as the last of them. The ranks see ids only, and rows beyond the bound go before the shuffle.
+    """
+    usable = (
+        documents.select("doc_id", F.col("lang").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(learn)
+        .groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    )
+    sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().toLocalIterator()}
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id"))
+    chosen = usable.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("doc_id", "label")
+    rows = (
+        documents.select("doc_id", "text").filter(F.length("text") > 0)
+        .join(F.broadcast(chosen), "doc_id")  # at most per_language ids a language
+        .withColumn("_h", F.xxhash64("text", F.lit(seed)))
+        .orderBy("_h", "doc_id", "text").limit(per_language * max(1, len(sizes))).select("text", "label")
+    )
+    return [(r["text"], r["label"]) for r in rows.collect()], sizes
+
+
 def fit(sample, sizes, least=2):
     """Filters from (text, language) pairs; `sizes` are the document counts per language."""
     langs = sorted({c for _, c in sample}, key=lambda c: (-sizes.get(c, 0), c))
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages")
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
-    for bit, lang in enumerate(langs):
+    table = np.zeros((-(-len(langs) // 64) or 1, 1 << SLOT_BITS), np.uint64)
+    for number, lang in enumerate(langs):
+        word, bit = divmod(number, 64)
         h, doc, _ = grams([t for t, c in sample if c == lang])
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
@@ -82,8 +107,8 @@ def fit(sample, sizes, least=2):
         first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         own, count = np.unique(h[first], return_counts=True)
         for slot in _probes(own[count >= least] if (count >= least).any() else own):
-            np.bitwise_or.at(table, slot, np.uint64(1 << bit))
-    fills = [float(((table >> np.uint64(b)) & np.uint64(1)).mean()) for b in range(len(langs))]
+            np.bitwise_or.at(table[word], slot, np.uint64(1 << bit))
+    fills = [float(((table[b // 64] >> np.uint64(b % 64)) & np.uint64(1)).mean()) for b in range(len(langs))]
     return {"langs": langs, "table": table, "false": np.array([f ** HASHES for f in fills])}
 
 
@@ -93,13 +118,16 @@ def classify(texts, model):
     if k == 0 or n == 0:
         return ["und"] * n, np.zeros(n)
     h, doc, has = grams(texts)
-    mask = model["table"][_probes(h)[0]]
-    for slot in _probes(h)[1:]:
-        mask = mask & model["table"][slot]
+    probes, masks = _probes(h), []
+    for table in model["table"]:
+        mask = table[probes[0]]
+        for slot in probes[1:]:
+            mask = mask & table[slot]
+        masks.append(mask)
     total = np.maximum(1, np.bincount(doc, minlength=n))
     share = np.empty((n, k))
     for b in range(k):
-        hits = np.bincount(doc[(mask >> np.uint64(b)) & np.uint64(1) == 1], minlength=n)
+        hits = np.bincount(doc[(masks[b // 64] >> np.uint64(b % 64)) & np.uint64(1) == 1], minlength=n)
         share[:, b] = (hits / total - model["false"][b]) / (1 - model["false"][b])
     share = np.clip(share, 0, 1)
     best = share.argmax(1)

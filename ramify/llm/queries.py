@@ -17,10 +17,7 @@ def op1_surrogates(spark, sf_dir, key=b"set a secret key in production"):
 def op2_language_filters(spark, sf_dir):
     """Language of every document, learned from documents whose id remainder modulo 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
-    langs = [r["lang"] for r in docs.filter("lang IS NOT NULL").groupBy("lang").count()
-             .orderBy(F.desc("count"), "lang").limit(65).collect()]
-    sample, sizes = labelled_sample(docs, docs.select("doc_id", "lang"), "lang", langs or [""],
-                                    id_remainder(4) != 2, langid.PER_LANGUAGE)
+    sample, sizes = langid.language_sample(docs, id_remainder(4) != 2)
     found = langid.detect(docs, langid.fit(sample, sizes))
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 

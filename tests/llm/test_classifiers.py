@@ -129,3 +129,17 @@ def test_language_filter_has_no_false_negatives():
     model = langid.fit([(t, "x") for t in texts], {"x": 2})
     _, score = langid.classify([texts[0]], model)
     assert score[0] == 1.0 and (model["false"] < 0.01).all()
+
+
+def test_a_hundred_languages(make):
+    """More languages than a word of the filter has bits: each has thirty words of the same letters."""
+    rng = random.Random(2)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(100)}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(60))
+    rows = [(i, text(lang), lang, "s") for i, lang in enumerate(lang for lang in words for _ in range(6))]
+    df = make(rows)
+    sample, sizes = langid.language_sample(df, F.col("doc_id") >= 0, per_language=5)
+    assert len(sizes) == 100 and len(sample) == 500
+    held = make([(1000 + k, " ".join(t.split()[:12]), None, "s") for k, (_, t, *_) in enumerate(rows[::6])])
+    got = {r.doc_id: r.lang_pred for r in langid.detect(held, langid.fit(sample, sizes, least=1)).collect()}
+    assert got == {1000 + k: r[2] for k, r in enumerate(rows[::6])}
