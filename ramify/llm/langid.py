@@ -82,9 +82,13 @@ def language_sample(documents, learn, per_language=PER_LANGUAGE, seed=5):
         documents.select("doc_id", F.col("lang").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(learn)
         .groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     )
+    spark = documents.sparkSession
     sizes = {r["label"]: r["count"] for r in usable.groupBy("label").count().toLocalIterator()}
+    # hashes are even, so the least ones of a language lie below a bound known from its size; ten times the rows are let through
+    top = [(c, (1 << 63) - 1 if n <= 10 * per_language else int(-(1 << 63) + 10 * per_language / n * (1 << 64))) for c, n in sizes.items()]
+    low = usable.join(F.broadcast(spark.createDataFrame(top, "label string, _top long")), "label").filter(F.col("_h") <= F.col("_top"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id"))
-    chosen = usable.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("doc_id", "label")
+    chosen = low.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("doc_id", "label")
     rows = (
         documents.select("doc_id", "text").filter(F.length("text") > 0)
         .join(F.broadcast(chosen), "doc_id")  # at most per_language ids a language
