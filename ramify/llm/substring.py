@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ramify.functions.patterns import components
+from ramify.functions.patterns import components, salted_join
 from ramify.llm.common import _R, _RINV, GOLD, _power, cut, drop_cut, lowered_wide, mix, ngrams, row_groups, text_buffer, tidy, words
 
 SHINGLE, RUN, WORDS = 5, 16, 32
@@ -393,7 +393,8 @@ def repeated_paragraphs(df, text="text", doc_id="doc_id", threshold=0.75):
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     shared = places.groupBy("cluster").agg(F.min(first).alias("first"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     shared = shared.filter("lo <> hi").select("cluster", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.mark").alias("keep_mark"))
-    out = cut(places.join(shared, "cluster"))
+    # a passage that very many documents share is one cluster, so its places are spread over tasks
+    out = cut(salted_join(places, shared, ["cluster"], F.struct("mark", "start")))
     for t in (parts, found, classes, comp):
         drop_cut(t)
     return out
