@@ -706,6 +706,49 @@ WHERE bit_count(ring) BETWEEN 2 AND 6 AND bit_count(ring & ~((ring << 1) | (ring
 
 THIN_PASSES = 56
 SQL["I4_skeletonize"] = f"SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM {_thinned(THIN_PASSES)}"
+# ---- paths of the skeleton: `way` walks from every node through pixels of degree 2 ----
+CTE["code_px"] = "SELECT image_id, y, x, y::BIGINT * 100000 + x AS c FROM skel"
+CTE["code_pad"] = """
+SELECT image_id, c, y + oy AS y, x + ox AS x FROM code_px, (SELECT unnest(range(-1, 2)) AS oy), (SELECT unnest(range(-1, 2)) AS ox)
+WHERE oy <> 0 OR ox <> 0"""
+CTE["code_nb"] = """
+SELECT p.image_id, p.c, list(q.c ORDER BY q.c) AS near FROM code_pad p JOIN code_px q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x
+GROUP BY ALL"""
+_STEP_LENGTH = "CASE WHEN abs({a} - {b}) IN (1, 100000) THEN 1.0::DOUBLE ELSE sqrt(2.0::DOUBLE) END"
+CTE["way"] = f"""
+SELECT a.image_id, a.c AS start, b.c AS first, len(a.near) AS d_start, a.c AS prev, b.c AS here, b.near, 0 AS hops,
+       {_STEP_LENGTH.format(a="a.c", b="b.c")} AS dist
+FROM (SELECT *, unnest(near) AS n FROM code_nb WHERE len(near) <> 2) a JOIN code_nb b ON b.image_id = a.image_id AND b.c = a.n AND len(b.near) = 2
+UNION ALL
+SELECT w.image_id, w.start, w.first, w.d_start, w.here, w.n, b.near, w.hops + 1, w.dist + {_STEP_LENGTH.format(a="w.here", b="w.n")}
+FROM (SELECT *, CASE WHEN near[1] = prev THEN near[2] ELSE near[1] END AS n FROM way WHERE len(near) = 2) w
+JOIN code_nb b ON b.image_id = w.image_id AND b.c = w.n"""
+CTE["paths"] = """
+SELECT image_id, start, first, here AS stop, d_start, len(near) AS d_stop, hops, dist FROM way
+WHERE len(near) <> 2 AND (start < here OR (start = here AND first < prev))"""
+SQL["I5_trace_fragments"] = """WITH RECURSIVE unused AS (SELECT 1)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY start, first) - 1 AS INTEGER) AS id,
+       CAST(hops + 2 AS INTEGER) AS length, CAST(start // 100000 AS INTEGER) AS y_first, CAST(stop // 100000 AS INTEGER) AS y_last
+FROM paths WHERE hops + 2 > 5"""
+CTE["short_paths"] = """
+SELECT image_id, start, first FROM paths
+WHERE ((d_start = 1) <> (d_stop = 1) AND dist < 10) OR (d_start = 1 AND d_stop = 1 AND dist < 30)"""
+CTE["inner_px"] = "SELECT DISTINCT image_id, here AS c FROM way WHERE len(near) = 2"
+CTE["spur_px"] = "SELECT DISTINCT image_id, here AS c FROM way SEMI JOIN short_paths USING (image_id, start, first) WHERE len(near) = 2"
+# a closed loop shorter than 30 comes back to each of its pixels within 30 steps
+CTE["ring_px"] = "SELECT image_id, c, near FROM code_nb ANTI JOIN inner_px USING (image_id, c) WHERE len(near) = 2"
+CTE["ring_way"] = f"""
+SELECT image_id, c AS start, c AS prev, near[1] AS here, least(c, near[1]) AS least, {_STEP_LENGTH.format(a="c", b="near[1]")} AS dist, 1 AS hops FROM ring_px
+UNION ALL
+SELECT w.image_id, w.start, w.here, w.n, least(w.least, w.n), w.dist + {_STEP_LENGTH.format(a="w.here", b="w.n")}, w.hops + 1
+FROM (SELECT w.*, CASE WHEN r.near[1] = w.prev THEN r.near[2] ELSE r.near[1] END AS n FROM ring_way w
+      JOIN ring_px r ON r.image_id = w.image_id AND r.c = w.here WHERE w.here <> w.start AND w.hops < 31) w"""
+CTE["gone_px"] = """
+SELECT image_id, c FROM spur_px
+UNION ALL SELECT image_id, start FROM ring_way WHERE here = start AND dist < 30 AND start <> least"""
+SQL["I6_prune_spurs"] = """WITH RECURSIVE unused AS (SELECT 1)
+SELECT image_id, y, x FROM code_px ANTI JOIN gone_px USING (image_id, c)"""
+
 CTE["line_px"] = """
 SELECT image_id, y, CAST(x + d AS INTEGER) AS x, y * 100000 + x + d AS c FROM (
   SELECT image_id, i AS y, 1000 + sum(CAST(floor(x) AS BIGINT) % 3 - 1) OVER (PARTITION BY image_id ORDER BY i) AS x FROM centre),
@@ -816,7 +859,7 @@ SELECT 'small' AS kind, image_id, y // 8 AS y, x // 8 AS x, max(v) AS v FROM vox
 UNION ALL SELECT 'projection', image_id, y, x, max(v) FROM voxel GROUP BY ALL"""
 
 
-RECURSIVE = ("grown", "spread", "line_walk")
+RECURSIVE = ("grown", "spread", "line_walk", "way", "ring_way")
 
 
 def resolve(body):
