@@ -36,6 +36,7 @@ from ramify.llm.common import _R, _RINV, GOLD, _power, cut, drop_cut, lowered_wi
 SHINGLE, RUN, WORDS = 5, 16, 32
 BANDS, ROWS = 8, 3
 PARITY = 4
+MANY_PLACES = 10_000
 TABLE_BITS = 26
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
@@ -386,16 +387,21 @@ def repeated_paragraphs(df, text="text", doc_id="doc_id", threshold=0.75):
     found = cut(_candidates(rows, _tables(parts), id_type))
     classes = cut(found.filter("kind = 1").select("key", "size", "elems", *[f"p{i}" for i in range(PARITY)]).dropDuplicates(["key"]))
     comp = _linked(parts.filter("w < 0 AND many").select("band", "key"), classes, threshold)
-    places = (
+    # read twice below, so its two shuffles are not repeated
+    places = cut(
         found.filter("kind = 0").select("doc_id", "mark", "key", "start", "end", "at", "size").dropDuplicates(["mark", "key", "start"])
         .join(comp, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key")
     )
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    shared = places.groupBy("cluster").agg(F.min(first).alias("first"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
-    shared = shared.filter("lo <> hi").select("cluster", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.mark").alias("keep_mark"))
-    # a passage that very many documents share is one cluster, so its places are spread over tasks
-    out = cut(salted_join(places, shared, ["cluster"], F.struct("mark", "start")))
-    for t in (parts, found, classes, comp):
+    shared = places.groupBy("cluster").agg(
+        F.min(first).alias("first"), F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = shared.filter("lo <> hi").select("cluster", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.mark").alias("keep_mark"), "n")
+    # places of the few clusters that very many documents share are spread over tasks, the others meet by cluster
+    often = (F.col("n") > MANY_PLACES)
+    spread = salted_join(places, shared.filter(often).drop("n"), ["cluster"], F.struct("mark", "start"), how="left")
+    rest = spread.filter("keep_mark IS NULL").drop("keep_doc_id", "keep_mark").join(shared.filter(~often).drop("n"), "cluster")
+    out = cut(spread.filter("keep_mark IS NOT NULL").unionByName(rest))
+    for t in (parts, found, classes, comp, places):
         drop_cut(t)
     return out
 

@@ -98,3 +98,15 @@ def test_similarities_of_unlike_sizes():
     x, y = zip(*pairs, strict=True)
     got = substring.similarities(np.concatenate(x), np.array([len(s) for s in x]), np.concatenate(y), np.array([len(s) for s in y]))
     assert np.allclose(got, [len(set(a) & set(b)) / len(set(a) | set(b)) for a, b in pairs])
+
+
+def test_common_clusters_are_spread_with_the_same_result(make, vocabulary, monkeypatch):
+    """Passages of many documents take the salted way, rarer ones the plain one; both name the same keeper."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    common, rare = text(60), text(50)
+    rows = [(i, text(40) + "\n\n" + common + "\n\n" + text(35)) for i in range(12)] + [(100 + i, text(45) + "\n\n" + rare) for i in range(2)]
+    read = lambda: sorted(map(tuple, substring.repeated_passages(make(rows)).drop("cluster").collect()))
+    plain = read()
+    monkeypatch.setattr(substring, "MANY_PLACES", 5)
+    assert read() == plain and {r[0] for r in plain} >= {*range(12), 100, 101}
