@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions.boards import first_of, gathered, line_boards, pixels_of
 from ramify.functions.patterns import salted_join, two_level_rank
-from ramify.operators import correct
+from ramify.operators import correct, fragments, morphology
 
 
 def lines(spark, rows):
@@ -57,3 +57,59 @@ def test_touching_and_cover_against_loops(spark):
     covers = lambda s, r: s[0] == r[0] and s[1] != r[1] and s[2] == 3 and any(s[7] <= y <= s[8] for y in (r[3], r[5]))
     want = {(*r[:2], any(covers(s, r) for s in rows)) for r in rows if r[2] == 3}
     assert {tuple(r) for r in correct.y_overlap_exists(span).collect()} == want
+
+
+def test_points_and_pixels_lose_none_in_boards(spark):
+    """A point or pixel that comes twice counts twice, nulls match nothing, and values stay with their pixels."""
+    rnd = random.Random(9)
+    rows = [(i % 2, i, [(rnd.randrange(0, 20), rnd.randrange(0, 20)) for _ in range(rnd.randrange(1, 40))]) for i in range(20)]
+    rows += [(0, 20, [(3, 3), (3, 4), (3, 3), (None, 2)]), (0, 21, [(90, 90)]), (1, 22, None), (1, 23, [(None, None)])]
+    pixel = [(rnd.randrange(2), rnd.randrange(0, 20), rnd.randrange(0, 20), rnd.choice([None, 1, 5, 9])) for _ in range(300)] + [(0, 3, 3, 7)] * 2
+    layer = [(im, rnd.choice("vh"), y, x) for im, y, x, _ in pixel]
+    df = lines(spark, rows)
+    under = {}
+    for im, i, line in rows:
+        met = [v for p in line or () for jm, y, x, v in pixel if (jm, y, x) == (im, *p)]
+        if met:
+            known = [v for v in met if v is not None]
+            under[im, i] = sum(known) / len(known) if known else None
+    got = fragments.sample_intensity(df, spark.createDataFrame(pixel, "image_id long, y int, x int, v int"), line="line")
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == under
+    share = {}
+    for im, i, line in rows:
+        on = [n for p in line or () for jm, n, y, x in layer if (jm, y, x) == (im, *p)]
+        if line:
+            share[im, i] = on.count("h") / len(on) if on else 0.0
+    got = fragments.layer_hits(df, spark.createDataFrame(layer, "image_id long, layer string, y int, x int"), line="line")
+    assert {(r["image_id"], r["id"]): r["h_share"] for r in got.collect()} == share
+
+
+def test_density_of_boxes_over_several_tiles(spark):
+    rnd = random.Random(11)
+    on = {(rnd.randrange(0, 90), rnd.randrange(0, 70)) for _ in range(900)}
+    rows = [(1, i, [(rnd.randrange(0, 90), rnd.randrange(0, 70))]) for i in range(40)] + [(1, 40, [(None, 5)]), (1, 41, None)]
+    image = spark.createDataFrame([(1, 90, 70)], "image_id long, length_px int, width_px int")
+    skeleton = spark.createDataFrame([(1, y, x) for y, x in on], "image_id long, y int, x int")
+    want = {}
+    for _, i, line in rows:
+        y, x = line[0] if line else (None, None)
+        (y0, y1), (x0, x1) = ((0, n) if c is None else (max(0, c - 20), min(n, c + 20)) for c, n in ((y, 90), (x, 70)))
+        want[i] = sum(y0 <= a < y1 and x0 <= b < x1 for a, b in on) / ((y1 - y0) * (x1 - x0))
+    got = fragments.local_density(lines(spark, rows), skeleton, image, reach=20, line="line", tile=24)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["local_density"] for r in got.collect()} == want
+
+
+def test_openings_travel_as_boards(spark):
+    """No shuffle carries pixels: the exchanges hold boards, and runs over tile and image borders come out whole."""
+    image = spark.createDataFrame([(1, 60, 50)], "image_id long, length_px int, width_px int")
+    runs = {(3, 0, 7), (5, 0, 6), (9, 20, 34), (11, 20, 33), (13, 42, 49), (15, 0, 49)}
+    mask = spark.createDataFrame([(1, y, x) for y, lo, hi in runs for x in range(lo, hi + 1)], "image_id long, y int, x int")
+    kept = {(y, x) for y, lo, hi in runs if (y, lo) in {(3, 0), (9, 20), (13, 42), (15, 0)} for x in range(lo, hi + 1)}
+    got = morphology.morph_open_line(mask, image)
+    assert {(r["y"], r["x"]) for r in got.collect()} == kept
+    assert "bits" in [l for l in got._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in l][0]
+    both = morphology.layer_intersect(mask.withColumn("tag", F.lit("a")), got)
+    assert {tuple(r) for r in both.collect()} == {(1, y, x, "a") for y, x in kept}
+    rest = morphology.layer_subtract(mask, got)
+    assert {(r["y"], r["x"]) for r in rest.collect()} == {(y, x) for y, lo, hi in runs for x in range(lo, hi + 1)} - kept
