@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions.boards import first_of, gathered, line_boards, pixels_of
 from ramify.functions.patterns import salted_join, two_level_rank
-from ramify.operators import correct, fragments, morphology
+from ramify.operators import correct, fragments, geometry, morphology
 
 
 def lines(spark, rows):
@@ -113,3 +113,21 @@ def test_openings_travel_as_boards(spark):
     assert {tuple(r) for r in both.collect()} == {(1, y, x, "a") for y, x in kept}
     rest = morphology.layer_subtract(mask, got)
     assert {(r["y"], r["x"]) for r in rest.collect()} == {(y, x) for y, lo, hi in runs for x in range(lo, hi + 1)} - kept
+
+
+def test_points_of_branches_are_combined_without_sorting(spark):
+    """Ties in i go by y and x, nulls come first, and no aggregate has its points sorted."""
+    rnd = random.Random(4)
+    odd = lambda: rnd.choice([None, -(1 << 31), -1, 0, 1, 7, (1 << 31) - 1])
+    rows = [(k % 3, k % 7, odd(), odd(), odd()) for k in range(400)] + [(9, 9, None, None, None), (8, 8, 5, 2, 3)]
+    got = geometry.branch_summary(spark.createDataFrame(rows, "image_id long, id int, i int, y int, x int"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    order = lambda p: [(v is not None, v or 0) for v in p]
+    mean = lambda vs: sum(vs) / len(vs) if vs else None
+    want = {}
+    for key in {r[:2] for r in rows}:
+        mine = sorted((r[2:] for r in rows if r[:2] == key), key=order)
+        ys, xs = ([p[k] for p in mine if p[k] is not None] for k in (1, 2))
+        want[key] = (len(mine), mean(xs), mean(ys), *mine[0][1:], *mine[-1][1:])
+    assert {tuple(r[:2]): tuple(r[2:]) for r in got.collect()} == want
