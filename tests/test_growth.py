@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ramify.functions.boards import first_of, gathered, line_boards, pixels_of
 from ramify.functions.patterns import salted_join, two_level_rank
-from ramify.operators import correct, fragments, geometry, morphology
+from ramify.operators import correct, fragments, geometry, morphology, skeleton
 
 
 def lines(spark, rows):
@@ -131,3 +131,22 @@ def test_points_of_branches_are_combined_without_sorting(spark):
         ys, xs = ([p[k] for p in mine if p[k] is not None] for k in (1, 2))
         want[key] = (len(mine), mean(xs), mean(ys), *mine[0][1:], *mine[-1][1:])
     assert {tuple(r[:2]): tuple(r[2:]) for r in got.collect()} == want
+
+
+def test_paths_travel_as_runs(spark):
+    """A run of pixels is one row a direction and tile, however long, and paths and loops over tile borders come out whole."""
+    line = {(5, x) for x in range(2100)} | {(40, 3), (41, 3), (42, 3), (43, 4), (44, 5), (45, 5), (46, 4), (47, 3)}
+    wide = {(y, x) for y, x in ((y, x) for y in range(60, 71) for x in range(1000, 1051)) if y in (60, 70) or x in (1000, 1050)}
+    wide -= {(60, 1000), (60, 1050), (70, 1000), (70, 1050)}  # a loop over the border at 1,024, its corners cut
+    small = {(90, 2), (90, 3), (91, 1), (92, 1), (91, 4), (92, 4), (93, 2), (93, 3)}
+    cells = spark.createDataFrame([(1, y, x) for y, x in line | wide | small] + [(1, None, 3)], "image_id long, y int, x int")
+    steps = skeleton._steps(cells)
+    assert steps.filter("not ring").count() < 20
+    paths, members, loops = skeleton.trace_paths(cells)
+    assert sorted(r["hops"] for r in paths.collect()) == [6, 2098]
+    assert {(r["b"] >> 32, r["b"] & 0xffffffff) for r in loops.collect()} == wide | small
+    got = {tuple((p["y"], p["x"]) for p in r["segment"]) for r in skeleton.trace_fragments(cells).collect()}
+    assert got == {tuple((5, x) for x in range(2100)), ((40, 3), (41, 3), (42, 3), (43, 4), (44, 5), (45, 5), (46, 4), (47, 3))}
+    left = [(r["y"], r["x"]) for r in skeleton.prune_spurs(cells).collect()]
+    ends = {(40, 3), (47, 3), min(small)}
+    assert sorted(left, key=str) == sorted([*{(5, x) for x in range(2100)}, *wide, *ends, (None, 3)], key=str)
