@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 from ramify.functions.boards import first_of, gathered, line_boards, pixels_of
+from ramify.functions import scalars
 from ramify.functions.patterns import salted_join, two_level_rank
-from ramify.operators import correct, fragments, geometry, morphology, skeleton
+from ramify.operators import correct, fragments, geometry, merge, morphology, neighbors, skeleton
 
 
 def lines(spark, rows):
@@ -150,3 +151,25 @@ def test_paths_travel_as_runs(spark):
     left = [(r["y"], r["x"]) for r in skeleton.prune_spurs(cells).collect()]
     ends = {(40, 3), (47, 3), min(small)}
     assert sorted(left, key=str) == sorted([*{(5, x) for x in range(2100)}, *wide, *ends, (None, 3)], key=str)
+
+
+def test_neighbours_do_not_sort_lines(spark):
+    """The cells of all lines meet the ends by hash: neither side is sorted or broadcast."""
+    branch = lines(spark, [(1, 0, [(0, x) for x in range(30)]), (1, 1, [(y, 31) for y in range(2, 20)]), (1, 2, [(50, 50)]), (2, 0, [(1, 31)])])
+    got = neighbors.branch_neighbors(branch, line="line")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 1, 0), (1, 2, 2), (2, 0, 0)}
+
+
+def test_lines_are_flat_between_shuffles(spark):
+    """Numbers of points come back with their nulls and signs, and fragments without a candidate stay as they are."""
+    rows = [(1, 0, [(3, -4), (None, 2), (5, None)]), (1, 1, []), (1, 2, None)]
+    flat = scalars.flat_line(lines(spark, rows), "line")
+    assert "struct" not in flat.schema.simpleString().removeprefix("struct")
+    assert [(r["id"], r["line"]) for r in scalars.whole_line(flat, "line").orderBy("id").collect()] == [r[1:] for r in rows]
+    line = [(-5 - k, 7) for k in range(12)]
+    frag = spark.createDataFrame([(1, 0, 2, line), (1, 1, 2, [(40, 9)]), (1, 2, 2, [(None, x) for x in range(15)])],
+                                 "image_id long, id int, dendrite_type int, segment array<struct<y:int,x:int>>")
+    got = {r["start"]: [tuple(p) for p in r["branch"]] for r in merge.merge_fragments(frag).collect()}
+    assert got == {0: line, 2: [(None, x) for x in range(15)]}
