@@ -173,3 +173,22 @@ def test_lines_are_flat_between_shuffles(spark):
                                  "image_id long, id int, dendrite_type int, segment array<struct<y:int,x:int>>")
     got = {r["start"]: [tuple(p) for p in r["branch"]] for r in merge.merge_fragments(frag).collect()}
     assert got == {0: line, 2: [(None, x) for x in range(15)]}
+
+
+def test_midpoints_meet_boards_of_labels(spark):
+    """Pixels that come twice, two labels of a pixel, null labels, nulls and negative places; pixels are no rows of a shuffle."""
+    rnd = random.Random(13)
+    place = lambda: rnd.randrange(-12, 20)
+    rows = [(i % 2, i, [(place(), place()) for _ in range(rnd.randrange(1, 6))]) for i in range(60)]
+    rows += [(0, 60, []), (0, 61, None), (1, 62, [(None, 3)]), (7, 63, [(1, 1)])]
+    pixel = [(rnd.randrange(2), place(), place(), rnd.choice([None, 0, 1, 2])) for _ in range(900)] + [(0, 3, 3, 1)] * 2
+    pixel += [(0, None, 3, 1), (None, 3, 3, 1)]
+    want = []
+    for im, i, line in rows:
+        mid = line[len(line) // 2] if line else None
+        met = [v or 0 for jm, y, x, v in pixel if mid and None not in mid and (jm, y, x) == (im, *mid)]
+        want += [(im, i, v) for v in met or [0]]
+    got = fragments.label_midpoint(lines(spark, rows), spark.createDataFrame(pixel, "image_id long, y int, x int, label int"), line="line")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning" in row and " y#" in row for row in plan.splitlines())
