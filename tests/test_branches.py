@@ -394,6 +394,51 @@ def test_nearest_same_class_is_exact(spark, cell_rows):
         assert [q for _, q in got[c, p]] == [q for _, q in want] or len({round(g, 9) for g, _ in want}) < len(want)
 
 
+def test_cells_from_a_sample_and_shared_out_cells_are_exact(spark, monkeypatch):
+    """Few sampled rows a round, so that cells are cut again, few asked rows a task, and values far from the origin."""
+    monkeypatch.setattr(ml, "SAMPLED_ROWS", 60)
+    monkeypatch.setattr(ml, "ASKED_ROWS", 7)
+    rng = random.Random(19)
+    pts = sorted({(1e6 + rng.gauss(0, 1e-3), *[float(rng.randint(0, 2)) for _ in range(2)], rng.gauss(0, 1)) for _ in range(260)})
+    rows = [(1 + i % 2, p, 1 + i % 3) for i, p in enumerate(pts)] + [(3, (float("nan"),) * 4, 1), (3, (1.0,) * 4, 1), (3, (2.0,) * 4, 1)]
+    pool = spark.createDataFrame([(c, list(p), n) for c, p, n in rows], "label int, vec array<double>, copies long").repartition(3)
+    asked = pool.filter("vec[3] > -0.5")
+    got = {(r["label"], tuple(r["vec"])): [(n["gap"], tuple(n["other"]), n["copies"]) for n in r["near"]]
+           for r in ml.nearest_same_class(pool, asked, 4, 40).filter("label < 3").collect()}
+    assert set(got) == {(c, p) for c, p, _ in rows if c < 3 and p[3] > -0.5}
+    for c, p in got:
+        want = sorted((float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum())), q, n) for d, q, n in rows if d == c and q != p)[:4]
+        assert got[c, p] == want
+    near = {r["vec"][0]: [n["gap"] for n in r["near"]] for r in ml.nearest_same_class(pool, pool, 4, 40).filter("label = 3").collect()}
+    assert near[1.0] == near[2.0] == [2.0]
+
+
+def test_smote_writes_what_it_makes(spark, monkeypatch):
+    """Neither the vectors nor the neighbours are written or repeated: one row for every asked one, and a few for the classes."""
+    written = []
+    real = ml.cut
+
+    def counted(df, **more):
+        out = real(df, **more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ml, "cut", counted)
+    rng = random.Random(23)
+    rows = [(1 if i < 900 else 2, (rng.random(), rng.random(), rng.random())) for i in range(1300)]
+    out = ml.smote(_vectors(spark, rows), ["image_id", "id"])
+    assert {r["label"]: r["n"] for r in ml.class_distribution(out).collect()} == {1: 900, 2: 900}
+    assert sum(written) <= 400 + 10
+
+
+def test_smote_takes_some_of_equal_keys(spark):
+    rows = [(1, (float(i), 1.0)) for i in range(50)] + [(2, (float(i % 7), 2.0)) for i in range(35)]
+    df = _vectors(spark, rows).withColumn("id", F.lit(None).cast("int"))
+    out = ml.smote(df, ["id"])
+    assert {r["label"]: r["n"] for r in ml.class_distribution(out).collect()} == {1: 50, 2: 50}
+    assert all(r["features"][1] == r["label"] and 0 <= r["features"][0] <= 49 for r in out.collect())
+
+
 def test_cells_stay_small_in_a_dense_class(spark):
     """Every cell holds few rows although nearly all rows lie in one spot and one feature hardly varies."""
     rng = np.random.default_rng(3)
